@@ -6,15 +6,27 @@ from pyspark.sql import Column, functions as F
 
 from runlens.functions.times import epoch
 
-# Groups: time digits, the hyphen or nothing. Hyphens go with all parts or none;
-# braces and parentheses come in pairs and only around the hyphenated form.
-_UUID7 = (
-    r"^\s*(?:(?=\{[^{}()]*-[^{}()]*\}\s*$)\{|(?=\([^{}()]*-[^{}()]*\)\s*$)\(|(?=[^{}()]*$))"
-    r"([0-9a-fA-F]{8}(-?)[0-9a-fA-F]{4})\2"
-    r"7[0-9a-fA-F]{3}\2[0-9a-fA-F]{4}\2[0-9a-fA-F]{12}[})]?\s*$"
-)
-#: Milliseconds of 9999-12-31T23:59:59.999, the last time an id may carry.
-_LAST_MS = 253402300799999
+_HEX = "0123456789abcdef"
+#: The twelve time digits of 9999-12-31T23:59:59.999, the last time an id may carry.
+_LAST = f"{253402300799999:012x}"
+
+
+def _above(limit: str) -> str:
+    """Pattern of digits that exceed ``limit``: equal up to one place, greater there."""
+    patterns = []
+    for place, digit in enumerate(limit):
+        if digit != _HEX[-1]:
+            same = limit[:place] if place <= 8 else f"{limit[:8]}-?{limit[8:place]}"
+            hyphen = "-?" if place == 8 else ""
+            patterns.append(f"{same}{hyphen}[{_HEX[_HEX.index(digit) + 1 :]}]")
+    return "|".join(patterns)
+
+
+_IN_RANGE = f"(?!{_above(_LAST)})"
+_HYPHENATED = _IN_RANGE + "[0-9a-f]{8}-[0-9a-f]{4}-7[0-9a-f]{3}-[0-9a-f]{4}-[0-9a-f]{12}"
+_PLAIN = _IN_RANGE + "[0-9a-f]{12}7[0-9a-f]{19}"
+_USUAL = rf"(?i)^{_HYPHENATED}$"
+_OTHER = rf"(?i)^\s*(?:{_HYPHENATED}|{_PLAIN}|\{{{_HYPHENATED}\}}|\({_HYPHENATED}\))\s*$"
 
 
 def canonical_id(value: Column) -> Column:
@@ -27,8 +39,11 @@ def uuid7_time(value: Column) -> Column:
 
     The first 48 bits are Unix milliseconds and the 13th hex digit is the
     version. Plain, hyphenated, braced and parenthesised spellings are read.
-    The value is matched once, since this runs on every log line.
+    This runs on every log line, so the usual spelling is tried first and the
+    range is part of the match.
     """
-    digits = F.translate(F.regexp_extract(value, _UUID7, 1), "-", "")
-    ms = F.conv(digits, 16, 10).cast("bigint")
-    return F.when(ms <= _LAST_MS, F.timestamp_add("MILLISECOND", ms, epoch()))
+    bare = F.replace(F.btrim(value, F.lit("{}() \t\r\n")), F.lit("-"), F.lit(""))
+    digits = F.when(
+        value.rlike(_USUAL), F.concat(F.substring(value, 1, 8), F.substring(value, 10, 4))
+    ).when(value.rlike(_OTHER), F.substring(bare, 1, 12))
+    return F.timestamp_add("MILLISECOND", F.conv(digits, 16, 10).cast("bigint"), epoch())

@@ -71,15 +71,16 @@ def bracket(center: Column, n: int) -> tuple[Column, Column]:
     return center - days(n), center + days(n)
 
 
-def near(time: Column, center: Column, n: int) -> Column:
-    """Whether ``time`` lies in the bracket; an unknown center excludes nothing.
+def near(time: Column, center: Column, n: int, otherwise: Column | None = None) -> Column:
+    """Whether ``time`` lies in the bracket of ``n`` days around ``center``.
 
-    One subtraction instead of two bounds, so a center that is costly to
-    compute is computed once.
+    An unknown center excludes nothing unless ``otherwise`` says what does. The
+    bracket is one cell of a grid as wide as itself, so the center, which may
+    be costly, is computed once instead of once per bound.
     """
     reach = n * 86400 * 1000000
-    off = micros_between(center, time)
-    return F.coalesce((off >= -reach) & (off < reach), F.lit(True))
+    cell = F.floor((micros_between(center, time) + reach) / F.lit(2 * reach))
+    return F.coalesce(cell == 0, F.lit(True) if otherwise is None else otherwise)
 
 
 def log_window(

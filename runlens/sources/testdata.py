@@ -77,6 +77,15 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _stored(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """Add a column that later filters read instead of repeating its expression.
+
+    Stored tables hold ids as values. Here they are computed, and without this
+    the optimizer would copy the expression into every predicate on them.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def _with_document(
     df: DataFrame, spark: SparkSession, sf_dir: str, key: str, only: Column | None = None
 ) -> DataFrame:
@@ -99,6 +108,7 @@ def activity(spark: SparkSession, sf_dir: str, *, text: bool = True) -> DataFram
         orders = _with_document(orders, spark, sf_dir, "o_custkey", is_failure)
     else:
         orders = orders.withColumn("_text", F.lit(None).cast("string"))
+    orders = _stored(orders, _run_id(k), "_id")
     created = _created_on(k)
     started = F.when(_status(k) != "pending", F.timestamp_add("MILLISECOND", k % 5000, created))
     completed = F.when(
@@ -106,7 +116,7 @@ def activity(spark: SparkSession, sf_dir: str, *, text: bool = True) -> DataFram
     )
     marker = F.when(k % 7 == 0, "%").when(k % 7 == 1, "!").when(k % 7 == 2, "_").otherwise("")
     derived = orders.select(
-        _run_id(k).alias("id"),
+        F.col("_id").alias("id"),
         created.alias("created_on"),
         _application(k).alias("application"),
         F.when(F.col("o_orderstatus") == "F", "prod")
@@ -168,6 +178,7 @@ def log_entries(spark: SparkSession, sf_dir: str, *, text: bool = True) -> DataF
         lines = _with_document(lines, spark, sf_dir, "l_partkey")
     else:
         lines = lines.withColumn("_text", F.lit(None).cast("string"))
+    lines = _stored(lines, _run_id(k), "_run")
     level = (F.col("l_quantity").cast("bigint") % 7).cast("int")
     minutes = line + F.when(line == 6, 30 * 60).when(line == 7, 3 * 24 * 60).otherwise(0)
     micros = minutes.cast("bigint") * 60000000 + (part % 60000) * 1000 + supp % 1000
@@ -193,7 +204,7 @@ def log_entries(spark: SparkSession, sf_dir: str, *, text: bool = True) -> DataF
             is_exception,
             F.when(part % 3 == 0, "IOException").when(part % 3 == 1, "TimeoutException").otherwise("KeyError"),
         ).alias("exception_type"),
-        _run_id(k).alias("activity_id"),
+        F.col("_run").alias("activity_id"),
         _hex12(k).alias("trace_id"),
         _application(k).alias("application"),
         F.concat(F.lit("host"), (supp % 40).cast("string")).alias("host"),
