@@ -9,11 +9,10 @@ join with ``documents``.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from runlens.schema import conform
+from runlens.sources.registry import Tables
 
 # Fixed values of the recipe.
 FIRST_TIME = "1995-01-01"
@@ -23,13 +22,6 @@ SPREAD = 15485863
 HUB = 100
 
 
-@dataclass(frozen=True)
-class Tables:
-    activity: DataFrame
-    activity_input: DataFrame
-    log_entries: DataFrame
-
-
 def _micros(k: Column) -> Column:
     """Creation time of run ``k`` in microseconds after FIRST_TIME."""
     return (k * SPREAD) % SPAN_SECONDS * 1000000 + (k * 131) % 1000000
