@@ -37,8 +37,16 @@ ORDER BY runs DESC, application NULLS FIRST, environment, status
 AD_HOC_ROWS = 20
 
 
-def _tables(spark: SparkSession, sf_dir: str, text: bool = False) -> Tables:
-    return testdata.tables(prepare(spark), sf_dir, text=text)
+def _runs(spark: SparkSession, sf_dir: str, text: bool = False) -> DataFrame:
+    return testdata.activity(prepare(spark), sf_dir, text=text)
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return testdata.activity_input(prepare(spark), sf_dir)
+
+
+def _logs(spark: SparkSession, sf_dir: str, text: bool = False) -> DataFrame:
+    return testdata.log_entries(prepare(spark), sf_dir, text=text)
 
 
 def _flat_levels(struct: str) -> list[Column]:
@@ -52,42 +60,42 @@ def _as_text(df: DataFrame, *variants: str) -> DataFrame:
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = op.catalog(_tables(spark, sf_dir).activity, **WINDOW)
+    rows = op.catalog(_runs(spark, sf_dir), **WINDOW)
     for name in ("activity_types", "activity_keys"):
         rows = rows.withColumn(name, F.array_join(name, ","))
     return rows
 
 
 def catalog_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.catalog_keys(_tables(spark, sf_dir).activity, **WINDOW)
+    return op.catalog_keys(_runs(spark, sf_dir), **WINDOW)
 
 
 def fleet_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.fleet_overview(_tables(spark, sf_dir).activity, **WINDOW)
+    return op.fleet_overview(_runs(spark, sf_dir), **WINDOW)
 
 
 def fleet_overview_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.fleet_overview(_tables(spark, sf_dir).activity, group_by="application_type", **WINDOW)
+    return op.fleet_overview(_runs(spark, sf_dir), group_by="application_type", **WINDOW)
 
 
 def fleet_overview_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two sources, production and the rest, in one job; rows carry the source name."""
-    t = _tables(spark, sf_dir)
+    whole = testdata.tables(prepare(spark), sf_dir, text=False)
     is_prod = F.col("environment") == "prod"
 
-    def part(condition: Column) -> Callable[[], Tables]:
-        return lambda: Tables(t.activity.where(condition), t.activity_input, t.log_entries)
+    def part(condition: Column) -> Tables:
+        return Tables(lambda name: getattr(whole, name).where(condition))
 
     registry = SourceRegistry({"Production": part(is_prod), "Other": part(~is_prod)})
     return registry.run_all(lambda tables: op.fleet_overview(tables.activity, **WINDOW))
 
 
 def recent_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.recent_failures(_tables(spark, sf_dir, text=True).activity, **WINDOW)
+    return op.recent_failures(_runs(spark, sf_dir, text=True), **WINDOW)
 
 
 def activities_page_1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.activities_list(_tables(spark, sf_dir).activity, **WINDOW)
+    return op.activities_list(_runs(spark, sf_dir), **WINDOW)
 
 
 # The cursor of a page that ended at 1999-12-31 23:59:59.999999.
@@ -95,12 +103,12 @@ _PAGE_CURSOR = "NjMwODIyODE1OTk5OTk5OTkwfGY="
 
 
 def activities_page_2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.activities_list(_tables(spark, sf_dir).activity, limit=200, cursor=_PAGE_CURSOR, **WINDOW)
+    return op.activities_list(_runs(spark, sf_dir), limit=200, cursor=_PAGE_CURSOR, **WINDOW)
 
 
 def activities_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.activities_list(
-        _tables(spark, sf_dir).activity,
+        _runs(spark, sf_dir),
         environment="prod",
         status="succeeded",
         target_contains="CUSTOMER_1",
@@ -111,13 +119,11 @@ def activities_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def activities_wildcards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A percent sign in the search term is an ordinary character."""
-    return op.activities_list(_tables(spark, sf_dir).activity, target_contains="7%", limit=200, **WINDOW)
+    return op.activities_list(_runs(spark, sf_dir), target_contains="7%", limit=200, **WINDOW)
 
 
 def activity_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _tables(spark, sf_dir)
-    runs = testdata.activity(spark, sf_dir)
-    rows = op.activity_get(runs, t.activity_input, t.log_entries)
+    rows = op.activity_get(_runs(spark, sf_dir, text=True), _edges(spark, sf_dir), _logs(spark, sf_dir))
     # The run summary already has an "error" column, so the levels get a prefix.
     columns = [F.col(c) for c in rows.columns if c != "log_level_counts"]
     levels = [F.col(f"log_level_counts.{n}").alias(f"level_{n}") for n in LEVEL_FIELDS]
@@ -125,26 +131,25 @@ def activity_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def log_summary_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.log_summary_stats(_tables(spark, sf_dir).log_entries, now=NOW)
+    return op.log_summary_stats(_logs(spark, sf_dir), now=NOW)
 
 
 def log_summary_stats_hinted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every run is asked for with its start as the hint; runs without lines stay."""
-    t = _tables(spark, sf_dir)
-    ids = t.activity.select(F.col("id").alias("activity_id"), F.col("started_on").alias("created_on"))
-    return op.log_summary_stats(t.log_entries, ids, now=NOW)
+    ids = _runs(spark, sf_dir).select(F.col("id").alias("activity_id"), F.col("started_on").alias("created_on"))
+    return op.log_summary_stats(_logs(spark, sf_dir), ids, now=NOW)
 
 
 def log_summary_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.log_summary_categories(_tables(spark, sf_dir).log_entries)
+    return op.log_summary_categories(_logs(spark, sf_dir))
 
 
 def log_summary_exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.log_summary_exceptions(testdata.log_entries(prepare(spark), sf_dir))
+    return op.log_summary_exceptions(_logs(spark, sf_dir, text=True))
 
 
 def activity_log_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = op.activity_log_summary(testdata.log_entries(prepare(spark), sf_dir), now=NOW)
+    rows = op.activity_log_summary(_logs(spark, sf_dir, text=True), now=NOW)
 
     def listed(name: str, key: str) -> Column:
         def item(x: Column) -> Column:
@@ -166,8 +171,8 @@ def activity_log_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def activity_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every run, the window placed by the run's own times."""
-    logs = testdata.log_entries(prepare(spark), sf_dir)
-    runs = testdata.activity(spark, sf_dir, text=False).select(
+    logs = _logs(spark, sf_dir, text=True)
+    runs = _runs(spark, sf_dir).select(
         F.col("id").alias("activity_id"), "created_on", "started_on", "completed_on"
     )
     return _as_text(op.activity_logs(logs, runs, now=NOW), "properties")
@@ -175,13 +180,13 @@ def activity_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def activity_logs_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every run, the window placed by the run's id."""
-    logs = _tables(spark, sf_dir).log_entries
+    logs = _logs(spark, sf_dir)
     return _as_text(op.activity_logs(logs, min_level="Trace", now=NOW), "properties")
 
 
 def activity_logs_desc_page_2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second page of two lines of every run, newest first."""
-    logs = _tables(spark, sf_dir).log_entries
+    logs = _logs(spark, sf_dir)
     how = {"min_level": "Trace", "order": "desc", "limit": 2, "now": NOW}
     first = op.activity_logs(logs, **how)
     runs = first.where(F.col("next_cursor").isNotNull()).select("activity_id", F.col("next_cursor").alias("cursor"))
@@ -189,11 +194,11 @@ def activity_logs_desc_page_2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def logs_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _as_text(op.logs_search(testdata.log_entries(prepare(spark), sf_dir), **WINDOW), "properties")
+    return _as_text(op.logs_search(_logs(spark, sf_dir, text=True), **WINDOW), "properties")
 
 
 def logs_search_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    logs = testdata.log_entries(prepare(spark), sf_dir)
+    logs = _logs(spark, sf_dir, text=True)
     rows = op.logs_search(
         logs,
         min_level="error",
@@ -209,31 +214,29 @@ def logs_search_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _lineage(direction: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        t = _tables(spark, sf_dir)
-        return op.activity_lineage(t.activity, t.activity_input, direction=direction, depth=3)
+        return op.activity_lineage(_runs(spark, sf_dir), _edges(spark, sf_dir), direction=direction, depth=3)
 
     return run
 
 
 def history_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = testdata.activity(prepare(spark), sf_dir)
+    runs = _runs(spark, sf_dir, text=True)
     return op.history_runs(runs, by=WORKLOAD, **YEAR)
 
 
 def history_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.history_stats(_tables(spark, sf_dir).activity, by=WORKLOAD, **YEAR)
+    return op.history_stats(_runs(spark, sf_dir), by=WORKLOAD, **YEAR)
 
 
 def history_stats_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The window is longer than a year and is capped; the most runs a page may have."""
     return op.history_stats(
-        _tables(spark, sf_dir).activity, by=["application", "activity_type"], limit=500, **WINDOW
+        _runs(spark, sf_dir), by=["application", "activity_type"], limit=500, **WINDOW
     )
 
 
 def bounded_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _tables(spark, sf_dir)
-    return op.run_readonly_query(spark, AD_HOC, {"activity": t.activity}, max_rows=AD_HOC_ROWS)
+    return op.run_readonly_query(spark, AD_HOC, {"activity": _runs(spark, sf_dir)}, max_rows=AD_HOC_ROWS)
 
 
 def statement_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,15 +262,15 @@ def statement_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def id_time_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.id_time_audit(_tables(spark, sf_dir).activity)
+    return op.id_time_audit(_runs(spark, sf_dir))
 
 
 def page_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.page_manifest(_tables(spark, sf_dir).activity, "created_on", 100)
+    return op.page_manifest(_runs(spark, sf_dir), "created_on", 100)
 
 
 def retention_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.retention_coverage(_tables(spark, sf_dir).activity, now=NOW)
+    return op.retention_coverage(_runs(spark, sf_dir), now=NOW)
 
 
 def entry(spark: SparkSession) -> DataFrame:

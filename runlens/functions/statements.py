@@ -23,15 +23,19 @@ DISALLOWED = "Disallowed keyword in query: {}."
 _COMMENT_MARKS = ("--", "/*", "#")
 _START = r"^\s*\(*\s*(?:SELECT|WITH)\b"
 _FORBIDDEN = rf"\b({'|'.join(FORBIDDEN_WORDS)})\b"
-_TRAILING = r"[; \t\r\n]+$"
-_BLANKS = r"^\s+|\s+$"
+# The characters taken as blank, and those dropped from the end.
+_BLANKS = (
+    "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+_TRAILING = "; \t\r\n"
 # Java needs flags to read \b and \s by Unicode as Python does.
 _JAVA = "(?iU)"
 
 
 def check_statement(sql: str | None) -> tuple[str, str | None]:
     """Return the statement to run and, if it is refused, why."""
-    body = re.sub(_TRAILING, "", (sql or "").strip()).strip()
+    body = (sql or "").strip(_BLANKS).rstrip(_TRAILING).strip(_BLANKS)
     if not body:
         return body, EMPTY
     if ";" in body:
@@ -46,9 +50,8 @@ def check_statement(sql: str | None) -> tuple[str, str | None]:
 
 def statement_error(sql: Column) -> Column:
     """Why a statement is refused; null when it is accepted."""
-    body = F.regexp_replace(sql, _JAVA + _BLANKS, "")
-    body = F.regexp_replace(body, _TRAILING, "")
-    body = F.regexp_replace(body, _JAVA + _BLANKS, "")
+    blanks = F.lit(_BLANKS)
+    body = F.btrim(F.rtrim(F.btrim(sql, blanks), F.lit(_TRAILING)), blanks)
     commented = F.lit(False)
     for mark in _COMMENT_MARKS:
         commented = commented | F.contains(body, F.lit(mark))

@@ -3,19 +3,28 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, functions as F
 
 
-@dataclass(frozen=True)
 class Tables:
-    """The tables of one source."""
+    """The tables of one source, each opened when it is first used."""
 
-    activity: DataFrame
-    activity_input: DataFrame
-    log_entries: DataFrame
+    def __init__(self, load: Callable[[str], DataFrame]):
+        self._load = load
+
+    @cached_property
+    def activity(self) -> DataFrame:
+        return self._load("activity")
+
+    @cached_property
+    def activity_input(self) -> DataFrame:
+        return self._load("activity_input")
+
+    @cached_property
+    def log_entries(self) -> DataFrame:
+        return self._load("log_entries")
 
 
 Query = Callable[[Tables], DataFrame]
@@ -28,10 +37,10 @@ class SourceRegistry:
     default, which is the first source unless another is named.
     """
 
-    def __init__(self, sources: Mapping[str, Callable[[], Tables]], default: str | None = None):
+    def __init__(self, sources: Mapping[str, Tables], default: str | None = None):
         if not sources:
             raise ValueError("At least one source is needed.")
-        self._sources = {name.lower(): (name, load) for name, load in sources.items()}
+        self._sources = {name.lower(): (name, tables) for name, tables in sources.items()}
         self.default = default or next(iter(sources))
         self.resolve(self.default)
 
@@ -39,7 +48,7 @@ class SourceRegistry:
     def names(self) -> list[str]:
         return [name for name, _ in self._sources.values()]
 
-    def resolve(self, name: str | None) -> tuple[str, Callable[[], Tables]]:
+    def resolve(self, name: str | None) -> tuple[str, Tables]:
         wanted = self.default if name is None or not name.strip() else name.strip()
         if wanted.lower() not in self._sources:
             raise ValueError(f"source: Unknown source '{name}'. Known sources: {', '.join(self.names)}.")
@@ -47,8 +56,8 @@ class SourceRegistry:
 
     def run(self, query: Query, source: str | None = None) -> DataFrame:
         """The query's rows for one source, each with the source's name."""
-        name, load = self.resolve(source)
-        return query(load()).withColumn("source", F.lit(name))
+        name, tables = self.resolve(source)
+        return query(tables).withColumn("source", F.lit(name))
 
     def run_all(self, query: Query) -> DataFrame:
         """The same for every source, in one job."""

@@ -9,204 +9,172 @@ join with ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from runlens.schema import conform
 from runlens.sources.registry import Tables
 
-# Fixed values of the recipe.
-FIRST_TIME = "1995-01-01"
-FIRST_MS = 788918400000
-SPAN_SECONDS = 207705600
-SPREAD = 15485863
-HUB = 100
 
+def _micros(k: str) -> str:
+    """Microseconds from 1995-01-01 to the creation of run ``k``."""
+    return f"({k} * 15485863 % 207705600 * 1000000 + {k} * 131 % 1000000)"
 
-def _micros(k: Column) -> Column:
-    """Creation time of run ``k`` in microseconds after FIRST_TIME."""
-    return (k * SPREAD) % SPAN_SECONDS * 1000000 + (k * 131) % 1000000
 
+def _created_on(k: str) -> str:
+    return f"timestampadd(MICROSECOND, {_micros(k)}, TIMESTAMP_NTZ '1995-01-01 00:00:00')"
 
-def _created_on(k: Column) -> Column:
-    return F.timestamp_add("MICROSECOND", _micros(k), F.lit(FIRST_TIME).cast("timestamp_ntz"))
 
-
-def _hex12(n: Column) -> Column:
-    return F.lower(F.lpad(F.hex(n), 12, "0"))
-
-
-def _run_id(k: Column) -> Column:
-    ms = _hex12(F.call_function("div", _micros(k), F.lit(1000)) + FIRST_MS)
-    version = F.when(k % 97 == 0, F.lit("4")).otherwise(F.lit("7"))
-    return F.concat(
-        F.substring(ms, 1, 8), F.lit("-"), F.substring(ms, 9, 4), F.lit("-"),
-        version, F.lit("000-8000-"), _hex12(k),
-    )
-
-
-def _application(k: Column) -> Column:
+def _run_id(k: str) -> str:
+    ms = f"lower(lpad(hex(788918400000 + {_micros(k)} div 1000), 12, '0'))"
+    version = f"if({k} % 97 = 0, '4', '7')"
     return (
-        F.when(k % 101 == 0, F.lit(None).cast("string"))
-        .when(k % 103 == 0, F.lit(""))
-        .when(k % 3 == 0, F.lit("app0"))
-        .otherwise(F.concat(F.lit("app"), (k % 12).cast("string")))
+        f"concat(left({ms}, 8), '-', right({ms}, 4), '-', {version}, '000-8000-', lower(lpad(hex({k}), 12, '0')))"
     )
 
 
-def _status(k: Column) -> Column:
-    s = k % 20
+def _application(k: str) -> str:
     return (
-        F.when((s < 12) | (s == 19), "succeeded")
-        .when(s <= 13, "failed")
-        .when(s == 14, "canceled")
-        .when(s <= 16, "skipped")
-        .when(s == 17, "running")
-        .otherwise("pending")
+        f"CASE WHEN {k} % 101 = 0 THEN NULL WHEN {k} % 103 = 0 THEN '' WHEN {k} % 3 = 0 THEN 'app0' "
+        f"ELSE concat('app', {k} % 12) END"
     )
 
 
+_STATUS = """
+CASE WHEN o_orderkey % 20 < 12 OR o_orderkey % 20 = 19 THEN 'succeeded'
+     WHEN o_orderkey % 20 <= 13 THEN 'failed' WHEN o_orderkey % 20 = 14 THEN 'canceled'
+     WHEN o_orderkey % 20 <= 16 THEN 'skipped' WHEN o_orderkey % 20 = 17 THEN 'running' ELSE 'pending' END"""
+
+
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def _stored(df: DataFrame, value: Column, name: str) -> DataFrame:
+def _stored(df: DataFrame, value: str, name: str) -> DataFrame:
     """Add a column that later filters read instead of repeating its expression.
 
     Stored tables hold ids as values. Here they are computed, and without this
     the optimizer would copy the expression into every predicate on them.
     """
-    return df.select("*", F.explode(F.array(value)).alias(name))
+    return df.selectExpr("*", f"explode(array({value})) AS {name}")
 
 
-def _with_document(
-    df: DataFrame, spark: SparkSession, sf_dir: str, key: str, only: Column | None = None
-) -> DataFrame:
-    """Attach the text of the document with that key, null if there is none.
-
-    ``only`` limits which rows get one. It is part of the join condition, so
-    the other rows keep their spread-out keys instead of sharing a null key.
-    """
-    text = _read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("_text"))
-    match = F.col(key) == F.col("doc_id")
-    return df.join(text, match if only is None else match & only, "left").drop("doc_id")
+def _with_document(df: DataFrame, spark: SparkSession, sf_dir: str, match: str) -> DataFrame:
+    """Attach a document's text, null where none matches."""
+    documents = _read(spark, sf_dir, "documents").selectExpr("doc_id", "text AS _text")
+    return df.join(documents, F.expr(match), "left")
 
 
 def activity(spark: SparkSession, sf_dir: str, *, text: bool = True) -> DataFrame:
     """Runs. ``text=False`` leaves the error text out and with it the join."""
-    k, c, cents = F.col("o_orderkey"), F.col("o_custkey"), F.rint(F.col("o_totalprice") * 100).cast("bigint")
-    orders = _read(spark, sf_dir, "orders")
-    is_failure = _status(k).isin("failed", "canceled")
+    orders = _read(spark, sf_dir, "orders").selectExpr("*", f"{_STATUS} AS status")
     if text:
-        orders = _with_document(orders, spark, sf_dir, "o_custkey", is_failure)
+        # The status is part of the join condition, not of the key: a null key
+        # for all other runs would send them to one task.
+        failed = "status IN ('failed', 'canceled')"
+        orders = _with_document(orders, spark, sf_dir, f"doc_id = o_custkey AND {failed}")
     else:
-        orders = orders.withColumn("_text", F.lit(None).cast("string"))
-    orders = _stored(orders, _run_id(k), "_id")
-    created = _created_on(k)
-    started = F.when(_status(k) != "pending", F.timestamp_add("MILLISECOND", k % 5000, created))
-    completed = F.when(
-        ~_status(k).isin("pending", "running"), F.timestamp_add("MICROSECOND", cents * 37, started)
-    )
-    marker = F.when(k % 7 == 0, "%").when(k % 7 == 1, "!").when(k % 7 == 2, "_").otherwise("")
-    derived = orders.select(
-        F.col("_id").alias("id"),
-        created.alias("created_on"),
-        _application(k).alias("application"),
-        F.when(F.col("o_orderstatus") == "F", "prod")
-        .when(F.col("o_orderstatus") == "O", "test")
-        .otherwise("dev")
-        .alias("environment"),
-        F.col("o_orderpriority").alias("activity_type"),
-        F.when(k % 50 != 0, F.concat(F.lit("job"), (c % 150).cast("string"))).alias("activity_key"),
-        F.concat(F.lit("dw.customer_"), c.cast("string"), marker).alias("target"),
-        _status(k).alias("status"),
-        started.alias("started_on"),
-        completed.alias("completed_on"),
-        F.when(k % 13 != 0, F.floor("o_totalprice")).alias("records_impacted"),
-        F.when(is_failure, F.concat(F.lit("E"), (k % 5).cast("string"))).alias("error_type"),
-        F.concat(F.lit("host"), (c % 40).cast("string")).alias("host"),
-        completed.alias("last_heartbeat_on"),
-        F.when(k % 43 == 0, " ")
-        .when(k % 41 == 0, "oops")
-        .otherwise(F.concat(F.lit('{"k": '), k.cast("string"), F.lit("}")))
-        .alias("parameters"),
-        F.when(k % 2 == 0, F.concat(F.lit("["), (k % 9).cast("string"), F.lit(", null]"))).alias("metrics"),
-        F.col("_text").alias("error"),
-        c.alias("created_by"),
-        (k % 65536).cast("int").alias("process_id"),
-        F.when(k % 5 == 0, "").when(k > 0, _run_id(k - 1)).alias("parent_activity_id"),
-        _run_id(k - k % HUB).alias("root_activity_id"),
-        _hex12(k).alias("trace_id"),
+        orders = orders.selectExpr("*", "CAST(NULL AS STRING) AS _text")
+    k, c = "o_orderkey", "o_custkey"
+    derived = (
+        _stored(orders, _run_id(k), "id")
+        .selectExpr("*", f"{_created_on(k)} AS created_on")
+        .selectExpr(
+            "*", f"if(status <> 'pending', timestampadd(MILLISECOND, {k} % 5000, created_on), NULL) AS started_on"
+        )
+        .selectExpr(
+            "id",
+            "created_on",
+            f"{_application(k)} AS application",
+            "CASE o_orderstatus WHEN 'F' THEN 'prod' WHEN 'O' THEN 'test' ELSE 'dev' END AS environment",
+            "o_orderpriority AS activity_type",
+            f"if({k} % 50 <> 0, concat('job', {c} % 150), NULL) AS activity_key",
+            f"concat('dw.customer_', {c}, "
+            f"CASE {k} % 7 WHEN 0 THEN '%' WHEN 1 THEN '!' WHEN 2 THEN '_' ELSE '' END) AS target",
+            "status",
+            "started_on",
+            "if(status NOT IN ('pending', 'running'), "
+            "timestampadd(MICROSECOND, CAST(rint(o_totalprice * 100) AS BIGINT) * 37, started_on), NULL) AS completed_on",
+            f"if({k} % 13 <> 0, CAST(floor(o_totalprice) AS BIGINT), NULL) AS records_impacted",
+            f"if(status IN ('failed', 'canceled'), concat('E', {k} % 5), NULL) AS error_type",
+            f"concat('host', {c} % 40) AS host",
+            f"CASE WHEN {k} % 43 = 0 THEN ' ' WHEN {k} % 41 = 0 THEN 'oops' "
+            f"ELSE concat('{{\"k\": ', {k}, '}}') END AS parameters",
+            f"if({k} % 2 = 0, concat('[', {k} % 9, ', null]'), NULL) AS metrics",
+            "_text AS error",
+            f"{c} AS created_by",
+            f"CAST({k} % 65536 AS INT) AS process_id",
+            f"CASE WHEN {k} % 5 = 0 THEN '' ELSE {_run_id(f'({k} - 1)')} END AS parent_activity_id",
+            f"{_run_id(f'({k} - {k} % 100)')} AS root_activity_id",
+            f"lower(lpad(hex({k}), 12, '0')) AS trace_id",
+        )
+        .selectExpr("*", "completed_on AS last_heartbeat_on")
     )
     return conform(derived, "activity")
 
 
 def activity_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lineage edges: up to four inputs per run, among them a shared hub and a lost id."""
-    k = F.col("o_orderkey")
-
-    def edge(role: str, target: Column, when: Column) -> Column:
-        return F.when(when, F.struct(F.lit(role).alias("input_role"), target.alias("input_activity_id")))
-
-    edges = F.array(
-        edge("previous", _run_id(k - 1), k >= 1),
-        edge("baseline", _run_id(k - 2), (k % 3 == 0) & (k >= 2)),
-        edge("hub", _run_id(k - k % HUB), k % HUB != 0),
-        edge("lost", F.concat(F.lit("gone-"), k.cast("string")), k % 31 == 0),
+    k = "o_orderkey"
+    edges = ", ".join(
+        f"named_struct('input_role', '{role}', 'input_activity_id', if({when}, {target}, NULL))"
+        for role, when, target in (
+            ("previous", f"{k} >= 1", _run_id(f"({k} - 1)")),
+            ("baseline", f"{k} % 3 = 0 AND {k} >= 2", _run_id(f"({k} - 2)")),
+            ("hub", f"{k} % 100 <> 0", _run_id(f"({k} - {k} % 100)")),
+            ("lost", f"{k} % 31 = 0", f"concat('gone-', {k})"),
+        )
     )
     derived = (
         _read(spark, sf_dir, "orders")
-        .select(_run_id(k).alias("activity_id"), _created_on(k).alias("created_on"), F.explode(edges).alias("_e"))
-        .where(F.col("_e").isNotNull())
-        .select("activity_id", "_e.input_activity_id", "_e.input_role", "created_on")
+        .selectExpr(f"{_run_id(k)} AS activity_id", f"{_created_on(k)} AS created_on", f"inline(array({edges}))")
+        .where("input_activity_id IS NOT NULL")
     )
     return conform(derived, "activity_input")
 
 
 def log_entries(spark: SparkSession, sf_dir: str, *, text: bool = True) -> DataFrame:
     """Log lines. ``text=False`` leaves message and exception out and with them the join."""
-    k, part, supp, line = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
     lines = _read(spark, sf_dir, "lineitem")
     if text:
-        lines = _with_document(lines, spark, sf_dir, "l_partkey")
+        lines = _with_document(lines, spark, sf_dir, "doc_id = l_partkey")
     else:
-        lines = lines.withColumn("_text", F.lit(None).cast("string"))
-    lines = _stored(lines, _run_id(k), "_run")
-    level = (F.col("l_quantity").cast("bigint") % 7).cast("int")
-    minutes = line + F.when(line == 6, 30 * 60).when(line == 7, 3 * 24 * 60).otherwise(0)
-    micros = minutes.cast("bigint") * 60000000 + (part % 60000) * 1000 + supp % 1000
-    is_exception = (level >= 4) & (part % 2 == 0)
-    derived = lines.select(
-        ((k * 8 + line) * 1048576 + (part * 31 + supp) % 1048576).alias("id"),
-        F.timestamp_add("MICROSECOND", micros, _created_on(k)).alias("event_time_utc"),
-        level.alias("log_level"),
-        F.when(
-            part % 17 != 0,
-            F.concat(F.lit("Svc."), F.col("l_returnflag"), F.lit("."), (part % 15).cast("string")),
-        ).alias("category"),
-        (supp % 100).cast("int").alias("event_id"),
-        F.concat(F.lit("Event"), (supp % 100).cast("string")).alias("event_name"),
-        F.col("_text").alias("message"),
-        F.lit("{text}").alias("message_template"),
-        F.when(part % 31 == 0, "")
-        .when(part % 29 == 0, "not json {")
-        .otherwise(F.concat(F.lit('{"part": '), part.cast("string"), F.lit("}")))
-        .alias("properties"),
-        F.when(is_exception, F.col("_text")).alias("exception"),
-        F.when(
-            is_exception,
-            F.when(part % 3 == 0, "IOException").when(part % 3 == 1, "TimeoutException").otherwise("KeyError"),
-        ).alias("exception_type"),
-        F.col("_run").alias("activity_id"),
-        _hex12(k).alias("trace_id"),
-        _application(k).alias("application"),
-        F.concat(F.lit("host"), (supp % 40).cast("string")).alias("host"),
+        lines = lines.selectExpr("*", "CAST(NULL AS STRING) AS _text")
+    k, part, supp, line = "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"
+    minutes = f"({line} + CASE {line} WHEN 6 THEN 1800 WHEN 7 THEN 4320 ELSE 0 END)"
+    micros = f"CAST({minutes} AS BIGINT) * 60000000 + {part} % 60000 * 1000 + {supp} % 1000"
+    is_exception = f"log_level >= 4 AND {part} % 2 = 0"
+    derived = (
+        _stored(lines, _run_id(k), "activity_id")
+        .selectExpr("*", "CAST(CAST(l_quantity AS BIGINT) % 7 AS INT) AS log_level")
+        .selectExpr(
+            f"({k} * 8 + {line}) * 1048576 + ({part} * 31 + {supp}) % 1048576 AS id",
+            f"timestampadd(MICROSECOND, {_micros(k)} + {micros}, TIMESTAMP_NTZ '1995-01-01 00:00:00') AS event_time_utc",
+            "log_level",
+            f"if({part} % 17 <> 0, concat('Svc.', l_returnflag, '.', {part} % 15), NULL) AS category",
+            f"CAST({supp} % 100 AS INT) AS event_id",
+            f"concat('Event', {supp} % 100) AS event_name",
+            "_text AS message",
+            "'{text}' AS message_template",
+            f"CASE WHEN {part} % 31 = 0 THEN '' WHEN {part} % 29 = 0 THEN 'not json {{' "
+            f"ELSE concat('{{\"part\": ', {part}, '}}') END AS properties",
+            f"if({is_exception}, _text, NULL) AS exception",
+            f"if({is_exception}, CASE {part} % 3 WHEN 0 THEN 'IOException' WHEN 1 THEN 'TimeoutException' "
+            "ELSE 'KeyError' END, NULL) AS exception_type",
+            "activity_id",
+            f"lower(lpad(hex({k}), 12, '0')) AS trace_id",
+            f"{_application(k)} AS application",
+            f"concat('host', {supp} % 40) AS host",
+        )
     )
     return conform(derived, "log_entries")
 
 
-def tables(spark: SparkSession, sf_dir: str, *, text: bool = False) -> Tables:
-    return Tables(
-        activity(spark, sf_dir, text=text),
-        activity_input(spark, sf_dir),
-        log_entries(spark, sf_dir, text=text),
-    )
+def tables(spark: SparkSession, sf_dir: str, *, text: bool = True) -> Tables:
+    """The derived tables as one source."""
+
+    def load(name: str) -> DataFrame:
+        if name == "activity_input":
+            return activity_input(spark, sf_dir)
+        return {"activity": activity, "log_entries": log_entries}[name](spark, sf_dir, text=text)
+
+    return Tables(load)
