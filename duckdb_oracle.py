@@ -83,11 +83,12 @@ activity_input AS (
 LOGS = f"""
 line_base AS (
   SELECT l_orderkey AS k, l_partkey AS p, l_suppkey AS s, l_linenumber AS n, l_returnflag AS flag,
+    CAST(round_even(l_extendedprice * 100, 0) AS BIGINT) AS cents,
     CAST(CAST(l_quantity AS BIGINT) % 7 AS INTEGER) AS log_level, d.text AS text
   FROM lineitem LEFT JOIN documents d ON d.doc_id = l_partkey
 ),
 log_entries AS (
-  SELECT (k * 8 + n) * 1048576 + (p * 31 + s) % 1048576 AS id,
+  SELECT (k * 8 + n) * 1048576 + (p * 31 + s * 17 + cents) % 1048576 AS id,
     {_created("k")} + to_microseconds(CAST(n + CASE n WHEN 6 THEN 1800 WHEN 7 THEN 4320 ELSE 0 END AS BIGINT)
       * 60000000 + (p % 60000) * 1000 + s % 1000) AS event_time_utc,
     log_level,

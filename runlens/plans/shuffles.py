@@ -17,12 +17,14 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column])
     return df.withColumn("_rank", rank).where(F.col("_rank") == 1).drop("_rank")
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Shuffle the narrow side of a join whose other side may have a hot key.
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Ready the narrow side of a join whose other side may have a hot key.
 
     Adaptive execution splits a skewed partition only if both join inputs come
-    straight from a shuffle. A narrow side that was just grouped or ranked by
-    the join key would not, and a third of all log lines or edges could land
-    in one task. One more shuffle of the narrow side buys the split.
+    straight from a shuffle. A side that was just grouped or ranked by the join
+    key is partitioned on it already and gets no shuffle, so a third of all log
+    lines or edges could stay in one task. Joining on a computed copy of the
+    key asks for that shuffle, of narrow rows; a plain repartition() on the
+    same key would be optimized away.
     """
-    return df.repartition(*[F.col(k) for k in keys])
+    return df.withColumn(key, F.concat(F.col(key), F.lit("")))

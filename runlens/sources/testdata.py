@@ -147,7 +147,8 @@ def log_entries(spark: SparkSession, sf_dir: str, *, text: bool = True) -> DataF
         _stored(lines, _run_id(k), "activity_id")
         .selectExpr("*", "CAST(CAST(l_quantity AS BIGINT) % 7 AS INT) AS log_level")
         .selectExpr(
-            f"({k} * 8 + {line}) * 1048576 + ({part} * 31 + {supp}) % 1048576 AS id",
+            f"({k} * 8 + {line}) * 1048576 "
+            f"+ ({part} * 31 + {supp} * 17 + CAST(rint(l_extendedprice * 100) AS BIGINT)) % 1048576 AS id",
             f"timestampadd(MICROSECOND, {_micros(k)} + {micros}, TIMESTAMP_NTZ '1995-01-01 00:00:00') AS event_time_utc",
             "log_level",
             f"if({part} % 17 <> 0, concat('Svc.', l_returnflag, '.', {part} % 15), NULL) AS category",
