@@ -4,7 +4,7 @@ from runlens.operators.adhoc import run_readonly_query, statement_audit
 from runlens.operators.audit import id_time_audit, retention_coverage
 from runlens.operators.detail import activity_get, missing_ids
 from runlens.operators.history import activity_history, history_runs, history_stats
-from runlens.operators.lineage import activity_lineage, lineage_result
+from runlens.operators.lineage import activity_lineage
 from runlens.operators.logs import (
     activity_log_summary,
     activity_logs,
@@ -31,7 +31,6 @@ __all__ = [
     "history_runs",
     "history_stats",
     "id_time_audit",
-    "lineage_result",
     "log_summary_categories",
     "log_summary_exceptions",
     "log_summary_stats",

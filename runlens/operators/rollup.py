@@ -54,7 +54,12 @@ def catalog(
     top: int = TOP_KEYS,
     now: datetime | None = None,
 ) -> DataFrame:
-    """Footprint of each application: types, top keys, run count, first and last run."""
+    """Footprint of each application: types, top keys, run count, first and last run.
+
+    Runs are reduced to distinct types and to counts per key before they are
+    shuffled, and each task passes on ``top`` keys per application at most, so
+    an application with most of the runs costs no more than the others.
+    """
     lo, hi = resolve_window(since, until, CATALOG_DAYS, now)
     runs = in_window(activity, "activity", lo, hi)
     kind = F.trim(F.col("activity_type"))
