@@ -14,6 +14,9 @@ _SETTINGS = {
     # Split a hot key even where an aggregate on that key follows the join:
     # the partial aggregate then runs on every split, before the extra shuffle.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # The JVM does not compile methods above this size. Result rows are wide,
+    # and one such method per row is slower than expressions split over many.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

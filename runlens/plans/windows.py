@@ -63,18 +63,20 @@ def within_bounds(df: DataFrame, table: str, bounds: DataFrame) -> DataFrame:
 
     The span is one row, evaluated as a scalar subquery before the scan
     starts, so whole months and row groups are skipped. A single unknown bound
-    opens its side.
+    opens its side. A table that is not laid out by month is left as it is:
+    the bounds would be computed and nothing skipped.
     """
+    month = MONTH_COLUMN[table]
+    if month not in df.columns:
+        return df
 
     def edge(aggregate: Column, column: str) -> Column:
         known = F.count(F.lit(1)) == F.count(column)
         return bounds.agg(F.when(known, aggregate).alias("edge")).scalar()
 
     lo, hi = edge(F.min("lo"), "lo"), edge(F.max("hi"), "hi")
-    time, month = F.col(TIME_COLUMN[table]), MONTH_COLUMN[table]
+    time = F.col(TIME_COLUMN[table])
     first = F.coalesce(lo, F.lit("0001-01-01").cast("timestamp_ntz"))
     last = F.coalesce(hi, F.lit("9999-12-31").cast("timestamp_ntz"))
-    kept = df.where((time >= first) & (time < last))
-    if month in df.columns:
-        kept = kept.where(F.col(month).between(month_of(first), month_of(last)))
-    return kept
+    months = F.col(month).between(month_of(first), month_of(last))
+    return df.where(months & (time >= first) & (time < last))
