@@ -19,6 +19,15 @@ from runlens.functions.measures import LEVEL_FIELDS
 from runlens.plans import prepare
 from runlens.sources import SourceRegistry, Tables, testdata
 
+try:
+    import corpus_pipeline
+    from runlens.llm import queries as llm
+except ModuleNotFoundError as missing:
+    # The text operators and their pipeline may be left out; anything else that is missing is an error.
+    if missing.name not in ("corpus_pipeline", "runlens.llm", "runlens.llm.queries"):
+        raise
+    llm = None
+
 # One window over all of the data; a year of it where history is capped.
 WINDOW = {"since": "1995-01-01", "until": "2002-01-01"}
 YEAR = {"since": "2000-08-01", "until": "2001-08-01"}
@@ -311,8 +320,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "id_time_audit": id_time_audit,
         "page_manifest": page_manifest,
         "retention_coverage": retention_coverage,
+        **text_queries(),
     }
 
 
+def text_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {} if llm is None else {**llm.queries(), "pipeline": corpus_pipeline.run}
+
+
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    if llm is None:
+        return dict(SQL)
+    pipeline = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
+    return {**SQL, **llm.oracle_sql(), **pipeline}
