@@ -1,12 +1,80 @@
-"""A corpus pipeline from documents to packed sequences."""
+"""A corpus pipeline: from documents to sequences of tokens.
+
+Each stage takes all that its predecessor kept. A run writes every stage's rows
+as Parquet to the folder in ``spark.checkpoint.dir`` and reads them again, so
+lineage is cut between stages and any lost task is redone from files.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from runlens.llm import bpe, exact_dedup, langid, ngram_join, packing, pii
+from runlens.llm.queries import BYTE_BPE, PSEUDONYM_KEY, SEQUENCE_LENGTH
+from runlens.llm.session import ready
+from runlens.plans import checkpoint_dir
+
+DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that have a language: only those without any letters go. A missing label is filled in."""
+    ready(spark)
+    model = langid.fit(docs)
+    found = langid.identify(docs.select(*DOCUMENT), model)
+    kept = found.where(F.col("lang_pred") != langid.UNKNOWN) if model is not None else found.where(F.col("text").rlike(r"\p{L}"))
+    predicted = F.when(F.col("lang_pred") != langid.UNKNOWN, F.col("lang_pred"))
+    return kept.withColumn("lang", F.coalesce("lang", predicted)).select(*DOCUMENT)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with equal texts the one with the smallest id."""
+    ready(spark)
+    return exact_dedup.exact_dedup(docs.select(*DOCUMENT))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by similar shingles the one with the smallest id."""
+    ready(spark)
+    groups = ngram_join.near_duplicates(docs)
+    gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
+    return docs.select(*DOCUMENT).join(gone, "doc_id", "left_anti").select(*DOCUMENT)
+
+
+def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data replaced; the texts' lengths follow."""
+    ready(spark)
+    done = pii.pseudonymise(docs.select(*DOCUMENT), PSEUDONYM_KEY)
+    return done.withColumn("n_chars", F.length("text").cast("long")).select(*DOCUMENT)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document stands in the training sequences."""
+    ready(spark)
+    pieces = packing.pieces(bpe.encode(docs, BYTE_BPE), SEQUENCE_LENGTH)
+    items = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.pack(items, SEQUENCE_LENGTH, ["doc_id", "piece", "ids_crc32"])
+
+
+STAGES = [
+    ("language", language),
+    ("exact_dedup", exact),
+    ("near_duplicates", near),
+    ("pii", pseudonyms),
+    ("pack", pack),
+]
 
-STAGES: list = []
+#: The stages have no SQL form; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over the documents of ``sf_dir``."""
+    folder = f"{checkpoint_dir(ready(spark))}/pipeline-{uuid.uuid4()}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return docs

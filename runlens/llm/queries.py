@@ -2,18 +2,30 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from runlens.llm import bpe, chat, exact_dedup, packing, token_counts
+from runlens.llm import ann, bpe, chat, exact_dedup, langid, ngram_join, packing, pii, token_counts, warc
 from runlens.llm.session import table
+from runlens.plans import checkpoint_dir
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 TOKEN_LIMIT = 4096
 SEQUENCE_LENGTH = 2048
+NEIGHBOURS = 5
+#: Of these queries only; a real run takes its own secret.
+PSEUDONYM_KEY = b"the key of the registered queries"
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +64,13 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    path = f"{checkpoint_dir(spark)}/warc-{uuid.uuid4()}"
+    warc.write_archives(warc.records(pages), path)
+    return warc.page_records(spark, path)
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = bpe.encode(table(spark, sf_dir, "documents"), BYTE_BPE)
     digest = ids.select(
@@ -69,13 +88,31 @@ def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(items, SEQUENCE_LENGTH, ["doc_id", "piece", "ids_crc32"])
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
+
+
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return ann.search(vectors, vectors.where(F.col("vec_id") % 50 == 0), NEIGHBOURS)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": op1_language_id,
         "op2_chat_format": op2_chat_format,
         "op3_exact_dedup": op3_exact_dedup,
         "op4_token_counts": op4_token_counts,
+        "op5_warc": op5_warc,
         "op6_bpe": op6_bpe,
         "op7_pack": op7_pack,
+        "op8_pii": op8_pii,
+        "op9_ngram_join": op9_ngram_join,
+        "op10_ann": op10_ann,
     }
 
 
