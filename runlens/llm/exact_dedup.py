@@ -106,8 +106,9 @@ def exact_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", field_bi
     again = rows.where("_again").withColumn("_sha", F.sha2("_norm", 256))
     narrow = settle(again.select(F.col(key_name).alias("_key"), "_sha").groupBy("_sha", "_key").agg(F.count(F.lit(1)).alias("_m")))
     keep = narrow.groupBy("_sha").agg(F.min("_key").alias("_keep"))
-    gone = narrow.join(spread(keep, "_sha"), "_sha").where(~F.col("_key").eqNullSafe(F.col("_keep"))).select("_key", "_sha")
-    stay = again.join(gone, again[key_name].eqNullSafe(gone["_key"]) & (again["_sha"] == gone["_sha"]), "left_anti")
+    gone = narrow.join(spread(keep, "_sha"), "_sha").where(~F.col("_key").eqNullSafe(F.col("_keep")))
+    gone = gone.select(F.col("_key").alias("_gone"), F.col("_sha").alias("_gone_sha"))
+    stay = again.join(gone, F.col(key_name).eqNullSafe(F.col("_gone")) & (F.col("_sha") == F.col("_gone_sha")), "left_anti")
     ordered = [F.col(n).cast("string") for n in names if n not in (key_name, text_name)] + [F.col(text_name)]
     first = F.row_number().over(Window.partitionBy(key_name, "_sha").orderBy(*ordered))
     stay = stay.withColumn("_first", first).where(F.col("_first") == 1)
