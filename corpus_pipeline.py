@@ -36,7 +36,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by similar shingles the one with the smallest id."""
+    """Of documents linked by similar shingles the one with the smallest id; a row without an id cannot be named and stays."""
     ready(spark)
     groups = ngram_join.near_duplicates(docs)
     gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id")

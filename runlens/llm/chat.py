@@ -134,7 +134,7 @@ def turns_from_records(df: DataFrame, key: str = "conv_id", record: str = "recor
 def turns_from_rows(df: DataFrame) -> DataFrame:
     """``conv_id`` and ``turns`` of a table with a row for each turn.
 
-    Turns go by number, ties by role, then text; null comes last. A null role
+    Turns go by number, ties by role, then text; null comes first. A null role
     or text is empty; roles stay as they are. The rows of one conversation meet in one cell, as its
     formatted text is one; that is what bounds its length.
     """

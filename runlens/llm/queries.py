@@ -123,8 +123,8 @@ WITH rows AS (
   UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
 ), texts AS (
   SELECT conv_id, count(*) AS n_turns,
-    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text) AS turns,
-    coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+    coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
     sum(length('<turn >') + 2 + length(role) + length(text) + length('</turn>') + 1
       + length(text) - length(replace(text, '\', '')) + length(text) - length(replace(text, '<', ''))) AS formatted_chars
   FROM rows GROUP BY conv_id
