@@ -14,7 +14,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from duckdb_oracle import SQL
-from runlens import operators as op
+from runlens import functions as fn, operators as op
 from runlens.functions.measures import LEVEL_FIELDS
 from runlens.plans import prepare
 from runlens.sources import SourceRegistry, Tables, testdata
@@ -79,6 +79,10 @@ def catalog_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.catalog_keys(_runs(spark, sf_dir), **WINDOW)
 
 
+def catalog_keys_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.to_json(catalog_keys(spark, sf_dir))
+
+
 def fleet_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.fleet_overview(_runs(spark, sf_dir), **WINDOW)
 
@@ -107,6 +111,11 @@ def activities_page_1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.activities_list(_runs(spark, sf_dir), **WINDOW)
 
 
+def activities_default_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The week before a fixed time."""
+    return op.activities_list(_runs(spark, sf_dir), now=NOW)
+
+
 # The cursor of a page that ended at 1999-12-31 23:59:59.999999.
 _PAGE_CURSOR = "NjMwODIyODE1OTk5OTk5OTkwfGY="
 
@@ -132,7 +141,17 @@ def activities_wildcards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def activity_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = op.activity_get(_runs(spark, sf_dir, text=True), _edges(spark, sf_dir), _logs(spark, sf_dir))
+    return _flat_detail(op.activity_get(_runs(spark, sf_dir, text=True), _edges(spark, sf_dir), _logs(spark, sf_dir)))
+
+
+def activity_get_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every run asked for by id with its start as the hint."""
+    ids = _runs(spark, sf_dir).select(F.col("id").alias("activity_id"), F.col("started_on").alias("created_on"))
+    tables = (_runs(spark, sf_dir, text=True), _edges(spark, sf_dir), _logs(spark, sf_dir))
+    return _flat_detail(op.activity_get(*tables, ids))
+
+
+def _flat_detail(rows: DataFrame) -> DataFrame:
     # The run summary already has an "error" column, so the levels get a prefix.
     columns = [F.col(c) for c in rows.columns if c != "log_level_counts"]
     levels = [F.col(f"log_level_counts.{n}").alias(f"level_{n}") for n in LEVEL_FIELDS]
@@ -149,6 +168,12 @@ def log_summary_stats_hinted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.log_summary_stats(_logs(spark, sf_dir), ids, now=NOW)
 
 
+def log_summary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The failed runs, by id alone."""
+    failed = _runs(spark, sf_dir).where(F.col("status") == "failed")
+    return op.log_summary_stats(_logs(spark, sf_dir), failed.select(F.col("id").alias("activity_id")), now=NOW)
+
+
 def log_summary_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.log_summary_categories(_logs(spark, sf_dir))
 
@@ -189,19 +214,35 @@ def activity_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def activity_logs_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every run, the window placed by the run's id."""
-    logs = _logs(spark, sf_dir)
+    logs = _logs(spark, sf_dir, text=True)
     return _as_text(op.activity_logs(logs, min_level="Trace", now=NOW), "properties")
 
 
+def activity_logs_exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every run that carry an exception."""
+    logs = _logs(spark, sf_dir, text=True)
+    return _as_text(op.activity_logs(logs, min_level="Trace", exceptions_only=True, now=NOW), "properties")
+
+
 def activity_logs_desc_page_2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second page of two lines of every run, newest first."""
-    logs = _logs(spark, sf_dir)
+    logs = _logs(spark, sf_dir, text=True)
     how = {"min_level": "Trace", "order": "desc", "limit": 2, "now": NOW}
-    first = op.activity_logs(logs, **how)
+    first = op.activity_logs(_logs(spark, sf_dir), **how)
     runs = first.where(F.col("next_cursor").isNotNull()).select("activity_id", F.col("next_cursor").alias("cursor"))
     return _as_text(op.activity_logs(logs, runs, **how), "properties")
 
 
+def activity_logs_many_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second and third page of two lines of every run, fetched at once."""
+    by_id = {"min_level": "Trace", "now": NOW}
+    lines = op.activity_logs(_logs(spark, sf_dir), limit=5, **by_id).select("activity_id", "id", "position")
+    times = _logs(spark, sf_dir).select("id", "event_time_utc")
+    last = lines.where(F.col("position").isin(2, 4) & F.col("position").isNotNull()).join(times, "id")
+    runs = last.select("activity_id", fn.cursor_encode(F.col("event_time_utc"), F.col("id")).alias("cursor"))
+    return _as_text(op.activity_logs(_logs(spark, sf_dir, text=True), runs, limit=2, **by_id), "properties")
+
+
 def logs_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _as_text(op.logs_search(_logs(spark, sf_dir, text=True), **WINDOW), "properties")
 
@@ -223,16 +264,37 @@ def logs_search_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _lineage(direction: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return op.activity_lineage(_runs(spark, sf_dir), _edges(spark, sf_dir), direction=direction, depth=3)
+        runs = _runs(spark, sf_dir)
+        seeds = runs.select(F.col("id").alias("activity_id"))
+        return op.activity_lineage(runs, _edges(spark, sf_dir), seeds, direction=direction, depth=3)
 
     return run
 
 
+def lineage_failed_both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What failed runs read from and what read from them, two levels each way."""
+    runs = _runs(spark, sf_dir)
+    seeds = runs.where(F.col("status") == "failed").select(F.col("id").alias("activity_id"))
+    return op.activity_lineage(runs, _edges(spark, sf_dir), seeds, depth=2)
+
+
 def history_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = _runs(spark, sf_dir, text=True)
     return op.history_runs(runs, by=WORKLOAD, **YEAR)
 
 
+def history_runs_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The window is longer than what is kept; the note says so."""
+    return op.history_runs(_runs(spark, sf_dir, text=True), by=WORKLOAD, **WINDOW)
+
+
+def activity_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nested form, its runs shown by their ids."""
+    rows = op.activity_history(_runs(spark, sf_dir), by=WORKLOAD, **WINDOW)
+    ids = F.array_join(F.transform("runs", lambda r: r["id"]), ",").alias("run_ids")
+    return rows.select(*WORKLOAD, ids, "stats.*", "note")
+
+
 def history_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.history_stats(_runs(spark, sf_dir), by=WORKLOAD, **YEAR)
 
@@ -291,28 +353,37 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "catalog": catalog,
         "catalog_top_keys": catalog_keys,
+        "catalog_keys_json": catalog_keys_json,
         "fleet_overview": fleet_overview,
         "fleet_overview_by_type": fleet_overview_by_type,
         "fleet_overview_sources": fleet_overview_sources,
         "recent_failures": recent_failures,
         "activities_page_1": activities_page_1,
+        "activities_default_window": activities_default_window,
         "activities_page_2": activities_page_2,
         "activities_filtered": activities_filtered,
         "activities_wildcards": activities_wildcards,
         "activity_detail": activity_detail,
+        "activity_get_ids": activity_get_ids,
         "log_summary_stats": log_summary_stats,
         "log_summary_stats_hinted": log_summary_stats_hinted,
+        "log_summary_ids": log_summary_ids,
         "log_summary_categories": log_summary_categories,
         "log_summary_exceptions": log_summary_exceptions,
         "activity_log_summary": activity_log_summary,
         "activity_logs": activity_logs,
         "activity_logs_by_id": activity_logs_by_id,
         "activity_logs_desc_page_2": activity_logs_desc_page_2,
+        "activity_logs_many_pages": activity_logs_many_pages,
+        "activity_logs_exceptions": activity_logs_exceptions,
         "logs_search": logs_search,
         "logs_search_filtered": logs_search_filtered,
         "lineage_inputs_d3": _lineage("inputs"),
         "lineage_outputs_d3": _lineage("outputs"),
+        "lineage_failed_both": lineage_failed_both,
         "history_runs": history_runs,
+        "history_runs_capped": history_runs_capped,
+        "activity_history": activity_history,
         "history_stats": history_stats,
         "history_stats_by_type": history_stats_by_type,
         "bounded_query": bounded_query,

@@ -109,6 +109,8 @@ _LOG_WINDOW = _WINDOW.replace("created_on", "event_time_utc")
 _YEAR = "created_on >= TIMESTAMP '2000-08-01' AND created_on < TIMESTAMP '2001-08-01'"
 _CAPPED = "created_on >= TIMESTAMP '2001-01-01' AND created_on < TIMESTAMP '2002-01-01'"
 _NOW = "TIMESTAMP '2001-08-01'"
+# The notes, and below the statement rule's words and reasons.
+_HISTORY_NOTE = "window capped to the ~12-month activity retention horizon"
 _NOTE = (
     "window predates the ~90-day log retention horizon; "
     "logs may have been dropped even if the activity resolves"
@@ -184,10 +186,8 @@ def _summary(error: bool) -> str:
     )
 
 
-def _line(chars: int | None, text: bool = True) -> str:
+def _line(chars: int | None) -> str:
     def cut(name: str) -> str:
-        if not text:
-            return f"CAST(NULL AS VARCHAR) AS {name}, CAST(NULL AS BOOLEAN) AS {name}_truncated"
         if chars is None:
             return f"{name}, CASE WHEN {name} IS NOT NULL THEN false END AS {name}_truncated"
         return f"left({name}, {chars}) AS {name}, length({name}) > {chars} AS {name}_truncated"
@@ -217,7 +217,7 @@ SELECT application, {kind} AS activity_type, count(*) AS runs,
   count(*) FILTER (status = 'skipped') AS skipped, {_RATE} AS success_rate,
   CAST(round_even(CAST(sum(epoch_us(completed_on) - epoch_us(started_on)) AS DOUBLE)
     / (1000 * count(epoch_us(completed_on) - epoch_us(started_on))), 0) AS BIGINT) AS avg_duration_ms,
-  CAST(NULL AS BIGINT) AS p95_duration_ms, CAST(sum(records_impacted) AS BIGINT) AS total_records_impacted,
+  CAST(NULL AS BIGINT) AS p95_duration_ms, CAST(sum(records_impacted) AS DECIMAL(38, 0)) AS total_records_impacted,
   {_iso("max(created_on)")} AS last_run_utc,
   {_iso("max(created_on) FILTER (status IN ('failed', 'canceled'))")} AS last_failure_utc{source}
 FROM {table} WHERE {_WINDOW} GROUP BY {keys}"""
@@ -261,6 +261,7 @@ top_categories AS (
 _TOP_EXCEPTIONS = """
 top_exceptions AS (
   SELECT activity_id, exception_type AS type, count(*) AS count, left(min(message), 500) AS sample_message,
+    length(min(message)) > 500 AS sample_message_truncated,
     row_number() OVER (PARTITION BY activity_id ORDER BY count(*) DESC, exception_type) AS rank
   FROM near WHERE exception_type IS NOT NULL GROUP BY activity_id, exception_type QUALIFY rank <= 10
 )"""
@@ -290,10 +291,18 @@ placed AS (
 )"""
 
 
-def _lineage(near: str, far: str, direction: str) -> str:
+def _ordered(order: str) -> str:
+    """Lines inside their window with their number and the cursor of the place behind them."""
+    return (
+        f"ordered AS (SELECT *, row_number() OVER (PARTITION BY activity_id ORDER BY {order}) AS r, "
+        f"{_cursor('event_time_utc', 'id')} AS here FROM placed WHERE event_time_utc >= lo AND event_time_utc < hi)"
+    )
+
+
+def _lineage(near: str, far: str, direction: str, seeds: str = "true", depth: int = 3) -> str:
     return f"""{_with(ACTIVITY, EDGES)},
 link AS (SELECT {near} AS a, {far} AS b, input_role AS role FROM activity_input),
-s0 AS (SELECT id AS seed, id AS node FROM activity),
+s0 AS (SELECT id AS seed, id AS node FROM activity WHERE {seeds}),
 n1 AS (SELECT DISTINCT seed, b AS node FROM s0 JOIN link ON a = node WHERE b <> seed),
 seen1 AS (SELECT * FROM s0 UNION ALL SELECT * FROM n1),
 n2 AS (SELECT DISTINCT n1.seed, b AS node FROM n1 JOIN link ON a = n1.node
@@ -309,8 +318,9 @@ found AS (
   SELECT f.seed, 3, role, b FROM n2 f JOIN link ON a = f.node JOIN n3 t ON t.seed = f.seed AND t.node = b
 )
 SELECT seed AS seed_id, '{direction}' AS direction, depth, role, b AS activity_id, activity_type, target, status,
-  {_iso("started_on")} AS started_on_utc, {_iso("created_on")} AS created_on_utc, records_impacted
-FROM found JOIN activity ON id = b"""
+  {_iso("started_on")} AS started_on_utc, {_iso("created_on")} AS created_on_utc, records_impacted,
+  false AS depth_limited
+FROM found JOIN activity ON id = b WHERE depth <= {depth}"""
 
 
 # Not quantile_cont(): it interpolates with other intermediate values, which
@@ -324,19 +334,20 @@ _P95 = (
 )
 
 
-def _stats(by: str, where: str, limit: int, not_null: str) -> str:
+def _stats(by: str, where: str, limit: int, not_null: str, note: str, more: str = "") -> str:
     return f"""{_with(ACTIVITY)},
 latest AS (
   SELECT *, {_ms()} AS ms FROM activity WHERE {where} AND {not_null} IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY {by} ORDER BY created_on DESC, id DESC) <= {limit}
 )
-SELECT {by}, count(*) AS count, count(*) FILTER (status = 'skipped') AS skipped, {_RATE} AS success_rate,
+SELECT {by}, {more} {note} AS note, count(*) AS count, count(*) FILTER (status = 'skipped') AS skipped, {_RATE} AS success_rate,
   min(ms) AS min_duration_ms, CAST(round_even(avg(ms), 0) AS BIGINT) AS avg_duration_ms,
   {_P95} AS p95_duration_ms, max(ms) AS max_duration_ms,
   CAST(round_even(avg(records_impacted), 0) AS BIGINT) AS avg_records_impacted
 FROM latest GROUP BY {by}"""
 
 
+# Fixed values of the statement rule, here and in the reasons below.
 _WORDS = (
     "INSERT|UPDATE|DELETE|DROP|ALTER|CREATE|REPLACE|TRUNCATE|GRANT|REVOKE|CALL|EXEC|EXECUTE|LOAD|INTO|OUTFILE|"
     "DUMPFILE|HANDLER|LOCK|UNLOCK|SET|USE|RENAME|ATTACH|MERGE|DELIMITER"
@@ -399,6 +410,20 @@ LEFT JOIN outs ON outs.input_activity_id = id
 WHERE {_id_time("id")} IS NULL OR (created_on >= {_id_time("id")} - INTERVAL 2 DAY
   AND created_on < {_id_time("id")} + INTERVAL 2 DAY)"""
 
+def _detail(center: str, unknown: str) -> str:
+    """The same for runs asked for with their start as the hint, which also places the edges."""
+    t = center.format(t=_id_time("id"))
+    near = f"({unknown.format(t=_id_time('id'))}(created_on >= {t} - INTERVAL 2 DAY AND created_on < {t} + INTERVAL 2 DAY))"
+    edge = near.replace("created_on", "e.created_on").replace("started_on", "r.started_on").replace(_id_time("id"), _id_time("e.activity_id"))
+    ins = (
+        f"ins AS (SELECT e.activity_id, count(*) AS n FROM activity_input e JOIN activity r ON r.id = e.activity_id "
+        f"WHERE {edge} GROUP BY e.activity_id), outs AS"
+    )
+    head, tail = _DETAIL.split("WHERE " + _id_time("id") + " IS NULL OR")[0], near
+    start, end = head.index("ins AS ("), head.index("outs AS")
+    return head[:start] + ins + head[end + len("outs AS") :] + "WHERE " + tail
+
+
 _SEARCH = (
     f"{_LOG_WINDOW} AND log_level >= 4 AND contains(lower(category), 'svc.r') "
     "AND contains(lower(message), 'the') AND exception_type = 'IOException'"
@@ -412,14 +437,19 @@ SELECT application, string_agg(DISTINCT activity_type, ',' ORDER BY activity_typ
   {_iso("min(created_on)")} AS first_seen_utc, {_iso("max(created_on)")} AS last_seen_utc
 FROM activity LEFT JOIN lists ON app = coalesce(application, '') WHERE {_WINDOW} GROUP BY application""",
     "catalog_top_keys": f"{_with(ACTIVITY, _TOP_KEYS)} SELECT app AS application, rank, activity_key, run_count FROM top_keys",
+    "catalog_keys_json": f"""{_with(ACTIVITY, _TOP_KEYS)}
+SELECT '{{"application":' || to_json(app) || ',"rank":' || rank || ',"activity_key":' || to_json(activity_key)
+  || ',"run_count":' || run_count || '}}' AS json FROM top_keys""",
     "fleet_overview": _with(ACTIVITY) + _overview("application", "CAST(NULL AS VARCHAR)"),
     "fleet_overview_by_type": _with(ACTIVITY) + _overview("application, activity_type", "activity_type"),
     "fleet_overview_sources": f"""{_with(ACTIVITY)},
 split AS (SELECT *, CASE WHEN environment = 'prod' THEN 'Production' ELSE 'Other' END AS source FROM activity)
 {_overview("application, source", "CAST(NULL AS VARCHAR)", "split", ", source")}""",
-    "recent_failures": f"""{_with(ACTIVITY)} SELECT {_summary(True)} FROM activity
+    "recent_failures": f"""{_with(ACTIVITY)} SELECT {_summary(True)}, count(*) OVER () > 25 AS has_more FROM activity
 WHERE {_WINDOW} AND status IN ('failed', 'canceled') ORDER BY created_on DESC, activity.id DESC LIMIT 25""",
     "activities_page_1": _with(ACTIVITY) + _page(_summary(False), "activity", "created_on", _WINDOW, 50),
+    "activities_default_window": _with(ACTIVITY)
+    + _page(_summary(False), "activity", "created_on", f"created_on >= {_NOW} - INTERVAL 7 DAY AND created_on < {_NOW}", 50),
     "activities_page_2": _with(ACTIVITY)
     + _page(
         _summary(False),
@@ -439,6 +469,7 @@ WHERE {_WINDOW} AND status IN ('failed', 'canceled') ORDER BY created_on DESC, a
     "activities_wildcards": _with(ACTIVITY)
     + _page(_summary(False), "activity", "created_on", rf"{_WINDOW} AND target LIKE '%7!%%' ESCAPE '!'", 200),
     "activity_detail": _DETAIL,
+    "activity_get_ids": _detail("coalesce(started_on, {t})", "started_on IS NULL AND {t} IS NULL OR "),
     "log_summary_stats": f"""{_with(LOGS, _NEAR)}
 SELECT activity_id, {_TOTALS}, {_note("any_value(center)")} FROM near GROUP BY activity_id""",
     "log_summary_stats_hinted": f"""{_with(ACTIVITY, LOGS)},
@@ -450,10 +481,14 @@ found AS (
 )
 SELECT id AS activity_id, coalesce(total, 0) AS total, {", ".join(_LEVELS)}, first_event_utc, last_event_utc,
   {_note("center")} FROM asked LEFT JOIN found ON activity_id = id""",
+    "log_summary_ids": f"""{_with(ACTIVITY, LOGS, _NEAR)},
+found AS (SELECT activity_id, {_TOTALS} FROM near GROUP BY activity_id)
+SELECT id AS activity_id, coalesce(total, 0) AS total, {", ".join(f"found.{n}" for n in _LEVELS)},
+  first_event_utc, last_event_utc, {_note(_id_time("id"))} FROM activity LEFT JOIN found ON activity_id = id WHERE status = 'failed'""",
     "log_summary_categories": f"""{_with(LOGS, _NEAR, _TOP_CATEGORIES)}
 SELECT activity_id, rank, category, count FROM top_categories""",
     "log_summary_exceptions": f"""{_with(LOGS, _NEAR, _TOP_EXCEPTIONS)}
-SELECT activity_id, rank, type, count, sample_message FROM top_exceptions""",
+SELECT activity_id, rank, type, count, sample_message, sample_message_truncated FROM top_exceptions""",
     "activity_log_summary": f"""{_with(LOGS, _NEAR, _TOP_CATEGORIES, _TOP_EXCEPTIONS)},
 stats AS (SELECT activity_id, {_TOTALS}, {_note("any_value(center)")} FROM near GROUP BY activity_id),
 cats AS (SELECT activity_id, string_agg(coalesce(category, '<null>') || '=' || count, ',' ORDER BY rank) AS t
@@ -472,26 +507,46 @@ placed AS (
 {_run_page(_line(500), 200)}""",
     "activity_logs_by_id": f"""{_with(LOGS, _BY_ID)},
 {_numbered("event_time_utc >= lo AND event_time_utc < hi", "event_time_utc, id", "placed")}
-{_run_page(_line(500, text=False), 200)}""",
-    "activity_logs_desc_page_2": f"""{_with(LOGS, _BY_ID)},
-ordered AS (
-  SELECT *, row_number() OVER (PARTITION BY activity_id ORDER BY event_time_utc DESC, id DESC) AS r
-  FROM placed WHERE event_time_utc >= lo AND event_time_utc < hi
-), {_numbered("r > 2", "event_time_utc DESC, id DESC", "ordered")}
-{_run_page(_line(500, text=False), 2)}""",
+{_run_page(_line(500), 200)}""",
+    "activity_logs_desc_page_2": f"""{_with(LOGS, _BY_ID)}, {_ordered("event_time_utc DESC, id DESC")},
+asked AS (SELECT *, max(here) FILTER (r = 2) OVER (PARTITION BY activity_id) AS cursor FROM ordered),
+{_numbered("r > 2", "event_time_utc DESC, id DESC", "asked")}
+{_run_page("cursor, " + _line(500), 2)}""",
+    "activity_logs_many_pages": f"""{_with(LOGS, _BY_ID)}, {_ordered("event_time_utc, id")},
+numbered AS (
+  SELECT *, (r - 1) % 2 + 1 AS position, lag(here, CAST((r - 1) % 2 + 1 AS INTEGER)) OVER (PARTITION BY activity_id ORDER BY r) AS cursor,
+    count(*) OVER (PARTITION BY activity_id) AS n FROM ordered
+)
+SELECT position, cursor, {_line(500)}, CASE WHEN position = 2 AND n > r THEN here END AS next_cursor, {_note("hi")}
+FROM numbered WHERE r BETWEEN 3 AND 6""",
+    "activity_logs_exceptions": f"""{_with(LOGS, _BY_ID)},
+{_numbered("event_time_utc >= lo AND event_time_utc < hi AND exception_type IS NOT NULL", "event_time_utc, id", "placed")}
+{_run_page(_line(500), 200)}""",
     "logs_search": _with(LOGS)
     + _page(_line(500), "log_entries", "event_time_utc", f"{_LOG_WINDOW} AND log_level >= 3", 100),
     "logs_search_filtered": _with(LOGS) + _page(_line(None), "log_entries", "event_time_utc", _SEARCH, 500),
     "lineage_inputs_d3": _lineage("activity_id", "input_activity_id", "inputs"),
     "lineage_outputs_d3": _lineage("input_activity_id", "activity_id", "outputs"),
+    "lineage_failed_both": f"""
+SELECT * FROM ({_lineage("activity_id", "input_activity_id", "inputs", "status = 'failed'", 2)})
+UNION ALL SELECT * FROM ({_lineage("input_activity_id", "activity_id", "outputs", "status = 'failed'", 2)})""",
     "history_runs": f"""{_with(ACTIVITY)},
 latest AS (
   SELECT *, row_number() OVER (PARTITION BY application, activity_key ORDER BY created_on DESC, id DESC) AS position
   FROM activity WHERE {_YEAR} AND activity_key IS NOT NULL
 )
-SELECT position, {_summary(True)} FROM latest WHERE position <= 30""",
-    "history_stats": _stats("application, activity_key", _YEAR, 30, "activity_key"),
-    "history_stats_by_type": _stats("application, activity_type", _CAPPED, 200, "activity_type"),
+SELECT position, {_summary(True)}, CAST(NULL AS VARCHAR) AS note FROM latest WHERE position <= 30""",
+    "history_runs_capped": f"""{_with(ACTIVITY)},
+latest AS (
+  SELECT *, row_number() OVER (PARTITION BY application, activity_key ORDER BY created_on DESC, id DESC) AS position
+  FROM activity WHERE {_CAPPED} AND activity_key IS NOT NULL
+)
+SELECT position, {_summary(True)}, '{_HISTORY_NOTE}' AS note FROM latest WHERE position <= 30""",
+    "activity_history": _stats(
+        "application, activity_key", _CAPPED, 30, "activity_key", f"'{_HISTORY_NOTE}'", "string_agg(id, ',' ORDER BY created_on DESC, id DESC) AS run_ids,"
+    ),
+    "history_stats": _stats("application, activity_key", _YEAR, 30, "activity_key", "CAST(NULL AS VARCHAR)"),
+    "history_stats_by_type": _stats("application, activity_type", _CAPPED, 200, "activity_type", f"'{_HISTORY_NOTE}'"),
     "bounded_query": f"""{_with(ACTIVITY)}
 SELECT application, environment, status, count(*) AS runs, min(created_on) AS first_run, true AS truncated
 FROM activity WHERE status IN ('failed', 'canceled', 'running') GROUP BY application, environment, status

@@ -20,6 +20,7 @@ COMMENTED = "SQL comments are not allowed."
 NOT_SELECT = "Only SELECT or WITH (CTE) queries are allowed."
 DISALLOWED = "Disallowed keyword in query: {}."
 
+# What opens a comment, and how a statement must start.
 _COMMENT_MARKS = ("--", "/*", "#")
 _START = r"^\s*\(*\s*(?:SELECT|WITH)\b"
 _FORBIDDEN = rf"\b({'|'.join(FORBIDDEN_WORDS)})\b"

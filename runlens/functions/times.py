@@ -84,23 +84,29 @@ def near(time: Column, center: Column, n: int, otherwise: Column | None = None)
 
 
 def log_window(
-    *, id_time: Column, created: Column, started: Column, completed: Column, now: datetime
+    *,
+    id_time: Column,
+    created: Column,
+    started: Column,
+    completed: Column,
+    now: datetime,
+    retention_days: int = LOG_RETENTION_DAYS,
 ) -> tuple[Column, Column]:
     """Where a run's log lines are looked for.
 
     Lower end: the first known of start, creation and id time, less a day.
     Upper end: the first known of completion, creation and id time, plus a
-    day. Each fills in for the other; if nothing is known the whole retention
-    horizon before ``now`` is used.
+    day. Each fills in for the other; if nothing is known all that is kept is
+    searched, ``retention_days`` back from ``now``.
     """
     lower = F.coalesce(started, created, id_time)
     upper = F.coalesce(completed, created, id_time)
-    lo = F.coalesce(F.coalesce(lower, upper) - days(1), at(now) - days(LOG_RETENTION_DAYS))
+    lo = F.coalesce(F.coalesce(lower, upper) - days(1), at(now) - days(retention_days))
     hi = F.coalesce(F.coalesce(upper, lower) + days(1), at(now) + days(1))
     return lo, hi
 
 
-def retention_note(window_end: Column, now: datetime) -> Column:
+def retention_note(window_end: Column, now: datetime, retention_days: int = LOG_RETENTION_DAYS) -> Column:
     """The stale-window note when ``window_end`` lies before the horizon."""
-    horizon = at(now) - days(LOG_RETENTION_DAYS)
+    horizon = at(now) - days(retention_days)
     return F.when(window_end < horizon, F.lit(STALE_NOTE))

@@ -40,13 +40,13 @@ def _latest(
     """The newest runs of each workload, numbered, and the note on the window."""
     unknown = set(by) - set(WORKLOAD_COLUMNS)
     if unknown:
-        raise ValueError(f"by: unknown workload columns {sorted(unknown)}.")
+        raise ValueError(f"by: no workload columns: {sorted(unknown)}")
     named = {"activity_key": activity_key, "activity_type": activity_type}
     if all(is_blank(v) and c not in by for c, v in named.items()):
-        raise ValueError("activity_key: Provide activity_key or activity_type.")
+        raise ValueError("activity_key: name a key or a type, or split by one")
 
     lo, hi = resolve_window(since, until, HISTORY_DAYS, now)
-    lo, note = cap_history(lo, hi)
+    lo, note = cap_history(lo, hi, limits.activity_retention_days)
     runs = in_window(activity, "activity", lo, hi)
     for column, value in {**named, "application": application}.items():
         if not is_blank(value):
@@ -63,6 +63,10 @@ def _latest(
     return runs.withColumn("position", position).where(F.col("position") <= size), note
 
 
+def _noted(note: str | None) -> Column:
+    return F.lit(note).cast("string").alias("note")
+
+
 def history_runs(
     activity: DataFrame,
     *,
@@ -80,11 +84,11 @@ def history_runs(
 
     A workload is named by key, by type or by both. With ``by`` every
     combination of those columns is a workload of its own. The window reaches
-    back a year at most.
+    back ``limits.activity_retention_days`` at most; ``note`` says if that cut it.
     """
     cut = cut_texts(activity, limits.text_chars, "error")
-    latest, _ = _latest(cut, by, activity_key, activity_type, application, since, until, limit, limits, now)
-    return latest.select("position", *run_summary(cut=True))
+    latest, note = _latest(cut, by, activity_key, activity_type, application, since, until, limit, limits, now)
+    return latest.select("position", *run_summary(cut=True), _noted(note))
 
 
 def _statistics() -> list[Column]:
@@ -128,8 +132,8 @@ def history_stats(
     now: datetime | None = None,
 ) -> DataFrame:
     """Statistics over the runs :func:`history_runs` returns, not over the whole window."""
-    latest, _ = _latest(activity, by, activity_key, activity_type, application, since, until, limit, limits, now)
-    return latest.groupBy(*by).agg(*_statistics())
+    latest, note = _latest(activity, by, activity_key, activity_type, application, since, until, limit, limits, now)
+    return latest.groupBy(*by).agg(*_statistics()).withColumn("note", _noted(note))
 
 
 def activity_history(
@@ -156,5 +160,5 @@ def activity_history(
         *by,
         F.transform("_runs", lambda x: x["run"]).alias("runs"),
         F.struct(*STATISTICS).alias("stats"),
-        F.lit(note).cast("string").alias("note"),
+        _noted(note),
     )

@@ -58,16 +58,22 @@ def catalog(
 
     Runs are reduced to distinct types and to counts per key before they are
     shuffled, and each task passes on ``top`` keys per application at most, so
-    an application with most of the runs costs no more than the others.
+    an application with most of the runs costs no more than the others. Types
+    are collected after they were made distinct; an application has as many
+    as it has kinds of work, and the row names them all.
     """
     lo, hi = resolve_window(since, until, CATALOG_DAYS, now)
     runs = in_window(activity, "activity", lo, hi)
-    kind = F.trim(F.col("activity_type"))
-    footprint = runs.groupBy("application").agg(
-        F.sort_array(F.collect_set(F.when(kind != "", kind))).alias("activity_types"),
-        F.count(F.lit(1)).alias("run_count"),
-        F.min("created_on").alias("first_seen"),
-        F.max("created_on").alias("last_seen"),
+    kind = F.nullif(F.trim(F.col("activity_type")), F.lit(""))
+    # Distinct types come first, with partial counts; one row of each then makes the list.
+    by_type = runs.groupBy("application", kind.alias("kind")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("created_on").alias("first"), F.max("created_on").alias("last")
+    )
+    footprint = by_type.groupBy("application").agg(
+        F.sort_array(F.collect_list("kind")).alias("activity_types"),
+        F.sum("n").alias("run_count"),
+        F.min("first").alias("first_seen"),
+        F.max("last").alias("last_seen"),
     )
     keys = (
         _top_keys(runs, top)
@@ -121,9 +127,10 @@ def fleet_overview(
         counted("canceled"),
         counted("running"),
         counted("skipped"),
-        F.sum(micros).alias("micros"),
+        # Microseconds of a large fleet, or its records, exceed 64 bits.
+        F.sum(micros.cast("decimal(38,0)")).alias("micros"),
         F.count(micros).alias("timed"),
-        F.sum("records_impacted").alias("total_records_impacted"),
+        F.sum(F.col("records_impacted").cast("decimal(38,0)")).cast("decimal(38,0)").alias("total_records_impacted"),
         F.max("created_on").alias("last_run"),
         F.max(F.when(status.isin("failed", "canceled"), created)).alias("last_failure"),
     )
@@ -138,7 +145,7 @@ def fleet_overview(
         "running",
         "skipped",
         success_rate(c("succeeded"), c("failed"), c("canceled")).alias("success_rate"),
-        half_even(c("micros") / (F.nullif(c("timed"), F.lit(0).cast("bigint")) * 1000)).alias("avg_duration_ms"),
+        half_even(c("micros").cast("double") / (F.nullif(c("timed"), F.lit(0).cast("bigint")) * 1000)).alias("avg_duration_ms"),
         F.lit(None).cast("bigint").alias("p95_duration_ms"),
         "total_records_impacted",
         iso8601_utc(c("last_run")).alias("last_run_utc"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from runlens.functions import contains_ci
 from runlens.operators.shapes import after_cursor, by_time, page, run_summary
@@ -30,15 +30,21 @@ def recent_failures(
     limits: Limits = DEFAULT_LIMITS,
     now: datetime | None = None,
 ) -> DataFrame:
-    """Newest failed or canceled runs; skipped runs are not failures."""
+    """Newest failed or canceled runs; skipped runs are not failures.
+
+    ``has_more`` says on every row whether the limit left failures out.
+    """
     lo, hi = resolve_window(since, until, LIST_DAYS, now)
     failures = in_window(activity, "activity", lo, hi).where(F.col("status").isin("failed", "canceled"))
     failures = _equals(failures, application=application, activity_key=activity_key)
-    return (
-        failures.orderBy(*by_time("created_on", descending=True))
-        .limit(clamp_limit(limit, 25, limits.max_activities))
-        .select(*run_summary(limits.text_chars, with_error=True))
-    )
+    size = clamp_limit(limit, 25, limits.max_activities)
+    order = by_time("created_on", descending=True)
+    # One row more than asked for tells; the windows see no more than those.
+    fetched = failures.orderBy(*order).limit(size + 1)
+    numbered = fetched.withColumn("_row", F.row_number().over(Window.orderBy(*order)))
+    numbered = numbered.withColumn("has_more", F.count(F.lit(1)).over(Window.partitionBy()) > size)
+    rows = numbered.where(F.col("_row") <= size)
+    return rows.select(*run_summary(limits.text_chars, with_error=True), "has_more")
 
 
 def activities_list(

@@ -10,6 +10,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 
+from runlens.functions.times import LOG_RETENTION_DAYS
+
 # Default window lengths in days, activity retention in days and
 # the note that goes with a capped history window.
 CATALOG_DAYS = 30
@@ -25,11 +27,17 @@ Time = datetime | str | None
 
 @dataclass(frozen=True)
 class Limits:
-    """Most rows a page may have and most characters a text keeps."""
+    """Most rows a page may have, characters a text keeps and levels a lineage goes; days that tables reach back.
+
+    Where one of them cuts a result, a column of the result says so.
+    """
 
     max_activities: int = 200
     max_log_rows: int = 500
     text_chars: int = 500
+    lineage_depth: int = 3
+    activity_retention_days: int = ACTIVITY_RETENTION_DAYS
+    log_retention_days: int = LOG_RETENTION_DAYS
 
     def chars(self, full: bool) -> int | None:
         return None if full else self.text_chars
@@ -54,7 +62,7 @@ def parse_utc(value: Time, argument: str) -> datetime | None:
         try:
             value = datetime.fromisoformat(value.strip())
         except ValueError:
-            raise ValueError(f"{argument}: '{value}' is not a valid ISO-8601 timestamp.") from None
+            raise ValueError(f"{argument}: cannot read '{value}' as an ISO time") from None
     if value.tzinfo is not None:
         value = value.astimezone(timezone.utc).replace(tzinfo=None)
     return value
@@ -67,12 +75,13 @@ def resolve_window(
     end = parse_utc(until, "until") or now or utc_now()
     start = parse_utc(since, "since") or end - timedelta(days=default_days)
     if start > end:
-        raise ValueError("since: 'since' must not be after 'until'.")
+        raise ValueError("since: the window ends before it starts")
     return start, end
 
 
-def cap_history(since: datetime, until: datetime) -> tuple[datetime, str | None]:
-    earliest = until - timedelta(days=ACTIVITY_RETENTION_DAYS)
+def cap_history(since: datetime, until: datetime, days: int = ACTIVITY_RETENTION_DAYS) -> tuple[datetime, str | None]:
+    """The window's start, no more than ``days`` before its end, and the note if that moved it."""
+    earliest = until - timedelta(days=days)
     return (earliest, HISTORY_CAP_NOTE) if since < earliest else (since, None)
 
 

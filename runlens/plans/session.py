@@ -17,6 +17,8 @@ _SETTINGS = {
     # The JVM does not compile methods above this size. Result rows are wide,
     # and one such method per row is slower than expressions split over many.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Ranks are cut before the shuffle for every page size a caller may ask for.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "1000000",
 }
 
 

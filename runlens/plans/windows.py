@@ -52,9 +52,12 @@ def id_bounds(
 
 
 def asked_ids(ids: DataFrame, days: int) -> DataFrame:
-    """One row per asked-for run: ``activity_id``, its hint, ``lo`` and ``hi``."""
+    """One row per asked-for run: ``activity_id``, its hint, ``lo`` and ``hi``.
+
+    Of several hints for one run the earliest counts, everywhere.
+    """
     hint = F.col(HINT) if HINT in ids.columns else F.lit(None).cast("timestamp_ntz")
-    once = ids.select("activity_id", hint.alias(HINT)).dropDuplicates(["activity_id"])
+    once = ids.groupBy("activity_id").agg(F.min(hint).alias(HINT))
     return id_bounds(once, "activity_id", HINT, days)
 
 
@@ -62,13 +65,11 @@ def within_bounds(df: DataFrame, table: str, bounds: DataFrame) -> DataFrame:
     """Keep the time span that a set of ``lo``/``hi`` bounds covers.
 
     The span is one row, evaluated as a scalar subquery before the scan
-    starts, so whole months and row groups are skipped. A single unknown bound
-    opens its side. A table that is not laid out by month is left as it is:
-    the bounds would be computed and nothing skipped.
+    starts, so row groups are skipped, a database gets the times in its
+    statement, and a table laid out by month skips whole months. A single
+    unknown bound opens its side.
     """
     month = MONTH_COLUMN[table]
-    if month not in df.columns:
-        return df
 
     def edge(aggregate: Column, column: str) -> Column:
         known = F.count(F.lit(1)) == F.count(column)
@@ -78,5 +79,7 @@ def within_bounds(df: DataFrame, table: str, bounds: DataFrame) -> DataFrame:
     time = F.col(TIME_COLUMN[table])
     first = F.coalesce(lo, F.lit("0001-01-01").cast("timestamp_ntz"))
     last = F.coalesce(hi, F.lit("9999-12-31").cast("timestamp_ntz"))
-    months = F.col(month).between(month_of(first), month_of(last))
-    return df.where(months & (time >= first) & (time < last))
+    inside = (time >= first) & (time < last)
+    if month in df.columns:
+        inside = F.col(month).between(month_of(first), month_of(last)) & inside
+    return df.where(inside)

@@ -33,15 +33,20 @@ Query = Callable[[Tables], DataFrame]
 class SourceRegistry:
     """Sources by name.
 
-    Names are looked up without case and outer blanks; a blank name means the
-    default, which is the first source unless another is named.
+    Names are looked up without case and outer blanks, so two that differ in
+    nothing else are refused; a blank name means the default, which is the first source unless another is named.
     """
 
     def __init__(self, sources: Mapping[str, Tables], default: str | None = None):
         if not sources:
-            raise ValueError("At least one source is needed.")
-        self._sources = {name.lower(): (name, tables) for name, tables in sources.items()}
-        self.default = default or next(iter(sources))
+            raise ValueError("sources: there are none")
+        self._sources: dict[str, tuple[str, Tables]] = {}
+        for name, tables in sources.items():
+            key = name.strip().lower()
+            if not key or key in self._sources:
+                raise ValueError(f"sources: the name '{name}' is blank or taken")
+            self._sources[key] = (name.strip(), tables)
+        self.default = (default or next(iter(sources))).strip()
         self.resolve(self.default)
 
     @property
@@ -51,7 +56,7 @@ class SourceRegistry:
     def resolve(self, name: str | None) -> tuple[str, Tables]:
         wanted = self.default if name is None or not name.strip() else name.strip()
         if wanted.lower() not in self._sources:
-            raise ValueError(f"source: Unknown source '{name}'. Known sources: {', '.join(self.names)}.")
+            raise ValueError(f"source: '{name}' is none of {', '.join(self.names)}")
         return self._sources[wanted.lower()]
 
     def run(self, query: Query, source: str | None = None) -> DataFrame:

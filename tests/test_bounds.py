@@ -1,0 +1,175 @@
+"""Nothing is cut without a sign, sums do not overflow, and id lookups read only their time."""
+
+from __future__ import annotations
+
+import re
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+from runlens import operators as op
+from runlens.functions import cursor_encode
+from runlens.plans import Limits
+from runlens.sources import SourceRegistry, Tables, read_parquet
+from runlens.sources.readers import write_by_month
+from tests.conftest import at, uuid7, values
+
+DAY = "2024-03-05T00:00:00"
+NOW = at("2024-03-06")
+
+
+def _lines(make, run, n, **more):
+    times = [f"2024-03-05T00:00:{i:02d}" for i in range(n)]
+    return make("log_entries", *[{"id": i, "event_time_utc": at(t), "log_level": 2, "activity_id": run, **more} for i, t in enumerate(times)])
+
+
+def test_pages_of_one_run_are_fetched_at_once(spark, make):
+    run = uuid7(DAY, 1)
+    lines = _lines(make, run, 8)
+    cursors = lines.where("id in (1, 4)").select("activity_id", cursor_encode(F.col("event_time_utc"), F.col("id")).alias("cursor"))
+    asked = cursors.unionByName(cursors)
+    rows = op.activity_logs(lines, asked, limit=2, now=NOW)
+    assert sorted(r["id"] for r in rows.collect()) == [2, 3, 5, 6]
+    assert values(rows.select("cursor").distinct()) == values(cursors.select("cursor"))
+
+
+def test_of_several_hints_the_earliest_counts(spark, make):
+    run = uuid7(DAY, 1)
+    ids = spark.createDataFrame([(run, at("2030-01-01")), (run, at(DAY)), (run, None)], "activity_id string, created_on timestamp_ntz")
+    (row,) = op.log_summary_stats(_lines(make, run, 3), ids, now=NOW).collect()
+    assert row["total"] == 3 and row["note"] is None
+
+
+def test_limits_leave_a_sign(make):
+    runs = make("activity", *[{"id": uuid7(DAY, i), "created_on": at(DAY), "status": "failed", "activity_key": "k"} for i in range(4)])
+    window = {"since": "2024-03-01", "until": "2024-03-09"}
+    assert {r["has_more"] for r in op.recent_failures(runs, limit=3, **window).collect()} == {True}
+    assert {r["has_more"] for r in op.recent_failures(runs, limit=4, **window).collect()} == {False}
+    short = Limits(activity_retention_days=3)
+    for form in (op.history_runs, op.history_stats, op.activity_history):
+        assert all(r["note"] is None for r in form(runs, by=["activity_key"], **window).collect())
+        assert all(r["note"] for r in form(runs, by=["activity_key"], limits=short, **window).collect())
+
+
+def test_cut_samples_are_flagged(make):
+    run = uuid7(DAY, 1)
+    for text, cut in (("m" * 600, True), ("m" * 500, False), (None, None)):
+        lines = _lines(make, run, 2, message=text, exception_type="E")
+        (row,) = op.log_summary_exceptions(lines).collect()
+        assert row["sample_message_truncated"] is cut and row["sample_message"] == (text[:500] if text else None)
+
+
+def test_kept_days_are_a_parameter(make):
+    """An id without a time and no hint: all lines that are kept are searched."""
+    lines = _lines(make, "plain", 2)
+    late = {"now": at("2024-08-01")}
+    assert op.activity_logs(lines, **late).count() == 0
+    assert op.activity_logs(lines, limits=Limits(log_retention_days=365), **late).count() == 2
+
+
+def test_sums_beyond_64_bits(make):
+    big = {"application": "a", "status": "succeeded", "records_impacted": 4 * 10**18, "started_on": at("0001-01-01"), "completed_on": at("9999-12-31")}
+    runs = make("activity", *[{"id": uuid7(DAY, i), "created_on": at(DAY), **big} for i in range(40)])
+    (row,) = op.fleet_overview(runs, since="2024-03-01", until="2024-03-09").collect()
+    assert row["total_records_impacted"] == Decimal(160 * 10**18)
+    assert row["avg_duration_ms"] == (at("9999-12-31") - at("0001-01-01")).days * 86_400_000
+
+
+def test_source_names():
+    empty = Tables(lambda name: None)
+    for names in (["A", "a"], ["A", " a "], [" "]):
+        with pytest.raises(ValueError):
+            SourceRegistry(dict.fromkeys(names, empty))
+    assert SourceRegistry({"A ": empty}).resolve("a")[0] == "A"
+
+
+REACHING = [
+    "SELECT TRANSFORM(id) USING 'cat' AS (x) FROM activity",
+    "SELECT reflect('java.lang.System', 'lineSeparator') AS x",
+    "SELECT try_reflect('java.lang.System', 'lineSeparator') AS x",
+    "SELECT * FROM text.`{file}`",
+    "SELECT (SELECT max(value) FROM text.`{file}`) AS x FROM activity",
+    "WITH t AS (SELECT * FROM text.`{file}`) SELECT * FROM t",
+    "SELECT * FROM activity WHERE EXISTS (SELECT 1 FROM text.`{file}`)",
+    "SELECT * FROM foreign_view",
+    "SELECT * FROM foreign_view AS activity",
+]
+
+
+@pytest.mark.parametrize("sql", REACHING)
+def test_statements_reach_nothing_else(spark, make, tmp_path, sql):
+    (tmp_path / "f").write_text("secret")
+    spark.range(1).createOrReplaceTempView("foreign_view")
+    with pytest.raises(ValueError, match="sql: "):
+        op.run_readonly_query(spark, sql.format(file=tmp_path / "f"), {"activity": make("activity")})
+
+
+def test_statements_over_the_given_tables(spark, make):
+    spark.range(3).createOrReplaceTempView("activity")
+    tables = {"activity": make("activity", {"id": "x", "created_on": at(DAY)}), "Other": spark.range(2)}
+    for sql in (
+        "WITH t AS (SELECT id FROM activity) SELECT a.id FROM t a JOIN t b ON a.id = b.id",
+        "SELECT 'org.apache.spark.sql.catalyst.expressions.CallMethodViaReflection' AS x",
+        "SELECT id FROM activity WHERE id IN (SELECT id FROM activity)",
+        "SELECT id FROM other WHERE id = 1",
+    ):
+        assert op.run_readonly_query(spark, sql, tables).count() == 1
+    assert spark.table("activity").columns == ["id"] and spark.table("activity").count() == 3
+    assert not spark.catalog.tableExists("other")
+
+
+@pytest.fixture(scope="module")
+def by_month(spark, tmp_path_factory):
+    """Tables of two years laid out by month: a run, an edge and a line on each day."""
+    path = str(tmp_path_factory.mktemp("months"))
+    days = [f"{y}-{m:02d}-{d:02d}T01:00:00" for y in (2023, 2024) for m in range(1, 13) for d in (3, 20)]
+    ids = [uuid7(t, i) for i, t in enumerate(days)]
+    rows = list(zip(days, ids, [*ids[1:], ids[0]]))
+    times = F.col("t").cast("timestamp_ntz")
+    base = spark.createDataFrame(rows, "t string, id string, next string")
+    frames = {
+        "activity": base.select("id", times.alias("created_on"), F.lit("succeeded").alias("status")),
+        "activity_input": base.select(F.col("next").alias("activity_id"), F.col("id").alias("input_activity_id"), times.alias("created_on")),
+        "log_entries": base.select(F.monotonically_increasing_id().alias("id"), times.alias("event_time_utc"), F.lit(2).alias("log_level"), F.col("id").alias("activity_id")),
+    }
+    for name, df in frames.items():
+        write_by_month(df, f"{path}/{name}", name, partitions=2)
+    return Tables(lambda name: read_parquet(spark, f"{path}/{name}", name)), ids
+
+
+def _scans(df):
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    return re.findall(r"PartitionFilters: \[(.*?)\], PushedFilters: \[(.*?)\]", plan)
+
+
+def test_id_lookups_name_their_months(spark, by_month):
+    tables, ids = by_month
+    asked = spark.createDataFrame([(ids[7],)], "activity_id string")
+    details = op.activity_get(tables.activity, tables.activity_input, tables.log_entries, asked)
+    bounded = [bool(p) for p, _ in _scans(details)]
+    # Only the edges out of the run have no bound.
+    assert bounded.count(False) == 1 and details.count() == 1
+    summary = op.log_summary_stats(tables.log_entries, asked, now=NOW)
+    assert all(p for p, _ in _scans(summary)) and summary.first()["total"] == 1
+
+
+def test_lineage_resolves_only_the_time_reached(spark, by_month):
+    tables, ids = by_month
+    seeds = spark.createDataFrame([(ids[9],)], "activity_id string")
+    rows = op.activity_lineage(tables.activity, tables.activity_input, seeds, depth=2)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "created_month" in plan and sorted(r["activity_id"] for r in rows.collect()) == sorted(ids[i] for i in (7, 8, 10, 11))
+
+
+def test_a_hub_of_many_consumers(spark, make):
+    hub = uuid7(DAY, 1)
+    runs = spark.range(20_000).select(F.concat(F.lit("run"), F.col("id")).alias("id"), F.lit(DAY).cast("timestamp_ntz").alias("created_on"))
+    from runlens.schema import conform
+
+    activity = conform(runs.unionByName(make("activity", {"id": hub, "created_on": at(DAY)}).select("id", "created_on")), "activity")
+    edges = conform(runs.select(F.col("id").alias("activity_id"), F.lit(hub).alias("input_activity_id"), "created_on"), "activity_input")
+    seeds = spark.createDataFrame([(hub,), ("run5",)], "activity_id string")
+    rows = op.activity_lineage(activity, edges, seeds, depth=2)
+    assert rows.count() == 20_000 + 1

@@ -71,7 +71,7 @@ def test_whole_summary(logs):
     r = op.activity_log_summary(logs, now=NOW).where(F.col("activity_id") == RUN).first()
     assert r["total"] == 5 and r["counts_by_level"]["error"] == 2 and r["counts_by_level"]["debug"] is None
     assert [tuple(c) for c in r["top_categories"]] == [("b", 3), (None, 1), ("a", 1)]
-    assert [tuple(e) for e in r["exception_types"]] == [("E", 2, "x" * 500)]
+    assert [tuple(e) for e in r["exception_types"]] == [("E", 2, "x" * 500, True)]
     only = op.activity_log_summary(logs, top=1, now=NOW).where(F.col("activity_id") == RUN).first()
     assert [c["category"] for c in only["top_categories"]] == ["b"] and only["total"] == 5
 

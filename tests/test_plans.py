@@ -19,7 +19,9 @@ def physical(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-NO_CROSS = [n for n in registered.queries() if n != "page_manifest"]
+# page_manifest numbers pages by a table with a row for each partition, which is cross joined
+# with nothing but has no key of its own; the text operators have tests of their own.
+NO_CROSS = [n for n in registered.queries() if n != "page_manifest" and n not in registered.text_queries()]
 
 
 @pytest.mark.parametrize("name", NO_CROSS)

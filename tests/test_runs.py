@@ -205,9 +205,9 @@ def test_history_result_and_cap(make):
     assert [r["id"][-1] for r in row["runs"]] == ["2", "1"] and row["note"] == HISTORY_CAP_NOTE
     assert row["runs"][1]["error_truncated"] and row["stats"]["count"] == 2
     assert op.activity_history(runs, activity_type="t", **DAY).first()["note"] is None
-    with pytest.raises(ValueError, match="Provide activity_key or activity_type"):
+    with pytest.raises(ValueError, match="name a key or a type"):
         op.history_runs(runs, application="a", **DAY)
-    with pytest.raises(ValueError, match="unknown workload columns"):
+    with pytest.raises(ValueError, match="no workload columns"):
         op.history_runs(runs, by=["host"], activity_key="k", **DAY)
 
 
