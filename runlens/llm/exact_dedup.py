@@ -30,18 +30,18 @@ def _bit(bits: int) -> Column:
     return F.pmod(F.xxhash64("_n", "_p"), F.lit(bits))
 
 
-def _keyed(df: DataFrame, text: str) -> DataFrame:
+def _keyed(df: DataFrame, content: Column) -> DataFrame:
     """The rows with ``_norm``, ``_n`` (its length) and ``_p`` (the hash of its start)."""
     return (
-        df.withColumn("_norm", normalised(F.col(text)))
+        df.withColumn("_norm", content)
         .withColumn("_n", F.length("_norm"))
         .withColumn("_p", F.xxhash64(F.substring("_norm", 1, PREFIX_CHARS)))
     )
 
 
-def _candidates(df: DataFrame, text: str, bits: int) -> DataFrame:
-    """The rows with ``_again``: may their text occur twice, going by length and start?"""
-    keys = settle(_keyed(df, text).groupBy("_n", "_p").agg(F.count(F.lit(1)).alias("_c")))
+def candidates(df: DataFrame, content: Column, bits: int = FIELD_BITS) -> DataFrame:
+    """The rows with their ``content`` in ``_norm``, and ``_again``: may it occur twice, going by length and start?"""
+    keys = settle(_keyed(df, content).groupBy("_n", "_p").agg(F.count(F.lit(1)).alias("_c")))
     lengths = keys.groupBy("_n").agg(F.sum("_c").alias("_rows")).where(F.col("_rows") > 1).select("_n")
     groups = keys.join(lengths, "_n", "left_semi").where(F.col("_c") > 1)
     field = (
@@ -50,7 +50,7 @@ def _candidates(df: DataFrame, text: str, bits: int) -> DataFrame:
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(_bit % 64 AS int))")).alias("_bits"))
     )
     bit = _bit(bits)
-    marked = _keyed(df, text).withColumn("_word", F.floor(bit / 64)).withColumn("_at", (bit % 64).cast("int"))
+    marked = _keyed(df, content).withColumn("_word", F.floor(bit / 64)).withColumn("_at", (bit % 64).cast("int"))
     joined = marked.join(F.broadcast(field), "_word", "left")
     again = F.coalesce(F.expr("shiftrightunsigned(_bits, _at)").bitwiseAND(F.lit(1)) == 1, F.lit(False))
     return joined.withColumn("_again", again).drop("_word", "_at", "_bits")
@@ -69,7 +69,7 @@ def duplicate_groups(
     keeps one row. Other columns do not matter and are left out. Rows of a
     group meet only as counts, and the join back splits hot groups.
     """
-    rows = _candidates(df.select(F.col(key).alias("_key"), F.col(text).alias("_text")), "_text", field_bits)
+    rows = candidates(df.select(F.col(key).alias("_key"), F.col(text).alias("_text")), normalised(F.col("_text")), field_bits)
     full = F.sha2("_norm", 256)
     digest = full if digests else F.when(F.col("_again"), full)
     # Rows that have no partner need a group of their own that no digest can equal.
@@ -101,7 +101,7 @@ def exact_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", field_bi
     names = [f"c{i}" for i in range(len(df.columns))]
     plain = df.toDF(*names)
     key_name, text_name = names[df.columns.index(key)], names[df.columns.index(text)]
-    rows = _candidates(plain, text_name, field_bits)
+    rows = candidates(plain, normalised(F.col(text_name)), field_bits)
     once = rows.where(~F.col("_again")).select(*names)
     again = rows.where("_again").withColumn("_sha", F.sha2("_norm", 256))
     narrow = settle(again.select(F.col(key_name).alias("_key"), "_sha").groupBy("_sha", "_key").agg(F.count(F.lit(1)).alias("_m")))

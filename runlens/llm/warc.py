@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
+from runlens.llm.exact_dedup import candidates
 from runlens.llm.session import settle
 from runlens.plans import spread
 
@@ -29,15 +30,10 @@ CHUNK_BYTES = 4 << 10
 
 
 def payload_digest(payload: Column) -> Column:
-    """The SHA-1 in base32: of every 5 hexadecimal digits, 20 bits, 4 characters."""
+    """The SHA-1 in base32: 10 hexadecimal digits are 40 bits are 8 characters."""
     digits = F.sha1(payload)
-
-    def character(i: Column) -> Column:
-        bits = F.conv(F.substr(digits, F.floor(i / 4).cast("int") * 5 + 1, F.lit(5)), 16, 10).cast("int")
-        value = F.floor(bits / F.pow(F.lit(32), 3 - i % 4)).cast("int") % 32
-        return F.substr(F.lit(BASE32), value + 1, F.lit(1))
-
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), character), "")
+    parts = [F.lpad(F.conv(F.substring(digits, i, 10), 16, 32), 8, "0") for i in (1, 11, 21, 31)]
+    return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", BASE32)
 
 
 def _raw(binary: Column) -> Column:
@@ -69,17 +65,25 @@ def _lines(*headers: tuple[str, Column | str]) -> Column:
 
 
 def _decided(pages: DataFrame, least_bytes: int) -> DataFrame:
-    """Pages with their payload, ``_keep`` (the key of the response) and ``_nth`` among rows alike."""
+    """Pages with their payload, ``_keep`` (the key of the response) and ``_nth`` among rows alike.
+
+    Pages whose payload may occur twice are told by length and start; only
+    those are shuffled.
+    """
     payload = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select("page_id", "url", payload.alias("_text"), F.sha2(payload, 256).alias("_sha"))
-    keys = rows.where(F.octet_length("_text") >= least_bytes).groupBy("_sha", "page_id").agg(F.count(F.lit(1)).alias("_rows"))
+    named = pages.select("page_id", "url", payload.alias("_text"), F.sha2(payload, 256).alias("_sha"))
+    rows = candidates(named.withColumn("_page", F.coalesce(F.col("page_id").cast("string"), F.lit("-"))), F.col("_text"))
+    again = F.col("_again") & (F.octet_length("_text") >= least_bytes)
+    columns = ["page_id", "url", "_text", "_sha"]
+    alone = rows.where(~again).select(*columns, F.lit(False).alias("_shared"), F.lit(None).cast("long").alias("_keep"))
+    several = rows.where(again).select(*columns, "_page")
+    keys = several.groupBy("_sha", "page_id", "_page").agg(F.count(F.lit(1)).alias("_rows"))
     keep = keys.groupBy("_sha").agg(F.min("page_id").alias("_keep"))
-    of = keys.join(spread(keep, "_sha"), "_sha").select(
-        F.col("_sha").alias("_of"), F.col("page_id").alias("_page"), "_keep", F.lit(True).alias("_shared")
-    )
-    joined = rows.join(of, (F.col("_sha") == F.col("_of")) & F.col("page_id").eqNullSafe(F.col("_page")), "left")
-    nth = F.row_number().over(Window.partitionBy("page_id", "_sha").orderBy("url"))
-    return joined.withColumn("_nth", nth)
+    of = keys.join(spread(keep, "_sha"), "_sha").select("_sha", "_page", "_keep", F.lit(True).alias("_shared"))
+    together = several.join(of, ["_sha", "_page"])
+    nth = F.row_number().over(Window.partitionBy("_sha", "_page").orderBy("url"))
+    # Pages alone still need numbers where a row repeats below the least size.
+    return together.withColumn("_nth", nth).drop("_page").unionByName(alone.withColumn("_nth", F.monotonically_increasing_id() + (1 << 40)))
 
 
 def records(pages: DataFrame, date: str = "2000-01-01T00:00:00Z", least_bytes: int = 0) -> DataFrame:
