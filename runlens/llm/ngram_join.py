@@ -12,15 +12,16 @@ The index of the first order is shuffled by token. Comparing everything within
 a token would be all pairs of a group of copies. Instead each document is first
 compared with one other, the document its prefix tokens most often agree on;
 verified links give components. Then only documents of different components
-that share a prefix token are compared. So every pair that could connect
-something is tested, and a group of any number of near copies costs a
-comparison for each of them. Documents with equal sets are one node throughout.
+whose prefixes have enough tokens in common are compared. So every pair that
+could connect something is tested, and a group of any number of near copies
+costs a comparison or few for each of them. Documents with equal sets are one
+node throughout.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from itertools import chain
 
@@ -28,24 +29,23 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from runlens.llm.components import components
-from runlens.llm.session import settle
-from runlens.plans import spread
+from runlens.llm.session import release, settle
 
 SHINGLE_WORDS = 5
 #: A similarity of PERCENT / 100 or more links.
 PERCENT = 75
-#: Counters of the token sketch, in each of two rows. Driver and workers hold 8 bytes for
-#: each. More of them tell frequent tokens apart in a larger corpus.
-SKETCH_COUNTERS = 1 << 19
+#: Counters of the token sketch. Driver and workers hold 4 bytes for each (32 MB). More of
+#: them tell frequent tokens apart in a larger corpus.
+SKETCH_COUNTERS = 1 << 23
 #: Bits that mark the nodes whose texts are wanted; workers hold a bit for each.
 FIELD_BITS = 1 << 24
 #: A token that more documents than this have in their prefix is dealt out in parts.
 PART_ROWS = 100_000
 
-_SKETCH_PART = 1 << 13
+_SKETCH_PART = 1 << 18
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Seeds of the token orders: the first one's index is joined, the others filter its pairs.
@@ -101,35 +101,49 @@ def prefix_length(n: int) -> int:
     return n - least_overlap(n) + 1
 
 
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many values two sorted arrays of distinct values share."""
+    both = np.concatenate((a, b))
+    both.sort(kind="stable")
+    return int(np.count_nonzero(both[1:] == both[:-1]))
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    shared = len(np.intersect1d(a, b, assume_unique=True))
+    shared = _common(a, b)
     return 100 * shared >= PERCENT * (len(a) + len(b) - shared) and shared > 0
 
 
 @dataclass(frozen=True)
 class Frequency:
-    """Estimated document frequency: the smaller of a token's two counters, never too low."""
+    """Document frequency by a counter that a token shares with others: never too low."""
 
-    counters: np.ndarray  # two rows
+    counters: np.ndarray
+    usual: float
 
     @staticmethod
-    def slots(tokens: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        return (tokens & np.uint64(width - 1)).astype(np.int64), ((tokens >> np.uint64(32)) & np.uint64(width - 1)).astype(np.int64)
+    def slots(tokens: np.ndarray, width: int) -> np.ndarray:
+        return (tokens >> np.uint64(40)).astype(np.int64) % width
 
     def of(self, tokens: np.ndarray) -> np.ndarray:
-        a, b = self.slots(tokens, self.counters.shape[1])
-        return np.minimum(self.counters[0][a], self.counters[1][b])
+        return self.counters[self.slots(tokens, len(self.counters))]
 
     def classes(self, tokens: np.ndarray) -> np.ndarray:
         """0 for what cannot be told from chance, then one more for each doubling."""
-        usual = 2 * max(1.0, float(self.counters[0].mean()))
-        return np.maximum(0, np.floor(np.log2(self.of(tokens) / usual + 1e-9)) + 1).astype(np.uint64)
+        chance = 4 * np.sqrt(max(1.0, self.usual))
+        above = np.maximum((self.of(tokens) - self.usual) / chance, 0.5)
+        return np.maximum(0, np.floor(np.log2(above)) + 1).astype(np.uint64)
 
-    def first(self, tokens: np.ndarray, seed: int) -> np.ndarray:
-        """The prefix of a set under one order, in that order."""
-        length = prefix_length(len(tokens)) if len(tokens) else 0
-        order = np.lexsort((_mix(tokens, seed), self.classes(tokens)))
-        return tokens[order[:length]]
+    def prefixes(self, tokens: np.ndarray, seeds: Sequence[int]) -> list[np.ndarray]:
+        """The prefix of a set under each order, as a set.
+
+        A token's place is its class, then its hash.
+        """
+        if not len(tokens):
+            return [tokens for _ in seeds]
+        last = prefix_length(len(tokens)) - 1
+        classes = self.classes(tokens) << np.uint64(58)
+        places = (classes | (_mix(tokens, seed) >> np.uint64(6)) for seed in seeds)
+        return [tokens[p <= np.partition(p, last)[last]] for p in places]
 
 
 _PROFILE = "doc_id long, n int, node long, part int, counts binary"
@@ -139,13 +153,12 @@ def _profile(docs: DataFrame, width: int) -> DataFrame:
     """One pass: a row with size and node for each document, and the token counts of each task in parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = np.zeros((2, width), np.int32)
+        counters = np.zeros(width, np.int32)
         schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("node", pa.int64()), ("part", pa.int32()), ("counts", pa.binary())])
         for batch in batches:
             sets = shingle_sets(batch.column(1).to_pylist())
             if sets:
-                for row, slot in enumerate(Frequency.slots(np.concatenate(sets), width)):
-                    counters[row] += np.bincount(slot, minlength=width).astype(np.int32)
+                np.add.at(counters, Frequency.slots(np.concatenate(sets), width), 1)
             rows = len(sets)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -157,9 +170,8 @@ def _profile(docs: DataFrame, width: int) -> DataFrame:
                 ],
                 schema=schema,
             )
-        flat = counters.reshape(-1)
-        for part in range(0, len(flat), _SKETCH_PART):
-            piece = flat[part : part + _SKETCH_PART]
+        for part in range(0, width, _SKETCH_PART):
+            piece = counters[part : part + _SKETCH_PART]
             if piece.any():
                 counts = pa.array([zlib.compress(piece.tobytes(), 1)], pa.binary())
                 none = [pa.nulls(1, t) for t in (pa.int64(), pa.int32(), pa.int64())]
@@ -178,20 +190,20 @@ def _frequency(profile: DataFrame, width: int) -> Frequency:
                 piece = np.frombuffer(zlib.decompress(counts), np.int32).astype(np.int64)
                 sums[part] = sums[part] + piece if part in sums else piece
         for part, piece in sums.items():
-            counts = zlib.compress(np.minimum(piece, np.iinfo(np.int32).max).astype(np.int32).tobytes(), 1)
+            counts = zlib.compress(np.minimum(piece, 0x7FFFFFFF).astype(np.int32).tobytes(), 1)
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([counts], pa.binary())], names=["part", "counts"])
 
     parts = profile.where(F.col("part").isNotNull()).select("part", "counts")
     # A task sums the parts it is dealt as they come, so it holds no more than the sketch.
     summed = parts.repartition(F.col("part")).mapInArrow(add, "part int, counts binary")
-    flat = np.zeros(2 * width, np.int32)
-    for row in summed.collect():
-        flat[row["part"] : row["part"] + _SKETCH_PART] = np.frombuffer(zlib.decompress(row["counts"]), np.int32)
-    return Frequency(flat.reshape(2, width))
+    counters = np.zeros(width, np.int32)
+    for row in summed.toLocalIterator():
+        counters[row["part"] : row["part"] + _SKETCH_PART] = np.frombuffer(zlib.decompress(row["counts"]), np.int32)
+    return Frequency(counters, float(np.median(counters)))
 
 
 def _postings(docs: DataFrame, frequency: Broadcast, part_rows: int) -> DataFrame:
-    """The index: for every prefix token of every node a row ``token``, ``part``, ``node``, ``n``, ``place``.
+    """The index: for every prefix token of every node a row ``token``, ``part``, ``node``, ``n``.
 
     ``part`` deals out tokens that very many documents have. A task names a
     node once, however many copies of it it reads.
@@ -200,90 +212,105 @@ def _postings(docs: DataFrame, frequency: Broadcast, part_rows: int) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = frequency.value, set()
         for batch in batches:
-            columns: list[list[np.ndarray]] = [[] for _ in range(5)]
+            columns: list[list[np.ndarray]] = [[] for _ in range(4)]
             for shingles in shingle_sets(batch.column(0).to_pylist()):
                 node = node_of(shingles)
                 if node in seen or not len(shingles):
                     continue
                 seen.add(node)
-                first = counts.first(shingles, ORDERS[0])
+                (first,) = counts.prefixes(shingles, ORDERS[:1])
                 parts = np.maximum(1, counts.of(first) // part_rows)
                 size = len(first)
-                values = (first.astype(np.int64), (node & 0x7FFFFFFF) % parts, np.full(size, node), np.full(size, len(shingles)), np.arange(size))
+                values = (first.astype(np.int64), (node & 0x7FFFFFFF) % parts, np.full(size, node), np.full(size, len(shingles)))
                 for column, value in zip(columns, values):
                     column.append(value)
             if columns[0]:
-                types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
+                types = (pa.int64(), pa.int32(), pa.int64(), pa.int32())
                 arrays = [pa.array(np.concatenate(c), t) for c, t in zip(columns, types)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["token", "part", "node", "n", "place"])
+                yield pa.RecordBatch.from_arrays(arrays, names=["token", "part", "node", "n"])
 
-    return docs.select("text").mapInArrow(run, "token long, part int, node long, n int, place int")
+    return docs.select("text").mapInArrow(run, "token long, part int, node long, n int")
 
 
 def _shared_postings(postings: DataFrame) -> DataFrame:
-    """Rows of tokens that two nodes or more have, each with its group's ``centre``.
+    """Rows of tokens that two nodes or more have, once for each node."""
+    near = Window.partitionBy("token", "part").orderBy("node")
+    rows = postings.withColumn("_last", F.lag("node").over(near)).withColumn("_next", F.lead("node").over(near))
+    once = rows.where(~F.col("node").eqNullSafe(F.col("_last")))
+    # A node whose only neighbour is its own copy may stay; that costs a row and no more.
+    return once.where(F.col("_last").isNotNull() | F.col("_next").isNotNull() | (F.col("part") > 0)).drop("_last", "_next")
 
-    The centre is the first node by a fixed hash, so that the tokens of a group
-    of copies tend to agree on it. It is read off the sorted rows as they pass.
-    """
-    near = Window.partitionBy("token", "part").orderBy(F.xxhash64("node"), "node")
-    so_far = near.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = (
-        postings.withColumn("centre", F.first("node").over(so_far))
-        .withColumn("_next", F.lead("node").over(near))
-        .where((F.col("node") != F.col("centre")) | (F.col("_next") != F.col("centre")) | (F.col("part") > 0))
-    )
-    return rows.drop("_next")
 
+def _need(n_x: Column, n_y: Column) -> Column:
+    """How many tokens the prefixes of similar sets of these sizes have in common at least.
 
-def _part_centres(shared: DataFrame) -> DataFrame:
-    """Pairs that tie the parts of a dealt-out token together."""
-    centres = shared.where(F.col("node") == F.col("centre")).select("token", "node").distinct()
-    whole = Window.partitionBy("token").orderBy(F.xxhash64("node"), "node")
-    return (
-        centres.withColumn("centre", F.first("node").over(whole.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-        .where(F.col("node") != F.col("centre"))
-        .select("node", "centre")
-    )
+    The sets share at least ``a`` tokens, so each has at most ``n - a`` that
+    the other lacks. The k-th common token thus stands within the prefix of
+    both if ``k + n - a`` does not exceed its length.
+    """
+    common = F.ceil(PERCENT * (n_x + n_y) / (100 + PERCENT))
+    return F.greatest(F.lit(1), common + 1 - F.ceil(PERCENT * F.greatest(n_x, n_y) / 100))
 
 
-def _best_centre(shared: DataFrame) -> DataFrame:
-    """One pair for each node: with the centre most of its tokens name."""
-    votes = shared.where(F.col("node") != F.col("centre")).groupBy("node", "centre").agg(F.count(F.lit(1)).alias("_votes"))
-    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("_votes"), "centre"))
-    best = votes.withColumn("_rank", rank).where(F.col("_rank") == 1).select("node", "centre")
-    pairs = best.unionAll(_part_centres(shared))
-    return pairs.select(F.least("node", "centre").alias("x"), F.greatest("node", "centre").alias("y")).distinct()
+def _sizes_fit(n_x: Column, n_y: Column) -> Column:
+    return (100 * n_x >= PERCENT * n_y) & (100 * n_y >= PERCENT * n_x)
 
 
-def _may_link(n_x: Column, place_x: Column, n_y: Column, place_y: Column) -> Column:
-    """Could sets of these sizes, whose first common token stands at these places, be similar?"""
-    sizes = (100 * n_x >= PERCENT * n_y) & (100 * n_y >= PERCENT * n_x)
-    most = F.least(n_x - place_x, n_y - place_y)
-    return sizes & ((100 + PERCENT) * most >= PERCENT * (n_x + n_y))
+def _pair(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("x"), F.greatest(a, b).alias("y")]
 
 
-def _across(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of nodes of different components that have a prefix token in common.
+def _best_centre(rows: DataFrame) -> DataFrame:
+    """One pair for each node ``x``: with the centre ``y`` that most of its tokens name.
 
-    A token's rows outside its largest component are joined with all its rows,
-    so the members of that component never meet each other.
+    The centre of a token is its first node by a hash, so that the tokens of a
+    group of copies tend to agree on it. It is read off the sorted rows as they
+    pass. A token dealt out in parts has a centre in each, and the centres are
+    paired with the first of them.
     """
-    rows = shared.select("token", "node", "n", "place").join(spread_long(labels, "node"), "node", "left")
-    rows = rows.withColumn("component", F.coalesce("component", "node"))
+    so_far = Window.partitionBy("token", "part").orderBy(F.xxhash64("node"), "node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    named = rows.withColumn("c", F.first(F.struct("node", "n")).over(so_far)).select(
+        "token", "part", "node", "n", F.col("c.node").alias("centre"), F.col("c.n").alias("n_c")
+    )
+    away = named.where(F.col("node") != F.col("centre"))
+    votes = away.groupBy("node", "centre").agg(F.count(F.lit(1)).alias("votes"), F.first("n").alias("n"), F.first("n_c").alias("n_c"))
+    likely = votes.where(F.col("votes") >= _need(F.col("n"), F.col("n_c")))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("votes"), "centre"))
+    best = likely.withColumn("_rank", rank).where(F.col("_rank") == 1)
+    best = best.select(F.col("node").alias("x"), F.col("centre").alias("y"))
+    centres = named.where((F.col("part") >= 0) & (F.col("node") == F.col("centre"))).groupBy("token").agg(
+        F.min("centre").alias("to"), F.max("centre").alias("_last"), F.collect_set("centre").alias("of")
+    )
+    tied = centres.where(F.col("to") != F.col("_last")).select("to", F.explode("of").alias("centre"))
+    tied = tied.where(F.col("to") != F.col("centre")).select(F.col("centre").alias("x"), F.col("to").alias("y"))
+    return best.unionAll(tied).distinct()
+
+
+def _mixed(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of tokens with nodes of different components, with ``component`` and the token's ``main`` one."""
+    rows = shared.join(spread_long(labels, "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     groups = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("_c"))
     mixed = groups.groupBy("token").agg(F.max_by("component", F.struct("_c", "component")).alias("main"), F.count(F.lit(1)).alias("_k"))
     mixed = mixed.where(F.col("_k") > 1).select("token", "main")
-    held = settle(rows.join(spread_long(mixed, "token"), "token"))
-    few = held.where(F.col("component") != F.col("main")).select(*(F.col(c).alias(f"{c}_x") for c in ("token", "node", "n", "place", "component")))
+    return rows.join(spread_long(mixed, "token"), "token").select("token", "part", "node", "n", "component", "main")
+
+
+def _across(held: DataFrame) -> DataFrame:
+    """Pairs of nodes of different components whose prefixes have enough in common.
+
+    A token's rows outside its largest component are joined with all its rows,
+    so the members of that component never meet each other.
+    """
+    few = held.where(F.col("component") != F.col("main")).select(*(F.col(c).alias(f"{c}_x") for c in ("token", "node", "n", "component")))
     met = held.join(
         few,
         (F.col("token") == F.col("token_x"))
         & (F.col("component") != F.col("component_x"))
         & ((F.col("component") == F.col("main")) | (F.col("node") > F.col("node_x")))
-        & _may_link(F.col("n"), F.col("place"), F.col("n_x"), F.col("place_x")),
+        & _sizes_fit(F.col("n"), F.col("n_x")),
     )
-    return met.select(F.least("node", "node_x").alias("x"), F.greatest("node", "node_x").alias("y")).distinct()
+    counted = met.groupBy(*_pair("node", "node_x")).agg(F.count(F.lit(1)).alias("_c"), F.first("n").alias("n"), F.first("n_x").alias("n_x"))
+    return counted.where(F.col("_c") >= _need(F.col("n"), F.col("n_x"))).select("x", "y")
 
 
 def spread_long(df: DataFrame, key: str) -> DataFrame:
@@ -291,12 +318,12 @@ def spread_long(df: DataFrame, key: str) -> DataFrame:
     return df.withColumn(key, F.col(key) + F.lit(0))
 
 
-def _wanted(pairs: DataFrame, bits: int) -> bytes:
-    """A bit for each node in the pairs: a field of fixed size, built by Spark in words of 64 bits."""
-    bit = F.pmod(F.col("node"), F.lit(bits))
+def _field(values: DataFrame, bits: int) -> bytes:
+    """A bit for each value of a column of longs: a field of fixed size, built by Spark in words of 64 bits."""
+    bit = F.pmod(F.col(values.columns[0]), F.lit(bits))
     words = (
-        pairs.select(F.explode(F.array("x", "y")).alias("node"))
-        .select(F.floor(bit / 64).cast("long").alias("word"), (bit % 64).cast("int").alias("at"))
+        values.select(F.floor(bit / 64).cast("long").alias("word"), (bit % 64).cast("int").alias("at"))
+        .where(F.col("word").isNotNull())
         .groupBy("word")
         .agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("bits"))
     )
@@ -306,34 +333,46 @@ def _wanted(pairs: DataFrame, bits: int) -> bytes:
     return field.tobytes()
 
 
-def _texts(docs: DataFrame, pairs: DataFrame, bits: int) -> DataFrame:
-    """``node`` and one ``text`` of it for the nodes in the pairs, and a few by chance."""
-    field = docs.sparkSession.sparkContext.broadcast(_wanted(pairs, bits))
+def _texts(docs: DataFrame, rows: DataFrame, pairs: DataFrame, bits: int) -> DataFrame:
+    """``node`` and one ``text`` of it for the nodes in the pairs, and a few by chance.
+
+    One document stands for each node. Its key tells whether a text need be
+    looked at; the text itself tells its node, whatever repeats a key.
+    """
+    nodes = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
+    standing = rows.join(spread_long(nodes, "node"), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    context = docs.sparkSession.sparkContext
+    keys, fields = context.broadcast(_field(standing.select("doc_id"), bits)), context.broadcast(_field(nodes, bits))
+
+    def hit(field: np.ndarray, value: int) -> bool:
+        bit = value % bits
+        return bool(field[bit >> 3] >> (bit & 7) & 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, seen = np.frombuffer(field.value, np.uint8), set()
+        known, wanted, seen = np.frombuffer(keys.value, np.uint8), np.frombuffer(fields.value, np.uint8), set()
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            nodes = [node_of(s) for s in shingle_sets(texts)]
-            keep = []
-            for i, node in enumerate(nodes):
-                bit = node % bits
-                if wanted[bit >> 3] >> (bit & 7) & 1 and node not in seen:
+            ids = batch.column(0).to_pylist()
+            few = batch.column(1).take(pa.array([i for i, key in enumerate(ids) if key is None or hit(known, key)], pa.int64()))
+            texts = few.to_pylist()
+            out: list[tuple[int, str]] = []
+            for text, shingles in zip(texts, shingle_sets(texts)):
+                node = node_of(shingles)
+                if hit(wanted, node) and node not in seen:
                     seen.add(node)
-                    keep.append(i)
-            if keep:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([nodes[i] for i in keep], pa.int64()), pa.array([texts[i] for i in keep], pa.string())], names=["node", "text"]
-                )
+                    out.append((node, text))
+            if out:
+                arrays = [pa.array([n for n, _ in out], pa.int64()), pa.array([t for _, t in out], pa.string())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["node", "text"])
 
-    return docs.select("text").mapInArrow(run, "node long, text string").dropDuplicates(["node"])
+    return docs.select("doc_id", "text").mapInArrow(run, "node long, text string").dropDuplicates(["node"])
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, frequency: Broadcast, bits: int) -> DataFrame:
+def _verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, frequency: Broadcast, bits: int) -> DataFrame:
     """Of settled pairs ``x``, ``y`` those that link: all orders' prefixes meet, then the sets are compared."""
-    texts = settle(_texts(docs, pairs, bits))
+    texts = _texts(docs, rows, pairs, bits)
     of_x = texts.select(F.col("node").alias("x"), F.col("text").alias("text_x"))
-    of_y = texts.select(F.col("node").alias("y"), F.col("text").alias("text_y"))
+    # Very many may be paired with one y; the copy of the key lets the join split them.
+    of_y = spread_long(texts.select(F.col("node").alias("y"), F.col("text").alias("text_y")), "y")
     both = pairs.join(of_x, "x").join(of_y, "y").select("x", "y", "text_x", "text_y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,7 +384,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, frequency: Broadcast, bits: int
                 if len(known) > 200:
                     known.clear()
                 (shingles,) = shingle_sets([text])
-                known[node] = shingles, [np.sort(counts.first(shingles, seed)) for seed in ORDERS]
+                known[node] = shingles, counts.prefixes(shingles, ORDERS)
             return known[node]
 
         for batch in batches:
@@ -353,13 +392,11 @@ def _verified(docs: DataFrame, pairs: DataFrame, frequency: Broadcast, bits: int
             for x, y, text_x, text_y in zip(*(c.to_pylist() for c in batch.columns)):
                 set_y, first_y = of(y, text_y)
                 set_x, first_x = of(x, text_x)
-                links.append(
-                    all(len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(first_x, first_y)) and similar(set_x, set_y)
-                )
+                links.append(all(_common(p, q) for p, q in zip(first_x, first_y)) and similar(set_x, set_y))
             kept = batch.select(["x", "y"]).filter(pa.array(links, pa.bool_()))
             yield kept
 
-    return both.mapInArrow(run, "x long, y long")
+    return settle(both.mapInArrow(run, "x long, y long"))
 
 
 def near_duplicates(
@@ -385,14 +422,19 @@ def near_duplicates(
     frequency = context.broadcast(_frequency(profile, sketch_counters))
     rows = profile.where(F.col("part").isNull()).select("doc_id", "n", "node")
 
+    def grouped(links: DataFrame) -> DataFrame:
+        release(context)
+        return components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
+
     shared = settle(_shared_postings(_postings(docs, frequency, part_rows)))
+    release(context)
     first = settle(_best_centre(shared))
-    links = settle(_verified(docs, first, frequency, field_bits))
-    labels = components(links.select(F.col("y").alias("a"), F.col("x").alias("b")))
-    across = settle(_across(shared, labels).join(first, ["x", "y"], "left_anti"))
+    links = _verified(docs, rows, first, frequency, field_bits)
+    labels = grouped(links)
+    across = settle(_across(settle(_mixed(shared, labels))).join(first.select(*_pair("x", "y")), ["x", "y"], "left_anti"))
     if not across.isEmpty():
-        links = settle(links.unionAll(_verified(docs, across, frequency, field_bits)))
-        labels = components(links.select(F.col("y").alias("a"), F.col("x").alias("b")))
+        links = links.unionAll(_verified(docs, rows, across, frequency, field_bits))
+        labels = grouped(links)
 
     classes = rows.where(F.col("n") > 0).groupBy("node").agg(F.min("doc_id").alias("_least"))
     joined = classes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import gc
+
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 from runlens.plans import checkpoint_dir, prepare
@@ -33,3 +36,13 @@ def settle(df: DataFrame) -> DataFrame:
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def release(context: SparkContext) -> None:
+    """Let Spark remove the shuffle files behind settled tables.
+
+    It does so when the driver collects its garbage, which an idle driver may
+    not do for half an hour, while executors keep the files.
+    """
+    gc.collect()
+    context._jvm.System.gc()
