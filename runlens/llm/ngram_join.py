@@ -11,7 +11,8 @@ time, never a pair.
 The index of the first order is shuffled by token. Comparing everything within
 a token would be all pairs of a group of copies. Instead each document is first
 compared with one other, the document its prefix tokens most often agree on;
-verified links give components. Then only documents of different components
+verified links give components, and what is left outside a large one is compared
+with a few of its members. Then only documents of different components
 whose prefixes have enough tokens in common are compared. So every pair that
 could connect something is tested, and a group of any number of near copies
 costs a comparison or few for each of them. Documents with equal sets are one
@@ -45,6 +46,11 @@ FIELD_BITS = 1 << 24
 #: A token that more documents than this have in their prefix is dealt out in parts.
 PART_ROWS = 100_000
 
+#: Where a component has this many of a token's nodes, those outside it are first compared
+#: with this many of its members each.
+LARGE = 32
+TRIES = 16
+
 _SKETCH_PART = 1 << 18
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -290,9 +296,27 @@ def _mixed(shared: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of tokens with nodes of different components, with ``component`` and the token's ``main`` one."""
     rows = shared.join(spread_long(labels, "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     groups = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("_c"))
-    mixed = groups.groupBy("token").agg(F.max_by("component", F.struct("_c", "component")).alias("main"), F.count(F.lit(1)).alias("_k"))
-    mixed = mixed.where(F.col("_k") > 1).select("token", "main")
-    return rows.join(spread_long(mixed, "token"), "token").select("token", "part", "node", "n", "component", "main")
+    mixed = groups.groupBy("token").agg(F.max(F.struct("_c", "component")).alias("main"), F.count(F.lit(1)).alias("_k"))
+    mixed = mixed.where(F.col("_k") > 1).select("token", "main.component", F.col("main._c").alias("size"))
+    mixed = mixed.select("token", F.col("component").alias("main"), "size")
+    return rows.join(spread_long(mixed, "token"), "token").select("token", "part", "node", "n", "component", "main", "size")
+
+
+def _tries(held: DataFrame) -> DataFrame:
+    """Pairs of nodes outside a token's large component with a few members of it.
+
+    The members are each first by another hash, so a node's tokens tend to name
+    the same ones; those named most often are tried.
+    """
+    large = held.where(F.col("size") >= LARGE)
+    inside = large.where(F.col("component") == F.col("main"))
+    firsts = [F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), F.col("node").alias("y"))).alias(f"m{i}") for i in range(TRIES)]
+    members = inside.groupBy("token").agg(*firsts).select("token", F.array(*(F.col(f"m{i}.y") for i in range(TRIES))).alias("ys"))
+    outside = large.where(F.col("component") != F.col("main")).select("token", F.col("node").alias("x"))
+    named = outside.join(spread_long(members, "token"), "token").select("x", F.explode(F.array_distinct("ys")).alias("y"))
+    votes = named.groupBy("x", "y").agg(F.count(F.lit(1)).alias("votes"))
+    rank = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("votes"), "y"))
+    return votes.withColumn("_rank", rank).where(F.col("_rank") <= TRIES).select("x", "y")
 
 
 def _across(held: DataFrame) -> DataFrame:
@@ -431,7 +455,13 @@ def near_duplicates(
     first = settle(_best_centre(shared))
     links = _verified(docs, rows, first, frequency, field_bits)
     labels = grouped(links)
-    across = settle(_across(settle(_mixed(shared, labels))).join(first.select(*_pair("x", "y")), ["x", "y"], "left_anti"))
+    held, tried = settle(_mixed(shared, labels)), first.select(*_pair("x", "y"))
+    tries = settle(_tries(held).join(first, ["x", "y"], "left_anti"))
+    if not tries.isEmpty():
+        links = links.unionAll(_verified(docs, rows, tries, frequency, field_bits))
+        labels, tried = grouped(links), tried.unionAll(tries.select(*_pair("x", "y")))
+        held = settle(_mixed(shared, labels))
+    across = settle(_across(held).join(tried, ["x", "y"], "left_anti"))
     if not across.isEmpty():
         links = links.unionAll(_verified(docs, rows, across, frequency, field_bits))
         labels = grouped(links)

@@ -94,6 +94,22 @@ def test_ngram_join_equals_brute_force(spark, seed, part_rows):
     assert sorted(map(tuple, got.collect()), key=repr) == brute_force(rows)
 
 
+def test_a_large_group_whose_members_differ(spark, monkeypatch):
+    """Copies with so many edits that many are near some of the others only."""
+    monkeypatch.setattr(ngram_join, "LARGE", 4)
+    monkeypatch.setattr(ngram_join, "TRIES", 3)
+    rnd = random.Random(8)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(60):
+        text = list(base)
+        for _ in range(rnd.randint(0, 7)):
+            text[rnd.randrange(150)] = f"e{rnd.randrange(10_000)}"
+        rows.append((i, " ".join(text)))
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), sketch_counters=1 << 13)
+    assert sorted(map(tuple, got.collect()), key=repr) == brute_force(rows)
+
+
 def test_a_chain_that_only_its_links_connect(spark):
     """Each document is near the next one only, and shares its frequent words with all."""
     words = [f"w{i}" for i in range(200)]
