@@ -211,8 +211,9 @@ def _frequency(profile: DataFrame, width: int) -> Frequency:
 def _postings(docs: DataFrame, frequency: Broadcast, part_rows: int) -> DataFrame:
     """The index: for every prefix token of every node a row ``token``, ``part``, ``node``, ``n``.
 
-    ``part`` deals out tokens that very many documents have. A task names a
-    node once, however many copies of it it reads.
+    ``part`` deals out tokens that very many documents have: it counts from 1
+    for those, and is 0 for a token that is not dealt out. A task names a node
+    once, however many copies of it it reads.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +228,7 @@ def _postings(docs: DataFrame, frequency: Broadcast, part_rows: int) -> DataFram
                 (first,) = counts.prefixes(shingles, ORDERS[:1])
                 parts = np.maximum(1, counts.of(first) // part_rows)
                 size = len(first)
-                values = (first.astype(np.int64), (node & 0x7FFFFFFF) % parts, np.full(size, node), np.full(size, len(shingles)))
+                values = (first.astype(np.int64), (node & 0x7FFFFFFF) % parts + (parts > 1), np.full(size, node), np.full(size, len(shingles)))
                 for column, value in zip(columns, values):
                     column.append(value)
             if columns[0]:
@@ -243,7 +244,8 @@ def _shared_postings(postings: DataFrame) -> DataFrame:
     near = Window.partitionBy("token", "part").orderBy("node")
     rows = postings.withColumn("_last", F.lag("node").over(near)).withColumn("_next", F.lead("node").over(near))
     once = rows.where(~F.col("node").eqNullSafe(F.col("_last")))
-    # A node whose only neighbour is its own copy may stay; that costs a row and no more.
+    # A node whose only neighbour is its own copy may stay; that costs a row and no more. One
+    # that is alone in its part may share the token with nodes of other parts.
     return once.where(F.col("_last").isNotNull() | F.col("_next").isNotNull() | (F.col("part") > 0)).drop("_last", "_next")
 
 
@@ -284,7 +286,7 @@ def _best_centre(rows: DataFrame) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("votes"), "centre"))
     best = likely.withColumn("_rank", rank).where(F.col("_rank") == 1)
     best = best.select(F.col("node").alias("x"), F.col("centre").alias("y"))
-    centres = named.where((F.col("part") >= 0) & (F.col("node") == F.col("centre"))).groupBy("token").agg(
+    centres = named.where((F.col("part") > 0) & (F.col("node") == F.col("centre"))).groupBy("token").agg(
         F.min("centre").alias("to"), F.max("centre").alias("_last"), F.collect_set("centre").alias("of")
     )
     tied = centres.where(F.col("to") != F.col("_last")).select("to", F.explode("of").alias("centre"))

@@ -94,6 +94,16 @@ def test_ngram_join_equals_brute_force(spark, seed, part_rows):
     assert sorted(map(tuple, got.collect()), key=repr) == brute_force(rows)
 
 
+def test_a_node_alone_in_a_part_of_its_tokens(spark):
+    """Copies in one part of all their tokens, and their only near copy alone in the other."""
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join([*words[:-1], f"e{i}"]) for i in range(40)]
+    part = [ngram_join.node_of(s) & 1 for s in ngram_join.shingle_sets(texts)]
+    rows = [(i, texts[part.index(1)]) for i in range(5)] + [(9, texts[part.index(0)])]
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), sketch_counters=1 << 13, part_rows=3)
+    assert sorted(map(tuple, got.collect()), key=repr) == brute_force(rows)
+
+
 def test_a_large_group_whose_members_differ(spark, monkeypatch):
     """Copies with so many edits that many are near some of the others only."""
     monkeypatch.setattr(ngram_join, "LARGE", 4)
