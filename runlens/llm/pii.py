@@ -211,15 +211,41 @@ KINDS: dict[str, tuple[str, Callable[[str, Move], str | None]]] = {
     "card": (r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])", _card),
     "ip": (r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)", _ip),
     "social": (r"(?<![\w-])\d{3}[- ]\d{2}[- ]\d{4}(?![\w-])", _social),
-    "date": (r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{2}([./-])\d{2}\1\d{4})(?![\w/-]|\.\d)", _date),
+    "date": (r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{2}(?P<mark>[./-])\d{2}(?P=mark)\d{4})(?![\w/-]|\.\d)", _date),
     "phone": (
         r"\+\d{1,3}[ .-]?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\w)"
         r"|\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])",
         _phone,
     ),
 }
-_ANY = re.compile("|".join(f"(?P<{name}>{pattern})" for name, (pattern, _) in KINDS.items()).replace(r"\1", r"(?P=mark)").replace("([./-])", "(?P<mark>[./-])"))
+_KINDS = {name: re.compile(pattern) for name, (pattern, _) in KINDS.items()}
+_ANY = re.compile("|".join(f"(?:{pattern})" for pattern, _ in KINDS.values()))
 _HINT = re.compile(r"[0-9@]")
+#: Kinds of no fixed length: what follows a value may look like more of it.
+_OPEN = ("iban", "card", "phone")
+_CARD_GROUPS = re.compile(r"\d{13,19}|\d{4}([ -])\d{4}\1\d{4}(?:\1\d{4})?(?:\1\d{1,3})?|\d{4}([ -])\d{6}\2\d{4,5}")
+_CARD_LOOSE = re.compile(r"\d{4,}(?:[ -]\d{4,})*")
+# The lengths of the registered countries' IBANs.
+_IBAN_LENGTHS = {
+    country: length
+    for length, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+        26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA",
+        30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
+
+
+def _usual(kind: str, found: str) -> bool:
+    """Whether a value is of a usual length and layout of its kind, so what follows is not part of it."""
+    if kind == "card":
+        return _CARD_GROUPS.fullmatch(found) is not None
+    if kind == "iban":
+        return _IBAN_LENGTHS.get(found[:2], 0) in (0, len(found.replace(" ", "")))
+    # Of the countries' numbers only those behind +1 have one length.
+    return kind != "phone" or re.match(r"\+1[ .(-]", found) is None or len(_only_digits(found)) == 11
 
 
 class Pseudonyms:
@@ -232,32 +258,54 @@ class Pseudonyms:
             return text, 0
         out, at, count, look = [], 0, 0, 0
         while (found := _ANY.search(text, look)) is not None:
-            new = self._new(found)
-            if new is None:
-                # Not valid as this kind; a shorter or later start may be of another.
-                look = found.start() + 1
+            start = found.start()
+            usual, end, new = self._at(text, start) or (True, 0, "")
+            if not end or (not usual and self._usual_inside(text, start + 1, end)):
+                # No value starts here; a later start may be one.
+                look = start + 1
                 continue
-            out += [text[at : found.start()], new]
-            at = look = found.end()
+            out += [text[at:start], new]
+            at = look = end
             count += 1
         return "".join([*out, text[at:]]), count
 
-    def _new(self, found: re.Match) -> str | None:
-        for name, (pattern, move) in KINDS.items():
-            value = found.group(name)
-            if value is not None:
-                if (new := move(value, self._move)) is not None:
-                    return new
-                # The other kinds may fit the same characters.
-                return next(
-                    (
-                        other
-                        for n, (p, m) in KINDS.items()
-                        if n != name and re.fullmatch(p, value) and (other := m(value, self._move)) is not None
-                    ),
-                    None,
-                )
-        return None
+    def _usual_inside(self, text: str, look: int, end: int) -> bool:
+        """Whether a value of a usual form starts before the end of one that is not."""
+        while (found := _ANY.search(text, look)) is not None and (look := found.start() + 1) <= end:
+            if (value := self._at(text, found.start())) is not None and value[0]:
+                return True
+        return False
+
+    def _at(self, text: str, start: int) -> tuple[bool, int, str] | None:
+        """The value that starts at a place: whether its form is usual, its end and its pseudonym.
+
+        Usual forms come first, then earlier kinds. Of the ends a card could
+        have in a usual layout the first is its end; otherwise longer values
+        come first.
+        """
+        best = None
+        for name, pattern in _KINDS.items():
+            found = pattern.match(text, start)
+            if found is None:
+                continue
+            last = found.end()
+            ends = [last, *(i for i in range(last - 1, start, -1) if name in _OPEN and text[i] in " .-")]
+            places = [(not _usual(name, text[start:end]), end) for end in ends if pattern.fullmatch(text, start, end)]
+            if name == "card":
+                # Shorter ends of an unusual layout only where no group is small, as lists of numbers would pass by chance.
+                loose = [place for place in places if place[0] and _CARD_LOOSE.fullmatch(text, start, place[1])]
+                places = [*((odd, end) for odd, end in reversed(places) if not odd), *loose, (True, last)]
+            else:
+                places.sort(key=lambda place: place[0])
+            for odd, end in places:
+                if odd and best is not None:
+                    break
+                if (new := KINDS[name][1](text[start:end], self._move)) is not None:
+                    best = not odd, end, new
+                    break
+            if best is not None and best[0]:
+                return best
+        return best
 
 
 def pseudonymise(df: DataFrame, key: bytes, text: str = "text", count: str = "n_pii") -> DataFrame:

@@ -46,6 +46,40 @@ def test_dates_stay_dates_of_their_format():
     assert date(y, m, d) != date(2021, 2, 28)
 
 
+BEHIND = ("7", "12", "123", "1234", "12/27", "12-2027", "2024", "2024-05-13", "BIC", "EUR 12", "PAGE", "A1", "12 BIC", "4111 1111 1111 1111")
+
+
+@pytest.mark.parametrize(
+    "value",
+    [
+        "4111111111111111", "4111 1111 1111 1111", "4111-1111-1111-1111", "4111-1111 11111111", "378282246310005", "3782 822463 10005", "3056 930902 5904",
+        "ES91 2100 0418 4502 0005 1332", "ES9121000418450200051332", "BE68 5390 0754 7034", "GB82 WEST 1234 5698 7654 32", "GB82WEST12345698765432",
+        "+1 (017) 555-7713", "+1 017 555 7713", "(212) 555-0100", "212-555-0100",
+        "123-45-6789", "10.0.0.1", "2001-05-13", "13.05.2001", "05/13/2001", "ann.lee@mail.example.com",
+    ],
+)
+def test_what_stands_behind_a_value_is_no_part_of_it(value):
+    alone, n = P.replace(value)
+    assert n == 1 and alone != value
+    for behind in BEHIND:
+        rest, more = P.replace(behind)
+        assert P.replace(f"{value} {behind}") == (f"{alone} {rest}", 1 + more), behind
+    assert all(P.replace(f"{value} {i:03d}") == (f"{alone} {i:03d}", 1) for i in range(1000))
+
+
+@pytest.mark.parametrize("value", ["4111111111111111", "4111 1111 1111 1111", "ES91 2100 0418 4502 0005 1332", "+1 017 555 7713"])
+def test_what_stands_before_a_value_is_no_part_of_it(value):
+    alone, _ = P.replace(value)
+    assert all(P.replace(f"{before} {value}") == (f"{before} {alone}", 1) for before in [*map(str, range(1000)), "BIC", "XX12"])
+
+
+def test_a_number_too_long_is_tried_at_shorter_lengths():
+    new, n = P.replace("+44 20 7946 0958 2024")
+    assert n == 1 and new == P.replace("+44 20 7946 0958")[0] + " 2024"
+    new, n = P.replace("4111-1111-1111-1111-123")
+    assert n == 1 and new == P.replace("4111-1111-1111-1111")[0] + "-123"
+
+
 @pytest.mark.parametrize(
     "text",
     [
