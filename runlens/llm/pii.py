@@ -13,8 +13,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
-from datetime import date, timedelta
+from datetime import date
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
@@ -166,11 +167,17 @@ def _iban(found: str, move: Move) -> str | None:
     return "".join(c if c == " " else next(source) for c in found)
 
 
-_FIRST_DAY, _DAYS = date(1900, 1, 1), (date(2100, 1, 1) - date(1900, 1, 1)).days
+_FIRST_DAY, _LAST_DAY = date(1900, 1, 1), date(2099, 12, 31)
+#: The days up to the 12th of each month, which would read as a month in front of a slash, and the others.
+_EARLY, _LATE = ([d for d in range(_FIRST_DAY.toordinal(), _LAST_DAY.toordinal() + 1) if (date.fromordinal(d).day > 12) == late] for late in (False, True))
 
 
 def _date(found: str, move: Move) -> str | None:
-    """Days from 1900 to 2099. Behind a slash-separated number up to 12 stands the day, else the month."""
+    """Days from 1900 to 2099. Behind a slash-separated number up to 12 stands the day, else the month.
+
+    Days up to 12 are permuted among themselves and so are the others, so a
+    pseudonym reads in the order of its format and is the same in all formats.
+    """
     parts = re.split(r"\D", found)
     if len(parts[0]) == 4:
         order = (0, 1, 2)
@@ -180,30 +187,21 @@ def _date(found: str, move: Move) -> str | None:
         order = (2, 1, 0)
     year, month, day = (int(parts[i]) for i in order)
     try:
-        at = (date(year, month, day) - _FIRST_DAY).days
+        at = date(year, month, day)
     except ValueError:
         return None
-    if not 0 <= at < _DAYS:
+    if not _FIRST_DAY <= at <= _LAST_DAY:
         return None
-    moved = _FIRST_DAY + timedelta(days=move("date", _DAYS, at))
+    days = _LATE if day > 12 else _EARLY
+    moved = date.fromordinal(days[move("date", len(days), bisect_left(days, at.toordinal()))])
     new = [""] * 3
-    for i, v in zip(order, (f"{moved.year:04d}", f"{moved.month:02d}", f"{moved.day:02d}")):
-        new[i] = v
-    # 01/13 would read as a day in front; such days keep their place by the month being first only if it can.
-    if order == (2, 1, 0) and "/" in found and moved.day <= 12:
-        return _date_again(found, moved, move)
+    for i, v in zip(order, (moved.year, moved.month, moved.day)):
+        # Where a number is written without a zero in front, all are.
+        new[i] = str(v) if min(map(len, parts)) == 1 else f"{v:02d}"
     separators = re.findall(r"\D", found)
     return f"{new[0]}{separators[0]}{new[1]}{separators[1]}{new[2]}"
 
 
-def _date_again(found: str, moved: date, move: Move) -> str | None:
-    """Walk on to a day that reads day first, as the format found does."""
-    while moved.day <= 12:
-        moved = _FIRST_DAY + timedelta(days=move("date", _DAYS, (moved - _FIRST_DAY).days))
-    separators = re.findall(r"\D", found)
-    return f"{moved.day:02d}{separators[0]}{moved.month:02d}{separators[1]}{moved.year:04d}"
-
-
 # Earlier kinds win where several could start at one place.
 KINDS: dict[str, tuple[str, Callable[[str, Move], str | None]]] = {
     "email": (r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![\w-])", _email),
@@ -211,7 +209,7 @@ KINDS: dict[str, tuple[str, Callable[[str, Move], str | None]]] = {
     "card": (r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])", _card),
     "ip": (r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)", _ip),
     "social": (r"(?<![\w-])\d{3}[- ]\d{2}[- ]\d{4}(?![\w-])", _social),
-    "date": (r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{2}(?P<mark>[./-])\d{2}(?P=mark)\d{4})(?![\w/-]|\.\d)", _date),
+    "date": (r"(?<![\w./-])(?:\d{4}(?P<a>[./-])\d{1,2}(?P=a)\d{1,2}|\d{1,2}(?P<b>[./-])\d{1,2}(?P=b)\d{4})(?![\w/-]|\.\d)", _date),
     "phone": (
         r"\+\d{1,3}[ .-]?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\w)"
         r"|\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])",

@@ -46,6 +46,20 @@ def test_dates_stay_dates_of_their_format():
     assert date(y, m, d) != date(2021, 2, 28)
 
 
+def test_a_date_has_one_pseudonym_in_all_formats():
+    seen = set()
+    for i in range(600):
+        at = date.fromordinal(date(1999, 11, 1).toordinal() + 3 * i)
+        year, month, day = map(int, P.replace(at.isoformat())[0].split("-"))
+        seen.add((year, month, day))
+        forms = ["{0}/{1:02}/{2:02}", "{0}.{1:02}.{2:02}", "{2:02}.{1:02}.{0}", "{2:02}-{1:02}-{0}", "{1:02}/{2:02}/{0}"]
+        forms += ["{2:02}/{1:02}/{0}"] * (at.day > 12)
+        short = ["{0}-{1}-{2}", "{0}/{1}/{2}", "{2}.{1}.{0}", "{1}/{2}/{0}"] * (min(at.month, at.day) < 10)
+        for form in forms + short:
+            assert P.replace("on " + form.format(at.year, at.month, at.day)) == ("on " + form.format(year, month, day), 1), form
+    assert len(seen) == 600
+
+
 BEHIND = ("7", "12", "123", "1234", "12/27", "12-2027", "2024", "2024-05-13", "BIC", "EUR 12", "PAGE", "A1", "12 BIC", "4111 1111 1111 1111")
 
 
