@@ -36,11 +36,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by similar shingles the one with the smallest id; a row without an id cannot be named and stays."""
+    """Of documents linked by similar shingles one with the smallest id, whether or not ids repeat or are missing."""
     ready(spark)
-    groups = ngram_join.near_duplicates(docs)
-    gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
-    return docs.select(*DOCUMENT).join(gone, "doc_id", "left_anti").select(*DOCUMENT)
+    return ngram_join.without_near_duplicates(docs.select(*DOCUMENT))
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

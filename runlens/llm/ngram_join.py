@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from runlens.llm.components import components
 from runlens.llm.session import release, settle
@@ -425,24 +425,13 @@ def _verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, frequency: Bro
     return settle(both.mapInArrow(run, "x long, y long"))
 
 
-def near_duplicates(
-    df: DataFrame,
-    key: str = "doc_id",
-    text: str = "text",
-    sketch_counters: int = SKETCH_COUNTERS,
-    field_bits: int = FIELD_BITS,
-    part_rows: int = PART_ROWS,
-) -> DataFrame:
-    """One row per row of ``df``: ``key`` (a long), ``n_shingles`` and ``component_id``.
+def _grouped(docs: DataFrame, sketch_counters: int, field_bits: int, part_rows: int) -> DataFrame:
+    """For every row of ``doc_id`` and ``text`` its ``doc_id``, ``n``, ``node``, ``component`` and ``component_id``.
 
-    ``component_id`` is the smallest key reachable by links, the row's own
-    included; texts link when their shingle sets have a similarity of
-    :data:`PERCENT` hundredths or more. Null and wordless texts have no
-    shingles and link with nothing, not even each other. Rows that repeat link
-    if they have words. A null key counts as larger than all others. Other
-    columns are left out. Sets are told apart by 64-bit hashes.
+    ``component`` is a node, ``component_id`` the smallest ``doc_id`` in it,
+    which two components may share where it repeats. Rows without shingles
+    have neither node nor component and are their own.
     """
-    docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     context = docs.sparkSession.sparkContext
     profile = settle(_profile(docs, sketch_counters))
     frequency = context.broadcast(_frequency(profile, sketch_counters))
@@ -471,12 +460,82 @@ def near_duplicates(
     classes = rows.where(F.col("n") > 0).groupBy("node").agg(F.min("doc_id").alias("_least"))
     joined = classes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = joined.groupBy("component").agg(F.min("_least").alias("component_id"))
-    by_node = joined.select("node", "component").join(spread_long(least, "component"), "component").select("node", "component_id")
+    by_node = joined.select("node", "component").join(spread_long(least, "component"), "component").select("node", "component", "component_id")
     # Rows without shingles belong to no node; their key for the join is spread out, as null would not be.
     keyed = rows.withColumn("_node", F.when(F.col("n") > 0, F.col("node")).otherwise(F.xxhash64("doc_id")))
-    out = keyed.join(by_node.select((F.col("node") + F.lit(0)).alias("_node"), "component_id"), "_node", "left")
-    return out.select(
-        F.col("doc_id").alias(key),
-        F.col("n").cast("long").alias("n_shingles"),
+    of_node = by_node.select((F.col("node") + F.lit(0)).alias("_node"), "component", "component_id")
+    return keyed.join(of_node, "_node", "left").select(
+        "doc_id",
+        "n",
+        *(F.when(F.col("n") > 0, F.col(c)).alias(c) for c in ("node", "component")),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
     )
+
+
+def near_duplicates(
+    df: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    sketch_counters: int = SKETCH_COUNTERS,
+    field_bits: int = FIELD_BITS,
+    part_rows: int = PART_ROWS,
+) -> DataFrame:
+    """One row per row of ``df``: ``key`` (a long), ``n_shingles`` and ``component_id``.
+
+    ``component_id`` is the smallest key reachable by links, the row's own
+    included; texts link when their shingle sets have a similarity of
+    :data:`PERCENT` hundredths or more. Null and wordless texts have no
+    shingles and link with nothing, not even each other. Rows that repeat link
+    if they have words. A null key counts as larger than all others. Other
+    columns are left out. Sets are told apart by 64-bit hashes.
+    """
+    docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = _grouped(docs, sketch_counters, field_bits, part_rows)
+    return rows.select(F.col("doc_id").alias(key), F.col("n").cast("long").alias("n_shingles"), "component_id")
+
+
+def _with_nodes(df: DataFrame, text: str) -> DataFrame:
+    """The rows with ``_node`` added, null for texts without shingles."""
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = [node_of(s) if len(s) else None for s in shingle_sets(batch.column(at).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.int64())], names=[*batch.schema.names, "_node"])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("_node", T.LongType())]))
+
+
+def without_near_duplicates(
+    df: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    sketch_counters: int = SKETCH_COUNTERS,
+    field_bits: int = FIELD_BITS,
+    part_rows: int = PART_ROWS,
+) -> DataFrame:
+    """The rows of ``df`` without those that :func:`near_duplicates` links with one that stays.
+
+    Of each component one row of its smallest ``key`` (a long) stays; a null is
+    larger than all. Rows without words stay. Where a key stands on one row
+    only, the key tells what goes. The rows of keys that repeat, and those
+    without a key, are told apart by their texts' nodes; of equal nodes and
+    keys the text that sorts first stays.
+    """
+    docs = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    rows = settle(_grouped(docs, sketch_counters, field_bits, part_rows))
+    gone = rows.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(key))
+    counts = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
+    repeated = settle(counts.where((F.col("_rows") > 1) | F.col("doc_id").isNull()).select(F.col("doc_id").alias("_key")))
+    if repeated.isEmpty():
+        return df.join(gone, key, "left_anti").select(*df.columns)
+    repeats = F.col(key).eqNullSafe(F.col("_key"))
+    once = df.join(repeated, repeats, "left_anti").join(gone, key, "left_anti").select(*df.columns)
+    several = _with_nodes(df.join(repeated, repeats, "left_semi").select(*df.columns), text)
+    # A component's row: of the nodes with its smallest key the first.
+    first = rows.where((F.col("n") > 0) & F.col("doc_id").eqNullSafe(F.col("component_id")))
+    first = first.groupBy("component").agg(F.min(F.struct("node", "doc_id")).alias("_first"))
+    first = first.select(F.col("_first.node").alias("_kept"), F.col("_first.doc_id").alias("_key"))
+    kept = several.join(first, (F.col("_node") == F.col("_kept")) & repeats, "left_semi")
+    one = kept.groupBy("_node").agg(F.min_by(F.struct(*df.columns), F.col(text)).alias("_row")).select("_row.*")
+    return once.unionByName(one).unionByName(several.where(F.col("_node").isNull()).select(*df.columns))

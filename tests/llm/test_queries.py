@@ -64,6 +64,25 @@ def test_stages_take_empty_tables_nulls_and_more_columns(spark):
         assert docs.select("doc_id").distinct().count() == (1 if rows else 0)
 
 
+def test_near_duplicates_where_ids_repeat(spark):
+    words = [[f"{c}{i}" for i in range(60)] for c in "abcd"]
+    texts = [" ".join(w) for w in words]
+    close = [" ".join([*w[:-1], "end"]) for w in words]
+    rows = [
+        (1, texts[0]), (1, texts[1]), (2, close[0]), (2, texts[2]), (3, close[1]),  # 2 stands on a near copy and on a text of its own
+        (4, texts[3]), (4, close[3]), (4, texts[3].upper()),  # a group whose smallest id repeats
+        (5, "..."), (5, ""), (5, "..."), (None, close[2]), (None, "no words like these"), (None, None), (6, "only one"),
+    ]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near(spark, docs, SF_DIR).collect()]
+    fours = [t for k, t in got if k == 4]
+    assert len(fours) == 1 and fours[0] in (texts[3].upper(), close[3])
+    expected = [rows[i] for i in (0, 1, 3, 8, 9, 10, 12, 13, 14)]
+    # One word or more is a shingle, so equal texts of these rows are one.
+    expected.remove((5, "..."))
+    assert sorted((r for r in got if r[0] != 4), key=repr) == sorted(expected, key=repr)
+
+
 def test_no_letters_go_and_clean_documents_stay(spark):
     docs = spark.createDataFrame([(1, "...", None, "s", 3), (2, "one small text", "en", "s", 14)], "doc_id long, text string, lang string, source string, n_chars long")
     assert [r["doc_id"] for r in corpus_pipeline.language(spark, docs, SF_DIR).collect()] == [2]
