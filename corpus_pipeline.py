@@ -20,13 +20,19 @@ DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that have a language: only those without any letters go. A missing label is filled in."""
+    """Documents that have a language, in ``lang``: only those without any letters go.
+
+    The language found in the text is written into ``lang``, whether or not
+    there was a label; the model is fitted on the labels of all documents, and
+    one that disagrees with what is found is replaced. If no document has a
+    label there is no model, and ``lang`` stays null.
+    """
     ready(spark)
     model = langid.fit(docs)
     found = langid.identify(docs.select(*DOCUMENT), model)
-    kept = found.where(F.col("lang_pred") != langid.UNKNOWN) if model is not None else found.where(F.col("text").rlike(r"\p{L}"))
-    predicted = F.when(F.col("lang_pred") != langid.UNKNOWN, F.col("lang_pred"))
-    return kept.withColumn("lang", F.coalesce("lang", predicted)).select(*DOCUMENT)
+    if model is None:
+        return found.where(F.col("text").rlike(r"\p{L}")).select(*DOCUMENT)
+    return found.where(F.col("lang_pred") != langid.UNKNOWN).withColumn("lang", F.col("lang_pred")).select(*DOCUMENT)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -83,6 +83,17 @@ def test_near_duplicates_where_ids_repeat(spark):
     assert sorted((r for r in got if r[0] != 4), key=repr) == sorted(expected, key=repr)
 
 
+def test_the_language_found_is_the_language_written(spark):
+    english, german = "the weather was good and they went with the others", "das wetter war gut und sie gingen mit den anderen"
+    rows = [(i, f"{english} {i}", "en") for i in range(40)] + [(100 + i, f"{german} {i}", "de") for i in range(40)]
+    rows += [(200, english, "de"), (201, german, None), (202, german, "de")]
+    docs = spark.createDataFrame([(k, t, lang, "s", len(t)) for k, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["lang"] for r in corpus_pipeline.language(spark, docs, SF_DIR).collect()}
+    assert got == {k: "de" if t.startswith(german) else "en" for k, t, _ in rows}
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert [r["lang"] for r in corpus_pipeline.language(spark, unlabelled, SF_DIR).collect()] == [None] * len(rows)
+
+
 def test_no_letters_go_and_clean_documents_stay(spark):
     docs = spark.createDataFrame([(1, "...", None, "s", 3), (2, "one small text", "en", "s", 14)], "doc_id long, text string, lang string, source string, n_chars long")
     assert [r["doc_id"] for r in corpus_pipeline.language(spark, docs, SF_DIR).collect()] == [2]
