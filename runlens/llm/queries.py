@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from runlens.llm import ann, bpe, chat, exact_dedup, langid, ngram_join, packing, pii, token_counts, warc
+from runlens.llm import ann, bpe, chat, collocations, exact_dedup, fim, langid, ngram_join, packing, pii, sharding, token_counts, warc
 from runlens.llm.session import table
 from runlens.plans import checkpoint_dir
 
@@ -17,6 +17,7 @@ PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 TOKEN_LIMIT = 4096
 SEQUENCE_LENGTH = 2048
 NEIGHBOURS = 5
+SHARDS = 24
 #: Of these queries only; a real run takes its own secret.
 PSEUDONYM_KEY = b"the key of the registered queries"
 
@@ -101,6 +102,32 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(vectors, vectors.where(F.col("vec_id") % 50 == 0), NEIGHBOURS)
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document rearranged and rebuilt; null texts are empty, rows that repeat come out alike, no rows give none."""
+    done = fim.restore(fim.transform(table(spark, sf_dir, "documents")))
+    digests = [F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256")]
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op12_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard under the law ``rows``.
+
+    Null texts have a size of 8 and the checksum of nothing, a null source is a
+    source of its own, rows that repeat are rows like others, no rows give none.
+    """
+    text = F.coalesce(F.col("text").cast("binary"), F.lit(bytearray()))
+    size, crc = (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", size, crc)
+    sharded = sharding.interleave(rows, SHARDS)
+    none = F.lit(None).cast("int").alias("grown_shard")
+    return sharded.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", none)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 phrases of each language; null texts have no words, a null language is ``und``, no rows give none."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -113,6 +140,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii": op8_pii,
         "op9_ngram_join": op9_ngram_join,
         "op10_ann": op10_ann,
+        "op11_fim": op11_fim,
+        "op12_shards": op12_shards,
+        "op13_collocations": op13_collocations,
     }
 
 
@@ -144,5 +174,46 @@ FROM texts WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+_OP13 = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), words AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS ws FROM pieces
+), starts AS (
+  SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM words
+), grams AS (
+  SELECT lang, ws, i, unnest(range(1, least(5, len(ws) - i + 1) + 1)) AS m FROM starts
+), counted AS (
+  SELECT lang, array_to_string(ws[i:i + m - 1], ' ') AS phrase, m, count(*) AS f FROM grams GROUP BY ALL
+), totals AS (
+  SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counted WHERE m = 1 GROUP BY lang
+), often AS (
+  SELECT * FROM counted WHERE f >= 100
+), cuts AS (
+  SELECT lang, phrase, f, m, string_split(phrase, ' ') AS ws, unnest(range(1, m)) AS k FROM often WHERE m > 1
+), scored AS (
+  SELECT c.lang, c.phrase, c.f AS a, c.k, l.f AS l, r.f AS r, t.n,
+    CAST(1000::HUGEINT * c.f * t.n // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+  FROM cuts c JOIN totals t ON t.lang = c.lang
+  JOIN often l ON l.lang = c.lang AND l.phrase = array_to_string(c.ws[1:c.k], ' ')
+  JOIN often r ON r.lang = c.lang AND r.phrase = array_to_string(c.ws[c.k + 1:c.m], ' ')
+), lowest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inside AS (
+  SELECT lang, sub, max(f) AS f FROM (
+    SELECT lang, f, array_to_string(string_split(phrase, ' ')[1:m - 1], ' ') AS sub FROM often WHERE m > 2
+    UNION ALL SELECT lang, f, array_to_string(string_split(phrase, ' ')[2:m], ' ') FROM often WHERE m > 2
+  ) GROUP BY lang, sub
+), kept AS (
+  SELECT s.* FROM lowest s LEFT JOIN inside i ON i.lang = s.lang AND i.sub = s.phrase WHERE coalesce(i.f, 0) < s.a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept QUALIFY rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": _OP2, "op3_exact_dedup": _OP3}
+    return {"op2_chat_format": _OP2, "op3_exact_dedup": _OP3, "op13_collocations": _OP13}
