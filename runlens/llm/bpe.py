@@ -19,6 +19,7 @@ import json
 import re
 from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -29,10 +30,22 @@ from pyspark.sql import DataFrame, functions as F, types as T
 #: Fixed value: how a byte-level pre-tokenizer splits a text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Parts of texts, and words, a worker remembers before it starts anew; bounds its memory, not the result.
-REMEMBERED = 500_000
+#: Bytes of parts of texts a worker remembers; longer parts than the second are forgotten at
+#: once. Both bound memory, not the result.
+REMEMBERED_BYTES = 64 << 20
+REMEMBERED_LENGTH = 64
+#: What a remembered part costs besides its characters.
+_ENTRY_BYTES = 200
+#: Characters of text, and bytes of words, that arrays are made for at once.
+GROUP_CHARS = 2 << 20
+GROUP_BYTES = 1 << 20
+#: Tokens on either side of a failing border that are merged anew at first.
+MEND_RADIUS = 4
+#: Stretches longer than this are merged by a heap, one by one.
+LONG_STRETCH = 512
 
 _NEVER = np.int64(1) << 40
+_NEVER_MERGED = int(_NEVER)
 # A space before a visible character always starts a word; splitting there is cheap.
 _GAP = re.compile(r" (?=\S)")
 _RUN = re.compile(r" \s|\s\Z")
@@ -81,6 +94,76 @@ class _Lookup:
         return out
 
 
+def _pieces(text: str) -> Iterator[str]:
+    """The text in pieces whose words do not depend on each other, none much longer than a group if there are spaces in it."""
+    at = 0
+    while len(text) - at > GROUP_CHARS:
+        gap = _GAP.search(text, at + GROUP_CHARS // 2)
+        if gap is None:
+            break
+        yield text[at : gap.start()]
+        at = gap.start()
+    yield text[at:]
+
+
+class _Runs:
+    """Runs of ids, one after the other."""
+
+    def __init__(self, ids: np.ndarray, lengths: np.ndarray):
+        self.ids, self.lengths = ids, lengths
+        self.starts = np.cumsum(lengths) - lengths
+
+    def of(self, numbers: np.ndarray) -> _Runs:
+        """The runs of these numbers, in this order."""
+        lengths = self.lengths[numbers]
+        at = np.repeat(self.starts[numbers] - np.cumsum(lengths) + lengths, lengths)
+        at += np.arange(len(at))
+        return _Runs(self.ids[at], lengths)
+
+    def and_more(self, runs: _Runs) -> _Runs:
+        return _Runs(np.append(self.ids, runs.ids), np.append(self.lengths, runs.lengths))
+
+
+_NO_RUNS = _Runs(np.zeros(0, "<u4"), np.zeros(0, np.int64))
+
+
+class _Memory(dict):
+    """Numbers of parts whose ids are known; a part that is new gets the next one and waits in ``new``."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: dict[str, int] = {}
+        self.bytes = 0
+        self.runs = _NO_RUNS
+
+    def __missing__(self, part: str) -> int:
+        return self.new.setdefault(part, len(self) + len(self.new))
+
+    def settle(self, runs: _Runs, counts: np.ndarray) -> None:
+        """Remember the new parts that are short; where that is too much, only parts that came up more than once.
+
+        ``runs`` are the ids of known and new parts, ``counts`` how often each has just come up.
+        """
+        known = len(self)
+        names = [*self.new]
+        self.new = {}
+        sizes = np.fromiter(map(len, names), np.int64, len(names))
+        kept = np.flatnonzero(sizes <= REMEMBERED_LENGTH)
+        cost = int((sizes[kept] + _ENTRY_BYTES).sum())
+        if self.bytes + cost > REMEMBERED_BYTES:
+            kept = kept[counts[known + kept] > 1]
+            cost = int((sizes[kept] + _ENTRY_BYTES).sum())
+            used = [(name, i) for name, i in self.items() if counts[i] > 1]
+            self.clear()
+            self.update((name, n) for n, (name, _) in enumerate(used))
+            self.runs = self.runs.of(np.array([i for _, i in used], np.int64))
+            self.bytes = sum(len(name) + _ENTRY_BYTES for name in self)
+        if self.bytes + cost <= REMEMBERED_BYTES:
+            self.update(zip([names[i] for i in kept.tolist()], range(len(self), len(self) + len(kept))))
+            self.runs = self.runs.and_more(runs.of(known + kept))
+            self.bytes += cost
+
+
 class BytePairs:
     """A byte-level vocabulary with its merges, and encoding by speculation."""
 
@@ -107,6 +190,7 @@ class BytePairs:
             pairs[rank], self._made[rank] = (i << 32) | j, k
             self.rank[k], self.left[k], self.right[k] = rank, i, j
         self._ranks = _Lookup(pairs, np.arange(len(pairs)), int(_NEVER))
+        self._rank_of = dict(zip(pairs.tolist(), range(len(pairs))))
 
         # Tokens that do not encode to themselves are never proposed.
         made = np.flatnonzero(self.rank >= 0)
@@ -116,9 +200,9 @@ class BytePairs:
             sound[k] &= sound[self.left[k]] and sound[self.right[k]]
         self._grow_trie({token: i for token, i in ids.items() if sound[i]})
 
+        self._sizes = np.fromiter(map(len, self.bytes_of), np.int64, size)
         self._words = regex.compile(WORDS)
-        self._by_word: dict[str, bytes] = {}
-        self._by_part: dict[str, bytes] = {}
+        self._memory = _Memory()
 
     @classmethod
     def load(cls, path: str) -> BytePairs:
@@ -128,6 +212,9 @@ class BytePairs:
 
     # -- verification ------------------------------------------------------
 
+    def _pair_rank(self, a: int, b: int) -> int:
+        return self._rank_of.get(a << 32 | b, _NEVER_MERGED)
+
     def _rank_of_pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return self._ranks((a.astype(np.int64) << 32) | b)
 
@@ -196,12 +283,53 @@ class BytePairs:
         return flat[order], np.bincount(owner, minlength=len(words))
 
     def merge(self, words: Sequence[bytes]) -> list[np.ndarray]:
-        """The encoding of each word by its merges, for all words side by side.
+        """The encoding of each word by its merges: short ones side by side, each long one by a heap."""
+        runs = self._merged(words)
+        return [runs.ids[a : a + n] for a, n in zip(runs.starts.tolist(), runs.lengths.tolist())]
+
+    def _merged(self, words: Sequence[bytes]) -> _Runs:
+        long = [i for i, word in enumerate(words) if len(word) > LONG_STRETCH]
+        if not long:
+            return self._merge_short(words)
+        short = [i for i, word in enumerate(words) if len(word) <= LONG_STRETCH]
+        runs = self._merge_short([words[i] for i in short])
+        merged = [self._merge_long(words[i]) for i in long]
+        runs = runs.and_more(_Runs(np.concatenate(merged), np.array([len(m) for m in merged], np.int64)))
+        order = np.zeros(len(words), np.int64)
+        order[short + long] = np.arange(len(words))
+        return runs.of(order)
+
+    def _merge_long(self, word: bytes) -> np.ndarray:
+        """Merges in the order of rank, then place, off a heap that is told of every border as it comes up."""
+        symbol = self._base[np.frombuffer(word, np.uint8)]
+        ranks = self._rank_of_pair(symbol[:-1], symbol[1:])
+        heap = [(rank, at) for at, rank in enumerate(ranks.tolist()) if rank < _NEVER]
+        heapify(heap)
+        symbols, made, pair_rank = symbol.tolist(), self._made, self._pair_rank
+        after, before = [*range(1, len(word)), -1], [*range(-1, len(word) - 1)]
+        while heap:
+            rank, at = heappop(heap)
+            end = after[at] if symbols[at] >= 0 else -1
+            if end < 0 or pair_rank(symbols[at], symbols[end]) != rank:
+                continue
+            symbols[at], symbols[end] = int(made[rank]), -1
+            after[at] = follow = after[end]
+            if follow >= 0:
+                before[follow] = at
+                if (new := pair_rank(symbols[at], symbols[follow])) < _NEVER:
+                    heappush(heap, (new, at))
+            last = before[at]
+            if last >= 0 and (new := pair_rank(symbols[last], symbols[at])) < _NEVER:
+                heappush(heap, (new, last))
+        return np.array([s for s in symbols if s >= 0], "<u4")
+
+    def _merge_short(self, words: Sequence[bytes]) -> _Runs:
+        """All words side by side.
 
         One round applies, in every word, its merge of smallest rank from left
         to right; words without one are done and leave.
         """
-        out: list[np.ndarray] = [np.zeros(0, "<u4")] * len(words)
+        of_word, how_many, symbols = [], [], []
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         symbol = self._base[np.frombuffer(b"".join(words), np.uint8)]
         word = np.repeat(np.arange(len(words)), lengths)
@@ -212,25 +340,41 @@ class BytePairs:
             best = np.minimum.reduceat(rank, starts)
             done = best == _NEVER
             if done.any():
-                for i in np.flatnonzero(done):
-                    out[word[starts[i]]] = symbol[starts[i] : starts[i] + sizes[i]].astype("<u4")
                 on = np.repeat(~done, sizes)
+                of_word.append(word[starts[done]])
+                how_many.append(sizes[done])
+                symbols.append(symbol[~on])
                 symbol, word, rank = symbol[on], word[on], rank[on]
                 best, sizes = best[~done], sizes[~done]
                 if not len(symbol):
                     break
             hit = rank == np.repeat(best, sizes)
-            # Of hits in a row (the same symbol repeated) every other one is applied.
-            place = np.arange(len(hit))
-            run = np.maximum.accumulate(np.where(hit & ~np.append(False, hit[:-1]), place, 0))
-            hit &= (place - run) % 2 == 0
-            symbol[hit] = self._made[rank[hit]]
-            stay = ~np.append(False, hit[:-1])
-            changed = np.flatnonzero(hit[stay])
+            if (hit[1:] & hit[:-1]).any():
+                # Of hits in a row (the same symbol repeated) every other one is applied.
+                place = np.arange(len(hit))
+                run = np.maximum.accumulate(np.where(hit & ~np.append(False, hit[:-1]), place, 0))
+                hit &= (place - run) % 2 == 0
+            at = np.flatnonzero(hit)
+            symbol[at] = self._made[rank[at]]
+            stay = np.ones(len(hit), bool)
+            stay[at + 1] = False
             symbol, word, rank = symbol[stay], word[stay], rank[stay]
-            fresh = np.union1d(changed, changed[changed > 0] - 1)
+            # A merge moves what follows it one place to the left.
+            changed = at - np.arange(len(at))
+            looked = np.zeros(len(symbol), bool)
+            looked[changed] = True
+            looked[np.maximum(changed - 1, 0)] = True
+            fresh = np.flatnonzero(looked)
             rank[fresh] = self._border_ranks(symbol, word, fresh)
-        return out
+        if not symbols:
+            return _Runs(np.zeros(0, "<u4"), np.zeros(len(words), np.int64))
+        found = _Runs(np.concatenate(symbols).astype("<u4"), np.concatenate(how_many))
+        number = np.full(len(words), -1, np.int64)
+        number[np.concatenate(of_word)] = np.arange(len(found.lengths))
+        if (number < 0).any():  # words of no bytes
+            number[number < 0] = len(found.lengths)
+            found = _Runs(found.ids, np.append(found.lengths, 0))
+        return found.of(number)
 
     def _border_ranks(self, symbol: np.ndarray, word: np.ndarray, at: np.ndarray) -> np.ndarray:
         """The rank of the merge of each symbol at ``at`` with the next one of its word."""
@@ -238,38 +382,95 @@ class BytePairs:
         inside = (at + 1 < len(symbol)) & (word[after] == word[at])
         return np.where(inside, self._rank_of_pair(symbol[at], symbol[after]), _NEVER)
 
-    def encode_words(self, words: list[str]) -> list[bytes]:
-        """Ids of each word, as little-endian unsigned 32-bit integers."""
-        raw = [word.encode() for word in words]
-        flat, lengths = self._propose(raw)
-        owner = np.repeat(np.arange(len(words)), lengths)
+    def encode_words(self, words: Sequence[bytes]) -> _Runs:
+        groups, held = [[]], 0
+        for word in words:
+            if held + len(word) > GROUP_BYTES and groups[-1]:
+                groups.append([])
+                held = 0
+            groups[-1].append(word)
+            held += len(word)
+        done = [self._encode_group(group) for group in groups]
+        return done[0] if len(done) == 1 else _Runs(np.concatenate([d.ids for d in done]), np.concatenate([d.lengths for d in done]))
+
+    def _encode_group(self, words: list[bytes]) -> _Runs:
+        """Propose, verify, and merge stretches around failing borders until all borders hold.
+
+        A sequence in which all borders hold is the encoding, however it was
+        found. Stretches that were not long enough are doubled.
+        """
+        tokens, lengths = self._propose(words)
+        owner, text, radius = np.repeat(np.arange(len(words)), lengths), b"", MEND_RADIUS
         inner = np.flatnonzero(owner[1:] == owner[:-1])
-        pairs, which = np.unique((flat[inner] << 32) | flat[inner + 1], return_inverse=True)
-        good = self.compatible(pairs >> 32, pairs & 0xFFFFFFFF)
-        packed, ends = flat.astype("<u4").tobytes(), (4 * np.cumsum(lengths)).tolist()
-        out = [packed[start:end] for start, end in zip([0, *ends], ends)]
-        failing = np.unique(owner[inner[~good[which]]]).tolist()
-        for i, ids in zip(failing, self.merge([raw[i] for i in failing])):
-            out[i] = ids.tobytes()
-        return out
-
-    def _learn(self, parts: set[str]) -> None:
-        chunk_of = {}
-        for part in parts:
+        while len(bad := inner[~self._borders_hold(tokens, inner)]):
+            text = text or b"".join(words)
+            # Of sorted borders the stretches are sorted too; those that touch are one.
+            low = np.maximum(bad - radius, np.searchsorted(owner, owner[bad]))
+            high = np.minimum(bad + 2 + radius, np.searchsorted(owner, owner[bad], side="right"))
+            apart = low[1:] >= high[:-1]
+            low, high = low[np.append(True, apart)], high[np.append(apart, True)]
+            place = np.append(0, np.cumsum(self._sizes[tokens]))
+            fresh = self._merged([text[a:b] for a, b in zip(place[low].tolist(), place[high].tolist())])
+            gone = np.zeros(len(tokens) + 1, np.int64)
+            gone[low] += 1
+            gone[high] -= 1
+            stay = np.cumsum(gone)[:-1] == 0
+            at = np.repeat(low - (np.cumsum(high - low) - (high - low)), fresh.lengths)
+            of = np.repeat(owner[low], fresh.lengths)
+            tokens, owner = np.insert(tokens[stay], at, fresh.ids), np.insert(owner[stay], at, of)
+            # Only borders in and around the new stretches may have changed.
+            first = low + np.cumsum(fresh.lengths - (high - low)) - (fresh.lengths - (high - low))
+            near = np.zeros(len(tokens) + 1, np.int64)
+            np.add.at(near, np.maximum(first - 1, 0), 1)
+            np.add.at(near, first + fresh.lengths, -1)
+            inner = np.flatnonzero((np.cumsum(near)[:-2] > 0) & (owner[1:] == owner[:-1]))
+            radius *= 2
+        return _Runs(tokens.astype("<u4"), np.bincount(owner, minlength=len(words)))
+
+    def _borders_hold(self, tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
+        pairs, which = np.unique((tokens[at] << 32) | tokens[at + 1], return_inverse=True)
+        return self.compatible(pairs >> 32, pairs & 0xFFFFFFFF)[which]
+
+    def _encoded(self, words: list[str]) -> _Runs:
+        """The ids of different words. A word behind a space is what a part without one stands for."""
+        memory = self._memory
+        known = np.fromiter((memory.get(w[1:], -1) if w[0] == " " and w[1:2] > "\1" else -1 for w in words), np.int64, len(words))
+        new = np.flatnonzero(known < 0)
+        known[new] = len(memory.runs.lengths) + np.arange(len(new))
+        return memory.runs.and_more(self.encode_words([words[i].encode() for i in new.tolist()])).of(known)
+
+    def _learn(self, parts: Sequence[str]) -> _Runs:
+        """The ids of all parts."""
+        # Parts that start visibly and hold no space are split into words all at once: a word
+        # that starts with a space starts a part there, and only there.
+        usual, others = [], []
+        for i, part in enumerate(parts):
+            (usual if part[:1] > " " and " " not in part and not part[0].isspace() else others).append(i)
+        words = self._words.findall(" " + " ".join([parts[i] for i in usual])) if usual else []
+        starts = [i for i, word in enumerate(words) if word[0] == " "]
+        sizes = np.diff([*starts, len(words)]).tolist()
+        added = {}
+        for i in others:
+            part, split = parts[i], []
             if part[:1] == "\1" and part[1:] in self.added:
-                self._by_part[part] = np.array([self.added[part[1:]]], "<u4").tobytes()
+                added[len(sizes)] = self.added[part[1:]]
             else:
-                chunk_of[part] = part[1:] if part[:1] == "\0" else f" {part}"
-        find = self._words.findall
-        split = [[chunk] if chunk[1:].isalpha() and chunk[:1] == " " else find(chunk) for chunk in chunk_of.values()]
-        by_word, wanted = self._by_word, set(chain.from_iterable(split))
-        new = list(wanted.difference(by_word))
-        if len(by_word) + len(new) > REMEMBERED:
-            by_word.clear()
-            new = list(wanted)
-        by_word.update(zip(new, self.encode_words(new)))
-        for part, words in zip(chunk_of, split):
-            self._by_part[part] = by_word[words[0]] if len(words) == 1 else b"".join([by_word[w] for w in words])
+                split = self._words.findall(part[1:] if part[:1] == "\0" else f" {part}")
+            words += split
+            sizes.append(len(split))
+        numbers: dict[str, int] = {}
+        which = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words))
+        flat = self._encoded([*numbers]).of(which)
+        ends = np.append(0, np.cumsum(flat.lengths))[np.append(0, np.cumsum(np.array(sizes, np.int64)))]
+        lengths, ids = np.diff(ends), flat.ids
+        if added:
+            # Added tokens are an id of their own where their part stands.
+            at = np.array([*added], np.int64)
+            ids = np.insert(ids, ends[at], np.array([*added.values()], "<u4"))
+            lengths[at] = 1
+        order = np.zeros(len(parts), np.int64)
+        order[usual + others] = np.arange(len(parts))
+        return _Runs(ids, lengths).of(order)
 
     def _parts(self, text: str) -> list[str]:
         """The text in parts whose words do not depend on each other.
@@ -285,21 +486,32 @@ class BytePairs:
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """Ids of each text, packed as little-endian unsigned 32-bit integers; null as empty."""
-        parts: list[list[str]] = []
-        for text in texts:
-            text = text or ""
-            if any(content in text for content in self.added):
-                parts.append(self._with_added(text))
-            else:
-                parts.append(self._parts(text))
-        new = set(chain.from_iterable(parts)).difference(self._by_part)
-        if new:
-            if len(self._by_part) + len(new) > REMEMBERED:
-                self._by_part.clear()
-                new = set(chain.from_iterable(parts))
-            self._learn(new)
-        find = self._by_part.__getitem__
-        return [b"".join(map(find, p)) for p in parts]
+        out: list[list[bytes]] = [[] for _ in texts]
+        group: list[tuple[int, str]] = []
+        held = 0
+        for i, text in enumerate(texts):
+            for piece in _pieces(text or ""):
+                if held + len(piece) > GROUP_CHARS and group:
+                    self._encode_pieces(group, out)
+                    group, held = [], 0
+                group.append((i, piece))
+                held += len(piece)
+        self._encode_pieces(group, out)
+        return [o[0] if len(o) == 1 else b"".join(o) for o in out]
+
+    def _encode_pieces(self, group: list[tuple[int, str]], out: list[list[bytes]]) -> None:
+        memory = self._memory
+        parts = [self._with_added(p) if any(content in p for content in self.added) else self._parts(p) for _, p in group]
+        counts = [len(p) for p in parts]
+        numbers = np.fromiter(map(memory.__getitem__, chain.from_iterable(parts)), np.int64, sum(counts))
+        runs = memory.runs.and_more(self._learn([*memory.new])) if memory.new else memory.runs
+        found = runs.of(numbers)
+        ends = 4 * np.append(0, np.cumsum(found.lengths))[np.append(0, np.cumsum(counts))]
+        packed = found.ids.tobytes()
+        for (i, _), start, end in zip(group, ends.tolist(), ends[1:].tolist()):
+            out[i].append(packed[start:end])
+        if memory.new:
+            memory.settle(runs, np.bincount(numbers, minlength=len(runs.lengths)))
 
     def _with_added(self, text: str) -> list[str]:
         out, at = [], 0
@@ -309,6 +521,9 @@ class BytePairs:
             at = found.end()
         return out + self._parts(text[at:])
 
+    def forget(self) -> None:
+        self._memory = _Memory()
+
     # -- decoding ----------------------------------------------------------
 
     def decode(self, ids: bytes | None) -> str:
@@ -323,13 +538,15 @@ def vocabulary(path: str) -> BytePairs:
     return BytePairs.load(path)
 
 
-def _per_batch(convert: Callable[[list], pa.Array], column: str, out: str):
+def _per_batch(convert: Callable[[list], pa.Array], column: str, out: str, done: Callable[[], None] | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(column)
             columns = [convert(c.to_pylist()) if i == at else c for i, c in enumerate(batch.columns)]
             names = [out if i == at else n for i, n in enumerate(batch.schema.names)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        if done:
+            done()
 
     return run
 
@@ -350,15 +567,22 @@ def encode(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
     def convert(texts: list) -> pa.Array:
         return pa.array(vocabulary(tokenizer).encode(texts), pa.binary())
 
+    def done() -> None:
+        # The worker goes on to other tasks, maybe of other operators.
+        vocabulary(tokenizer).forget()
+
     rows = df.select(F.col(key), F.col(text))
-    return rows.mapInArrow(_per_batch(convert, text, ids), _replaced(rows, text, ids, T.BinaryType()))
+    return rows.mapInArrow(_per_batch(convert, text, ids, done), _replaced(rows, text, ids, T.BinaryType()))
 
 
 def decode(df: DataFrame, tokenizer: str, ids: str = "ids", text: str = "text") -> DataFrame:
     """The rows with ``ids`` (packed as by :func:`encode`) turned into ``text``.
 
-    Null ids decode to the empty text; bytes that are no UTF-8 to U+FFFD.
+    Null ids decode to the empty text; bytes that are no UTF-8 to U+FFFD. The
+    other columns stay; one called ``text`` already is refused.
     """
+    if text.lower() in (c.lower() for c in df.columns if c != ids):
+        raise ValueError(f"there is a column '{text}' already")
 
     def convert(packed: list) -> pa.Array:
         find = vocabulary(tokenizer).decode

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -47,8 +48,32 @@ def test_ids_and_texts_equal_the_library(pairs, texts):
 
 
 def test_forgetting_words_changes_nothing(pairs, texts, monkeypatch):
-    monkeypatch.setattr(bpe, "REMEMBERED", 50)
-    assert bpe.BytePairs.load(BYTE_BPE).encode(texts[:300]) == pairs.encode(texts[:300])
+    whole = pairs.encode(texts[:300])
+    for name, value in (("REMEMBERED_BYTES", 3000), ("GROUP_CHARS", 500), ("GROUP_BYTES", 40), ("LONG_STRETCH", 5), ("MEND_RADIUS", 1)):
+        monkeypatch.setattr(bpe, name, value)
+        forgetful = bpe.BytePairs.load(BYTE_BPE)
+        assert [forgetful.encode(texts[i : i + 30]) for i in range(0, 300, 30)] == [whole[i : i + 30] for i in range(0, 300, 30)], name
+        assert forgetful._memory.bytes <= bpe.REMEMBERED_BYTES
+
+
+def test_long_words_without_spaces(pairs):
+    draw = random.Random(8)
+    cjk = [chr(c) for c in range(0x4E00, 0x4E00 + 3000)]
+    texts = ["".join(draw.choices(cjk, k=20_000)), "a" * 30_000, "ab" * 9000, "".join(draw.choices("abcdefghij0123+/", k=20_000)), "the" * 7000, "😀é" * 4000]
+    texts += ["".join(draw.choices("tehaionsr", k=5000)), "x " * 30_000 + "".join(draw.choices(cjk, k=300)) * 9]
+    theirs = Tokenizer.from_file(BYTE_BPE)
+    start = time.process_time()
+    ours = pairs.encode(texts)
+    spent = time.process_time() - start
+    for text, ids in zip(texts, ours):
+        assert np.frombuffer(ids, "<u4").tolist() == theirs.encode(text, add_special_tokens=False).ids, text[:20]
+    assert spent < 10
+
+
+def test_the_heap_merges_as_the_rounds_do(pairs, texts):
+    words = [t.encode() for t in texts[:400] if t]
+    for word, merged in zip(words, pairs.merge([w[:500] for w in words])):
+        assert pairs._merge_long(word[:500]).tolist() == merged.tolist()
 
 
 def test_verification_finds_exactly_the_borders_that_merge(pairs):
