@@ -103,6 +103,14 @@ def fleet_overview_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.run_all(lambda tables: op.fleet_overview(tables.activity, **WINDOW))
 
 
+def fleet_overview_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.fleet_overview_levels(_runs(spark, sf_dir), **WINDOW)
+
+
+def fleet_overview_one_application(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.fleet_overview(_runs(spark, sf_dir), application="app0", group_by="application_type", **WINDOW)
+
+
 def recent_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.recent_failures(_runs(spark, sf_dir, text=True), **WINDOW)
 
@@ -124,6 +132,11 @@ def activities_page_2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.activities_list(_runs(spark, sf_dir), limit=200, cursor=_PAGE_CURSOR, **WINDOW)
 
 
+def activities_broken_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cursor that is none gives the first page."""
+    return op.activities_list(_runs(spark, sf_dir), cursor="not a cursor", **WINDOW)
+
+
 def activities_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.activities_list(
         _runs(spark, sf_dir),
@@ -144,6 +157,18 @@ def activity_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat_detail(op.activity_get(_runs(spark, sf_dir, text=True), _edges(spark, sf_dir), _logs(spark, sf_dir)))
 
 
+def activity_detail_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with whole texts."""
+    tables = (_runs(spark, sf_dir, text=True), _edges(spark, sf_dir), _logs(spark, sf_dir))
+    return _flat_detail(op.activity_get(*tables, full=True))
+
+
+def missing_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every id that an edge names as an input, asked for; those of no run come back."""
+    ids = _edges(spark, sf_dir).select(F.col("input_activity_id").alias("activity_id"))
+    return op.missing_ids(_runs(spark, sf_dir), ids)
+
+
 def activity_get_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every run asked for by id with its start as the hint."""
     ids = _runs(spark, sf_dir).select(F.col("id").alias("activity_id"), F.col("started_on").alias("created_on"))
@@ -169,9 +194,9 @@ def log_summary_stats_hinted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def log_summary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The failed runs, by id alone."""
-    failed = _runs(spark, sf_dir).where(F.col("status") == "failed")
-    return op.log_summary_stats(_logs(spark, sf_dir), failed.select(F.col("id").alias("activity_id")), now=NOW)
+    """Every run, asked for by id alone."""
+    ids = _runs(spark, sf_dir).select(F.col("id").alias("activity_id"))
+    return op.log_summary_stats(_logs(spark, sf_dir), ids, now=NOW)
 
 
 def log_summary_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,6 +249,13 @@ def activity_logs_exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _as_text(op.activity_logs(logs, min_level="Trace", exceptions_only=True, now=NOW), "properties")
 
 
+def activity_logs_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every run whose category and message hold a text."""
+    logs = _logs(spark, sf_dir, text=True)
+    rows = op.activity_logs(logs, min_level="Trace", category_contains="svc.r", message_contains="THE", now=NOW)
+    return _as_text(rows, "properties")
+
+
 def activity_logs_desc_page_2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second page of two lines of every run, newest first."""
     logs = _logs(spark, sf_dir, text=True)
@@ -271,11 +303,10 @@ def _lineage(direction: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
-def lineage_failed_both(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What failed runs read from and what read from them, two levels each way."""
+def lineage_both_d3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every run read from and what read from it, three levels each way."""
     runs = _runs(spark, sf_dir)
-    seeds = runs.where(F.col("status") == "failed").select(F.col("id").alias("activity_id"))
-    return op.activity_lineage(runs, _edges(spark, sf_dir), seeds, depth=2)
+    return op.activity_lineage(runs, _edges(spark, sf_dir), runs.select(F.col("id").alias("activity_id")), depth=3)
 
 
 def history_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -283,6 +314,12 @@ def history_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.history_runs(runs, by=WORKLOAD, **YEAR)
 
 
+def history_one_workload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A single workload, named by key and type together."""
+    runs = _runs(spark, sf_dir, text=True)
+    return op.history_runs(runs, activity_key="job7", activity_type="1-URGENT", **WINDOW)
+
+
 def history_runs_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The window is longer than what is kept; the note says so."""
     return op.history_runs(_runs(spark, sf_dir, text=True), by=WORKLOAD, **WINDOW)
@@ -357,14 +394,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "fleet_overview": fleet_overview,
         "fleet_overview_by_type": fleet_overview_by_type,
         "fleet_overview_sources": fleet_overview_sources,
+        "fleet_overview_levels": fleet_overview_levels,
+        "fleet_overview_one_application": fleet_overview_one_application,
         "recent_failures": recent_failures,
         "activities_page_1": activities_page_1,
         "activities_default_window": activities_default_window,
         "activities_page_2": activities_page_2,
+        "activities_broken_cursor": activities_broken_cursor,
         "activities_filtered": activities_filtered,
         "activities_wildcards": activities_wildcards,
         "activity_detail": activity_detail,
+        "activity_detail_full": activity_detail_full,
         "activity_get_ids": activity_get_ids,
+        "missing_ids": missing_ids,
         "log_summary_stats": log_summary_stats,
         "log_summary_stats_hinted": log_summary_stats_hinted,
         "log_summary_ids": log_summary_ids,
@@ -376,13 +418,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "activity_logs_desc_page_2": activity_logs_desc_page_2,
         "activity_logs_many_pages": activity_logs_many_pages,
         "activity_logs_exceptions": activity_logs_exceptions,
+        "activity_logs_filtered": activity_logs_filtered,
         "logs_search": logs_search,
         "logs_search_filtered": logs_search_filtered,
         "lineage_inputs_d3": _lineage("inputs"),
         "lineage_outputs_d3": _lineage("outputs"),
-        "lineage_failed_both": lineage_failed_both,
+        "lineage_both_d3": lineage_both_d3,
         "history_runs": history_runs,
         "history_runs_capped": history_runs_capped,
+        "history_one_workload": history_one_workload,
         "activity_history": activity_history,
         "history_stats": history_stats,
         "history_stats_by_type": history_stats_by_type,

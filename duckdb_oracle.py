@@ -299,10 +299,10 @@ def _ordered(order: str) -> str:
     )
 
 
-def _lineage(near: str, far: str, direction: str, seeds: str = "true", depth: int = 3) -> str:
+def _lineage(near: str, far: str, direction: str) -> str:
     return f"""{_with(ACTIVITY, EDGES)},
 link AS (SELECT {near} AS a, {far} AS b, input_role AS role FROM activity_input),
-s0 AS (SELECT id AS seed, id AS node FROM activity WHERE {seeds}),
+s0 AS (SELECT id AS seed, id AS node FROM activity),
 n1 AS (SELECT DISTINCT seed, b AS node FROM s0 JOIN link ON a = node WHERE b <> seed),
 seen1 AS (SELECT * FROM s0 UNION ALL SELECT * FROM n1),
 n2 AS (SELECT DISTINCT n1.seed, b AS node FROM n1 JOIN link ON a = n1.node
@@ -320,7 +320,7 @@ found AS (
 SELECT seed AS seed_id, '{direction}' AS direction, depth, role, b AS activity_id, activity_type, target, status,
   {_iso("started_on")} AS started_on_utc, {_iso("created_on")} AS created_on_utc, records_impacted,
   false AS depth_limited
-FROM found JOIN activity ON id = b WHERE depth <= {depth}"""
+FROM found JOIN activity ON id = b"""
 
 
 # Not quantile_cont(): it interpolates with other intermediate values, which
@@ -445,6 +445,14 @@ SELECT '{{"application":' || to_json(app) || ',"rank":' || rank || ',"activity_k
     "fleet_overview_sources": f"""{_with(ACTIVITY)},
 split AS (SELECT *, CASE WHEN environment = 'prod' THEN 'Production' ELSE 'Other' END AS source FROM activity)
 {_overview("application, source", "CAST(NULL AS VARCHAR)", "split", ", source")}""",
+    "fleet_overview_levels": f"""{_with(ACTIVITY)},
+per_type AS ({_overview("application, activity_type", "activity_type")}),
+per_application AS ({_overview("application", "CAST(NULL AS VARCHAR)")}),
+fleet AS ({_overview("()", "CAST(NULL AS VARCHAR)").replace("SELECT application,", "SELECT CAST(NULL AS VARCHAR) AS application,")})
+SELECT *, 'type' AS level FROM per_type UNION ALL SELECT *, 'application' FROM per_application
+UNION ALL SELECT *, 'fleet' FROM fleet""",
+    "fleet_overview_one_application": _with(ACTIVITY)
+    + _overview("application, activity_type", "activity_type", "(SELECT * FROM activity WHERE application = 'app0')"),
     "recent_failures": f"""{_with(ACTIVITY)} SELECT {_summary(True)}, count(*) OVER () > 25 AS has_more FROM activity
 WHERE {_WINDOW} AND status IN ('failed', 'canceled') ORDER BY created_on DESC, activity.id DESC LIMIT 25""",
     "activities_page_1": _with(ACTIVITY) + _page(_summary(False), "activity", "created_on", _WINDOW, 50),
@@ -458,6 +466,7 @@ WHERE {_WINDOW} AND status IN ('failed', 'canceled') ORDER BY created_on DESC, a
         f"{_WINDOW} AND (created_on, id) < (TIMESTAMP '1999-12-31 23:59:59.999999', 'f')",
         200,
     ),
+    "activities_broken_cursor": _with(ACTIVITY) + _page(_summary(False), "activity", "created_on", _WINDOW, 50),
     "activities_filtered": _with(ACTIVITY)
     + _page(
         _summary(False),
@@ -469,6 +478,11 @@ WHERE {_WINDOW} AND status IN ('failed', 'canceled') ORDER BY created_on DESC, a
     "activities_wildcards": _with(ACTIVITY)
     + _page(_summary(False), "activity", "created_on", rf"{_WINDOW} AND target LIKE '%7!%%' ESCAPE '!'", 200),
     "activity_detail": _DETAIL,
+    "activity_detail_full": _DETAIL.replace(
+        "left(error, 500) AS error, length(error) > 500", "error, CASE WHEN error IS NOT NULL THEN false END"
+    ),
+    "missing_ids": f"""{_with(ACTIVITY, EDGES)}
+SELECT DISTINCT input_activity_id AS activity_id FROM activity_input WHERE input_activity_id NOT IN (SELECT id FROM activity)""",
     "activity_get_ids": _detail("coalesce(started_on, {t})", "started_on IS NULL AND {t} IS NULL OR "),
     "log_summary_stats": f"""{_with(LOGS, _NEAR)}
 SELECT activity_id, {_TOTALS}, {_note("any_value(center)")} FROM near GROUP BY activity_id""",
@@ -484,7 +498,7 @@ SELECT id AS activity_id, coalesce(total, 0) AS total, {", ".join(_LEVELS)}, fir
     "log_summary_ids": f"""{_with(ACTIVITY, LOGS, _NEAR)},
 found AS (SELECT activity_id, {_TOTALS} FROM near GROUP BY activity_id)
 SELECT id AS activity_id, coalesce(total, 0) AS total, {", ".join(f"found.{n}" for n in _LEVELS)},
-  first_event_utc, last_event_utc, {_note(_id_time("id"))} FROM activity LEFT JOIN found ON activity_id = id WHERE status = 'failed'""",
+  first_event_utc, last_event_utc, {_note(_id_time("id"))} FROM activity LEFT JOIN found ON activity_id = id""",
     "log_summary_categories": f"""{_with(LOGS, _NEAR, _TOP_CATEGORIES)}
 SELECT activity_id, rank, category, count FROM top_categories""",
     "log_summary_exceptions": f"""{_with(LOGS, _NEAR, _TOP_EXCEPTIONS)}
@@ -521,15 +535,18 @@ SELECT position, cursor, {_line(500)}, CASE WHEN position = 2 AND n > r THEN her
 FROM numbered WHERE r BETWEEN 3 AND 6""",
     "activity_logs_exceptions": f"""{_with(LOGS, _BY_ID)},
 {_numbered("event_time_utc >= lo AND event_time_utc < hi AND exception_type IS NOT NULL", "event_time_utc, id", "placed")}
+{_run_page(_line(500), 200)}""",
+    "activity_logs_filtered": f"""{_with(LOGS, _BY_ID)},
+{_numbered("event_time_utc >= lo AND event_time_utc < hi AND contains(lower(category), 'svc.r') AND contains(lower(message), 'the')", "event_time_utc, id", "placed")}
 {_run_page(_line(500), 200)}""",
     "logs_search": _with(LOGS)
     + _page(_line(500), "log_entries", "event_time_utc", f"{_LOG_WINDOW} AND log_level >= 3", 100),
     "logs_search_filtered": _with(LOGS) + _page(_line(None), "log_entries", "event_time_utc", _SEARCH, 500),
     "lineage_inputs_d3": _lineage("activity_id", "input_activity_id", "inputs"),
     "lineage_outputs_d3": _lineage("input_activity_id", "activity_id", "outputs"),
-    "lineage_failed_both": f"""
-SELECT * FROM ({_lineage("activity_id", "input_activity_id", "inputs", "status = 'failed'", 2)})
-UNION ALL SELECT * FROM ({_lineage("input_activity_id", "activity_id", "outputs", "status = 'failed'", 2)})""",
+    "lineage_both_d3": f"""
+SELECT * FROM ({_lineage("activity_id", "input_activity_id", "inputs")})
+UNION ALL SELECT * FROM ({_lineage("input_activity_id", "activity_id", "outputs")})""",
     "history_runs": f"""{_with(ACTIVITY)},
 latest AS (
   SELECT *, row_number() OVER (PARTITION BY application, activity_key ORDER BY created_on DESC, id DESC) AS position
@@ -541,6 +558,12 @@ latest AS (
   SELECT *, row_number() OVER (PARTITION BY application, activity_key ORDER BY created_on DESC, id DESC) AS position
   FROM activity WHERE {_CAPPED} AND activity_key IS NOT NULL
 )
+SELECT position, {_summary(True)}, '{_HISTORY_NOTE}' AS note FROM latest WHERE position <= 30""",
+    "history_one_workload": f"""{_with(ACTIVITY)},
+latest AS (
+  SELECT *, row_number() OVER (ORDER BY created_on DESC, id DESC) AS position
+  FROM activity WHERE {_CAPPED} AND activity_key = 'job7' AND activity_type = '1-URGENT'
+)
 SELECT position, {_summary(True)}, '{_HISTORY_NOTE}' AS note FROM latest WHERE position <= 30""",
     "activity_history": _stats(
         "application, activity_key", _CAPPED, 30, "activity_key", f"'{_HISTORY_NOTE}'", "string_agg(id, ',' ORDER BY created_on DESC, id DESC) AS run_ids,"

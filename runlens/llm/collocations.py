@@ -40,8 +40,10 @@ SKETCH_COUNTERS = 1 << 18
 HOT_SHARE = 4096
 #: Bits that mark the frequent words; workers hold a bit for each (2 MB).
 FIELD_BITS = 1 << 24
-#: Words for each partition that suffixes are dealt to.
-PARTITION_WORDS = 1_000_000
+#: Suffixes are dealt to cells, and a task holds one cell at a time: so many for each partition
+#: of a shuffle, and more where a cell would get more suffixes than this.
+CELLS = 8
+CELL_WORDS = 2_000_000
 #: Bytes of text a task looks at together.
 BLOCK = 4 << 20
 #: Bytes of phrases a task hands on together.
@@ -135,12 +137,23 @@ def _suffix_starts(flat: np.ndarray, count: int) -> np.ndarray:
     return at[(flat[at] != _END) & (flat[at + 1] != _END)]
 
 
-def _by_lang(batch: pa.RecordBatch) -> dict[str, list[bytes]]:
-    groups: dict[str, list[bytes]] = {}
-    for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-        if text:
-            groups.setdefault(UNKNOWN if lang is None else lang, []).append(text)
-    return groups
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
+    """The texts of each language, about a block of them together; no more than four blocks wait."""
+    waiting: dict[str, list[bytes]] = {}
+    sizes: dict[str, int] = {}
+    for batch in batches:
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if text:
+                lang = UNKNOWN if lang is None else lang
+                waiting.setdefault(lang, []).append(text)
+                sizes[lang] = sizes.get(lang, 0) + len(text)
+                if sizes[lang] >= BLOCK:
+                    yield lang, waiting.pop(lang)
+                    del sizes[lang]
+        if sum(sizes.values()) >= 4 * BLOCK:
+            yield from waiting.items()
+            waiting, sizes = {}, {}
+    yield from waiting.items()
 
 
 _PROFILE = "lang string, word string, count long, part int, counts binary"
@@ -152,27 +165,26 @@ def _profile(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros((MOST_WORDS + 1, width), np.int64)
         names = ["lang", "word", "count", "part", "counts"]
-        for batch in batches:
-            for lang, texts in _by_lang(batch).items():
-                seen: dict[bytes, int] = {}
-                for flat, count, numbers in _words(texts):
-                    starts = _suffix_starts(flat, count)
-                    padded = np.append(flat, np.zeros(MOST_WORDS, np.int64))
-                    for depth, lead in _leads(padded, starts, _hashes(numbers, lang)):
-                        if depth < MOST_WORDS:
-                            counters[depth] += np.bincount(_slots(lead, width), minlength=width)
-                    # Words handed over to the next block are counted there.
-                    counts = np.bincount(flat[:count], minlength=len(numbers)).tolist()
-                    for word, number in zip(numbers, counts):
-                        if number:
-                            seen[word] = seen.get(word, 0) + number
-                seen.pop(b"\n", None)
-                words = pa.array([*seen], pa.binary()).cast(pa.string(), safe=False)
-                rows = len(seen)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * rows, pa.string()), words, pa.array([*seen.values()], pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())],
-                    names=names,
-                )
+        for lang, texts in _gathered(batches):
+            seen: dict[bytes, int] = {}
+            for flat, count, numbers in _words(texts):
+                starts = _suffix_starts(flat, count)
+                padded = np.append(flat, np.zeros(MOST_WORDS, np.int64))
+                for depth, lead in _leads(padded, starts, _hashes(numbers, lang)):
+                    if depth < MOST_WORDS:
+                        counters[depth] += np.bincount(_slots(lead, width), minlength=width)
+                # Words handed over to the next block are counted there.
+                counts = np.bincount(flat[:count], minlength=len(numbers)).tolist()
+                for word, number in zip(numbers, counts):
+                    if number:
+                        seen[word] = seen.get(word, 0) + number
+            seen.pop(b"\n", None)
+            words = pa.array([*seen], pa.binary()).cast(pa.string(), safe=False)
+            rows = len(seen)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * rows, pa.string()), words, pa.array([*seen.values()], pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())],
+                names=names,
+            )
         for depth in range(2, MOST_WORDS):
             if counters[depth].any():
                 packed = pa.array([zlib.compress(counters[depth].tobytes(), 1)], pa.binary())
@@ -219,7 +231,7 @@ def _frequent(words: DataFrame, bits: int) -> np.ndarray:
     return field.view(np.uint8)
 
 
-_SUFFIXES = "lang string, phrase string, count long, depth int, route long"
+_SUFFIXES = "cell int, lang string, depth int, phrases binary, size int, counts binary"
 
 
 def _distinct(flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -241,15 +253,16 @@ def _distinct(flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts[first], counts
 
 
-def _suffixes(docs: DataFrame, shared: Broadcast) -> DataFrame:
-    """Suffixes of two to five words, alike ones of a block as one row, with how many words lead them and where to.
+def _suffixes(docs: DataFrame, shared: Broadcast, cells: int) -> DataFrame:
+    """Suffixes of two to five words, alike ones of a block once with their count, packed by the cell they go to.
 
-    No frequent phrase goes on over a word that is rare by itself, so suffixes end there.
+    ``depth`` of their words lead them. No frequent phrase goes on over a word that is rare by
+    itself, so suffixes end there.
     """
 
     def rows(lang: str, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
         frequent, hot = shared.value
-        width, bits = hot.shape[1], np.uint64(8 * len(frequent))
+        width, bits = hot.shape[1], 8 * len(frequent)
         for flat, count, numbers in _words(texts):
             hashes = _hashes(numbers, lang)
             # The remainder of the hash as a signed number, which is what Spark takes.
@@ -267,34 +280,45 @@ def _suffixes(docs: DataFrame, shared: Broadcast) -> DataFrame:
                 route[at] = lead[at]
                 if words < MOST_WORDS:
                     depth[at & hot[words][_slots(lead, width)]] = words + 1
-            texts_of = [*numbers]
-            sizes = np.fromiter(map(len, texts_of), np.int64, len(texts_of)) + 1
-            lasting = np.minimum.accumulate(np.stack([padded[starts + d] != _END for d in range(MOST_WORDS)]), axis=0)
-            lengths = lasting.sum(axis=0)
-            heavy = np.cumsum(sum(np.where(lasting[d], sizes[padded[starts + d]], 0) for d in range(MOST_WORDS))) // OUT_BYTES
-            cuts = [0, *(np.flatnonzero(np.diff(heavy)) + 1).tolist(), len(starts)]
-            for a, b in zip(cuts, cuts[1:]):
-                words = [texts_of[i] for i in padded[(starts[a:b, None] + np.arange(MOST_WORDS))].ravel().tolist()]
-                phrases = [b" ".join(words[MOST_WORDS * i : MOST_WORDS * i + n]) for i, n in enumerate(lengths[a:b].tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([lang] * (b - a), pa.string()),
-                        pa.array(phrases, pa.binary()).cast(pa.string(), safe=False),
-                        pa.array(counts[a:b], pa.int64()),
-                        pa.array(depth[a:b], pa.int32()),
-                        pa.array(route[a:b].view(np.int64), pa.int64()),
-                    ],
-                    names=["lang", "phrase", "count", "depth", "route"],
-                )
+            cell = (route % np.uint64(cells)).astype(np.int64)
+            order = np.lexsort((depth, cell))
+            starts, counts, depth, cell = starts[order], counts[order], depth[order], cell[order]
+            words = padded[starts[:, None] + np.arange(MOST_WORDS)]
+            words *= np.minimum.accumulate(words != _END, axis=1)
+            # Behind the words of a suffix stands one end.
+            shown = np.append(words, np.zeros((len(words), 1), np.int64), axis=1)
+            shown = np.append(np.ones((len(words), 1), bool), shown[:, :-1] != _END, axis=1)
+            lengths, text_of = shown.sum(axis=1), [*numbers]
+            lines = np.append(words, np.zeros((len(words), 1), np.int64), axis=1)[shown]
+            ends = np.append(0, np.cumsum(lengths))
+            cuts = np.flatnonzero(np.append(True, (np.diff(cell) != 0) | (np.diff(depth) != 0))).tolist()
+            out: list[tuple] = []
+            held = 0
+            for a, b in zip(cuts, [*cuts[1:], len(cell)]):
+                phrases = b" ".join([text_of[i] for i in lines[ends[a] : ends[b]].tolist()])
+                several = None if (counts[a:b] == 1).all() else zlib.compress(counts[a:b].astype("<i8").tobytes(), 1)
+                packed = pa.compress(phrases, codec="zstd", asbytes=True)
+                out.append((int(cell[a]), lang, int(depth[a]), packed, len(phrases), several))
+                held += len(packed)
+                if held > OUT_BYTES:
+                    yield _packed(out)
+                    out, held = [], 0
+            if out:
+                yield _packed(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lang, texts in _by_lang(batch).items():
-                yield from rows(lang, texts)
+        for lang, texts in _gathered(batches):
+            yield from rows(lang, texts)
 
     return docs.mapInArrow(run, _SUFFIXES)
 
 
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.int32(), pa.binary())
+    names = ["cell", "lang", "depth", "phrases", "size", "counts"]
+    return pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*rows), kinds)], names=names)
+
+
 def sort_suffixes(words: np.ndarray, weight: np.ndarray, floors: Sequence[int]) -> Iterator[tuple[int, int, int]]:
     """Multikey three-way quicksort of pointers to the rows of ``words``, ended by 0s.
 
@@ -330,49 +354,31 @@ def sort_suffixes(words: np.ndarray, weight: np.ndarray, floors: Sequence[int])
             todo.append((same, depth + 1))
 
 
-def _larger(batches: Iterator[pa.RecordBatch], rows: int = 50_000) -> Iterator[pa.RecordBatch]:
-    """The rows in batches of about so many, as each batch costs some time of its own."""
-    waiting, count = [], 0
-    for batch in batches:
-        waiting.append(batch)
-        count += batch.num_rows
-        if count >= rows:
-            yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
-            waiting, count = [], 0
-    if count:
-        yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
-
+class _Cell:
+    """The suffixes of one cell: rows of word numbers and weights, by language and leading words."""
 
-def _mined(suffixes: DataFrame, least: int) -> DataFrame:
-    """Counts of phrases, ``lang``, ``phrase``, ``count``: whole ones of ``least`` or more, and parts of counts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers: dict[str, _Numbers] = {}
-        held: dict[tuple[str, int], list[tuple[np.ndarray, np.ndarray]]] = {}
-        for batch in _larger(batches):
-            langs = batch.column(0).dictionary_encode()
-            depths = batch.column(3).to_numpy(zero_copy_only=False)
-            weights = batch.column(2).to_numpy(zero_copy_only=False)
-            phrases = batch.column(1).cast(pa.binary())
-            of_lang = langs.indices.to_numpy(zero_copy_only=False)
-            for i, lang in enumerate(langs.dictionary.to_pylist()):
-                known = numbers.setdefault(lang, _Numbers())
-                at = np.flatnonzero(of_lang == i)
-                split = [p.split(b" ") for p in phrases.take(pa.array(at)).to_pylist()]
-                sizes = np.fromiter(map(len, split), np.int64, len(split))
-                flat = np.fromiter((known[w] for p in split for w in p), np.int32, int(sizes.sum()))
-                words = np.zeros((len(split), MOST_WORDS), np.int32)
-                words[np.arange(MOST_WORDS) < sizes[:, None]] = flat
-                for depth in np.unique(depths[at]).tolist():
-                    mine = depths[at] == depth
-                    held.setdefault((lang, depth), []).append((words[mine], weights[at][mine]))
-        for (lang, depth), parts in held.items():
-            text_of = [*numbers[lang]]
+    def __init__(self):
+        self.numbers: dict[str, _Numbers] = {}
+        self.held: dict[tuple[str, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+
+    def add(self, lang: str, depth: int, phrases: bytes, counts: bytes | None) -> None:
+        known = self.numbers.setdefault(lang, _Numbers())
+        words = phrases.split(b" ")
+        flat = np.fromiter(map(known.__getitem__, words), np.int32, len(words))
+        ends = np.flatnonzero(flat == _END)
+        sizes = np.diff(np.append(-1, ends)) - 1
+        rows = np.zeros((len(ends), MOST_WORDS), np.int32)
+        rows[np.arange(MOST_WORDS) < sizes[:, None]] = flat[flat != _END]
+        weight = np.ones(len(ends), np.int64) if counts is None else np.frombuffer(zlib.decompress(counts), "<i8")
+        self.held.setdefault((lang, depth), []).append((rows, weight))
+
+    def mined(self, least: int) -> Iterator[pa.RecordBatch]:
+        for (lang, depth), parts in self.held.items():
+            text_of = [*self.numbers[lang]]
             words, weight = (np.concatenate(x) for x in zip(*parts))
-            # Rows that lead by ``depth`` words lie elsewhere too for fewer words: no part of their counts is let go.
-            floors = [1 if words_in < depth else least for words_in in range(1, MOST_WORDS + 1)]
-            if depth == 2:
-                floors[0] = least
+            parts.clear()
+            # Rows that lead by ``depth`` words lie elsewhere too for fewer words: no part of those counts is let go.
+            floors = [1 if count < depth and depth > 2 else least for count in range(1, MOST_WORDS + 1)]
             found: list[tuple[bytes, int]] = []
             size = 0
             for row, count, total in sort_suffixes(words, weight, floors):
@@ -385,6 +391,23 @@ def _mined(suffixes: DataFrame, least: int) -> DataFrame:
             if found:
                 yield _counted(lang, found)
 
+
+def _mined(suffixes: DataFrame, least: int) -> DataFrame:
+    """Counts of phrases, ``lang``, ``phrase``, ``count``: whole ones of ``least`` or more, and parts of counts.
+
+    Rows come sorted by cell, and one cell is held at a time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, cell = None, _Cell()
+        for batch in batches:
+            for number, lang, depth, phrases, size, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                if number != now:
+                    yield from cell.mined(least)
+                    now, cell = number, _Cell()
+                cell.add(lang, depth, pa.decompress(phrases, size, codec="zstd", asbytes=True), counts)
+        yield from cell.mined(least)
+
     return suffixes.mapInArrow(run, "lang string, phrase string, count long")
 
 
@@ -416,8 +439,9 @@ def phrase_counts(
     frequent = per_word.where(F.col("count") >= least)
     hot = _hot(profile, sketch_counters, max(1, total // hot_share))
     shared = session.sparkContext.broadcast((_frequent(frequent, FIELD_BITS), hot))
-    parts = max(int(session.conf.get("spark.sql.shuffle.partitions")), total // PARTITION_WORDS)
-    dealt = _suffixes(docs, shared).repartition(parts, "route").select("lang", "phrase", "count", "depth")
+    parts = int(session.conf.get("spark.sql.shuffle.partitions"))
+    cells = min(max(CELLS * parts, total // CELL_WORDS), 1 << 30)
+    dealt = _suffixes(docs, shared, cells).repartition(parts, "cell").sortWithinPartitions("cell")
     counted = _mined(dealt, least).groupBy("lang", "phrase").agg(F.sum("count").alias("count"))
     phrases = settle(counted.where(F.col("count") >= least))
     words = frequent.join(spread(totals, "lang"), "lang").select("lang", F.col("word").alias("phrase"), "count", "n")

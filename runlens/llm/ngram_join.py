@@ -46,6 +46,9 @@ FIELD_BITS = 1 << 24
 #: A token that more documents than this have in their prefix is dealt out in parts.
 PART_ROWS = 100_000
 
+#: Of the tokens two prefixes must have in common so many are looked for at their front.
+FRONT_TOKENS = 3
+
 #: Where a component has this many of a token's nodes, those outside it are first compared
 #: with this many of its members each.
 LARGE = 32
@@ -151,6 +154,11 @@ class Frequency:
         places = (classes | (_mix(tokens, seed) >> np.uint64(6)) for seed in seeds)
         return [tokens[p <= np.partition(p, last)[last]] for p in places]
 
+    def first(self, tokens: np.ndarray, seed: int) -> np.ndarray:
+        """The prefix of a set of at least one token, in the order of that seed."""
+        places = (self.classes(tokens) << np.uint64(58)) | (_mix(tokens, seed) >> np.uint64(6))
+        return tokens[np.argsort(places, kind="stable")[: prefix_length(len(tokens))]]
+
 
 _PROFILE = "doc_id long, n int, node long, part int, counts binary"
 
@@ -209,9 +217,9 @@ def _frequency(profile: DataFrame, width: int) -> Frequency:
 
 
 def _postings(docs: DataFrame, frequency: Broadcast, part_rows: int) -> DataFrame:
-    """The index: for every prefix token of every node a row ``token``, ``part``, ``node``, ``n``.
+    """The index: for every prefix token of every node a row ``token``, ``part``, ``node``, ``n``, ``at``.
 
-    ``part`` deals out tokens that very many documents have: it counts from 1
+    ``at`` is the token's place in the prefix, from 0. ``part`` deals out tokens that very many documents have: it counts from 1
     for those, and is 0 for a token that is not dealt out. A task names a node
     once, however many copies of it it reads.
     """
@@ -219,24 +227,24 @@ def _postings(docs: DataFrame, frequency: Broadcast, part_rows: int) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = frequency.value, set()
         for batch in batches:
-            columns: list[list[np.ndarray]] = [[] for _ in range(4)]
+            columns: list[list[np.ndarray]] = [[] for _ in range(5)]
             for shingles in shingle_sets(batch.column(0).to_pylist()):
                 node = node_of(shingles)
                 if node in seen or not len(shingles):
                     continue
                 seen.add(node)
-                (first,) = counts.prefixes(shingles, ORDERS[:1])
+                first = counts.first(shingles, ORDERS[0])
                 parts = np.maximum(1, counts.of(first) // part_rows)
                 size = len(first)
-                values = (first.astype(np.int64), (node & 0x7FFFFFFF) % parts + (parts > 1), np.full(size, node), np.full(size, len(shingles)))
+                values = (first.astype(np.int64), (node & 0x7FFFFFFF) % parts + (parts > 1), np.full(size, node), np.full(size, len(shingles)), np.arange(size))
                 for column, value in zip(columns, values):
                     column.append(value)
             if columns[0]:
-                types = (pa.int64(), pa.int32(), pa.int64(), pa.int32())
+                types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
                 arrays = [pa.array(np.concatenate(c), t) for c, t in zip(columns, types)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["token", "part", "node", "n"])
+                yield pa.RecordBatch.from_arrays(arrays, names=["token", "part", "node", "n", "at"])
 
-    return docs.select("text").mapInArrow(run, "token long, part int, node long, n int")
+    return docs.select("text").mapInArrow(run, "token long, part int, node long, n int, at int")
 
 
 def _shared_postings(postings: DataFrame) -> DataFrame:
@@ -249,6 +257,27 @@ def _shared_postings(postings: DataFrame) -> DataFrame:
     return once.where(F.col("_last").isNotNull() | F.col("_next").isNotNull() | (F.col("part") > 0)).drop("_last", "_next")
 
 
+def _common_least(n_x: Column, n_y: Column) -> Column:
+    """How many tokens similar sets of these sizes share at least."""
+    return F.ceil(PERCENT * (n_x + n_y) / (100 + PERCENT))
+
+
+def _few(n_x: Column, n_y: Column) -> Column:
+    """As :func:`_need`, but few enough that only the front of the prefixes has to be looked at."""
+    return F.least(F.lit(FRONT_TOKENS), _need(n_x, n_y))
+
+
+def _in_front(at: Column, n: Column, n_x: Column, n_y: Column) -> Column:
+    """Is this place so far in front that :func:`_few` common tokens of sets of these sizes stand up to it?
+
+    Sets that share at least ``a`` tokens have their ``k`` first common ones
+    within the first ``n - a + k`` of each. Texts that have a long passage in
+    common, but not enough of it, share tokens only behind that: their own words
+    are rarer and come first. So they never meet.
+    """
+    return at < n - _common_least(n_x, n_y) + _few(n_x, n_y)
+
+
 def _need(n_x: Column, n_y: Column) -> Column:
     """How many tokens the prefixes of similar sets of these sizes have in common at least.
 
@@ -256,8 +285,7 @@ def _need(n_x: Column, n_y: Column) -> Column:
     the other lacks. The k-th common token thus stands within the prefix of
     both if ``k + n - a`` does not exceed its length.
     """
-    common = F.ceil(PERCENT * (n_x + n_y) / (100 + PERCENT))
-    return F.greatest(F.lit(1), common + 1 - F.ceil(PERCENT * F.greatest(n_x, n_y) / 100))
+    return F.greatest(F.lit(1), _common_least(n_x, n_y) + 1 - F.ceil(PERCENT * F.greatest(n_x, n_y) / 100))
 
 
 def _sizes_fit(n_x: Column, n_y: Column) -> Column:
@@ -301,7 +329,7 @@ def _mixed(shared: DataFrame, labels: DataFrame) -> DataFrame:
     mixed = groups.groupBy("token").agg(F.max(F.struct("_c", "component")).alias("main"), F.count(F.lit(1)).alias("_k"))
     mixed = mixed.where(F.col("_k") > 1).select("token", "main.component", F.col("main._c").alias("size"))
     mixed = mixed.select("token", F.col("component").alias("main"), "size")
-    return rows.join(spread_long(mixed, "token"), "token").select("token", "part", "node", "n", "component", "main", "size")
+    return rows.join(spread_long(mixed, "token"), "token").select("token", "part", "node", "n", "at", "component", "main", "size")
 
 
 def _tries(held: DataFrame) -> DataFrame:
@@ -322,21 +350,24 @@ def _tries(held: DataFrame) -> DataFrame:
 
 
 def _across(held: DataFrame) -> DataFrame:
-    """Pairs of nodes of different components whose prefixes have enough in common.
+    """Pairs of nodes of different components whose prefixes have enough in common, in front.
 
     A token's rows outside its largest component are joined with all its rows,
     so the members of that component never meet each other.
     """
-    few = held.where(F.col("component") != F.col("main")).select(*(F.col(c).alias(f"{c}_x") for c in ("token", "node", "n", "component")))
+    few = held.where(F.col("component") != F.col("main")).select(*(F.col(c).alias(f"{c}_x") for c in ("token", "node", "n", "at", "component")))
+    sizes = F.col("n"), F.col("n_x")
     met = held.join(
         few,
         (F.col("token") == F.col("token_x"))
         & (F.col("component") != F.col("component_x"))
         & ((F.col("component") == F.col("main")) | (F.col("node") > F.col("node_x")))
-        & _sizes_fit(F.col("n"), F.col("n_x")),
+        & _sizes_fit(*sizes)
+        & _in_front(F.col("at"), F.col("n"), *sizes)
+        & _in_front(F.col("at_x"), F.col("n_x"), *sizes),
     )
     counted = met.groupBy(*_pair("node", "node_x")).agg(F.count(F.lit(1)).alias("_c"), F.first("n").alias("n"), F.first("n_x").alias("n_x"))
-    return counted.where(F.col("_c") >= _need(F.col("n"), F.col("n_x"))).select("x", "y")
+    return counted.where(F.col("_c") >= _few(*sizes)).select("x", "y")
 
 
 def spread_long(df: DataFrame, key: str) -> DataFrame:

@@ -14,7 +14,7 @@ from runlens.operators.logs import (
     logs_search,
 )
 from runlens.operators.manifest import page_manifest
-from runlens.operators.rollup import catalog, catalog_keys, fleet_overview
+from runlens.operators.rollup import catalog, catalog_keys, fleet_overview, fleet_overview_levels
 from runlens.operators.runs import activities_list, recent_failures
 from runlens.operators.shapes import paged_result, to_json
 
@@ -28,6 +28,7 @@ __all__ = [
     "catalog",
     "catalog_keys",
     "fleet_overview",
+    "fleet_overview_levels",
     "history_runs",
     "history_stats",
     "id_time_audit",

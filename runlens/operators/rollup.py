@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, GroupedData, Window, functions as F
 
 from runlens.functions import half_even, iso8601_utc, micros_between, success_rate
 from runlens.operators.shapes import or_empty
@@ -107,20 +107,54 @@ def fleet_overview(
     depend on how the rows are split. ``p95_duration_ms`` is always null here;
     :func:`~runlens.operators.history.activity_history` has it per workload.
     """
-    lo, hi = resolve_window(since, until, OVERVIEW_DAYS, now)
-    runs = in_window(activity, "activity", lo, hi)
-    if not is_blank(application):
-        runs = runs.where(F.col("application") == application)
     by_type = (group_by or "").lower() == "application_type"
     keys = ["application", "activity_type"] if by_type else ["application"]
+    rows = _overview_rows(_in_overview(activity, since, until, application, now).groupBy(*keys))
+    return rows if by_type else rows.select(*_with_type(rows, F.lit(None).cast("string")))
+
+
+def fleet_overview_levels(
+    activity: DataFrame,
+    *,
+    since: Time = None,
+    until: Time = None,
+    application: str | None = None,
+    now: datetime | None = None,
+) -> DataFrame:
+    """Health per application and type, per application, and of the whole fleet, from one scan.
 
+    ``level`` is ``type``, ``application`` or ``fleet`` and tells the totals of
+    a level from rows whose application or type is null. Each run is counted
+    into its three groups before the shuffle. No runs give no rows, not even a total.
+    """
+    keys = ["application", "activity_type"]
+    runs = _in_overview(activity, since, until, application, now)
+    rows = _overview_rows(runs.groupingSets([keys, keys[:1], []], *keys), F.grouping_id().alias("level"))
+    name = F.when(F.col("level") == 0, "type").when(F.col("level") == 1, "application").otherwise("fleet")
+    return rows.where(F.col("runs") > 0).withColumn("level", name)
+
+
+def _in_overview(activity: DataFrame, since: Time, until: Time, application: str | None, now: datetime | None) -> DataFrame:
+    lo, hi = resolve_window(since, until, OVERVIEW_DAYS, now)
+    runs = in_window(activity, "activity", lo, hi)
+    return runs if is_blank(application) else runs.where(F.col("application") == application)
+
+
+def _with_type(rows: DataFrame, kind: Column) -> list[Column]:
+    first, *rest = rows.columns
+    return [F.col(first), kind.alias("activity_type"), *(F.col(c) for c in rest)]
+
+
+def _overview_rows(grouped: GroupedData, *more: Column) -> DataFrame:
+    """The figures of each group, behind its keys and ``more``."""
     status, created = F.col("status"), F.col("created_on")
     micros = micros_between(F.col("started_on"), F.col("completed_on"))
 
     def counted(value: str):
         return F.count_if(status == value).alias(value)
 
-    grouped = runs.groupBy(*keys).agg(
+    figures = grouped.agg(
+        *more,
         F.count(F.lit(1)).alias("runs"),
         counted("succeeded"),
         counted("failed"),
@@ -135,9 +169,8 @@ def fleet_overview(
         F.max(F.when(status.isin("failed", "canceled"), created)).alias("last_failure"),
     )
     c = F.col
-    return grouped.select(
-        "application",
-        (c("activity_type") if by_type else F.lit(None).cast("string")).alias("activity_type"),
+    return figures.select(
+        *figures.columns[: figures.columns.index("runs")],
         "runs",
         "succeeded",
         "failed",

@@ -10,7 +10,7 @@ from runlens.plans.arguments import (
     resolve_window,
     utc_now,
 )
-from runlens.plans.session import checkpoint_dir, prepare
+from runlens.plans.session import checkpoint_dir, prepare, settled
 from runlens.plans.shuffles import latest_per_key, spread
 from runlens.plans.windows import HINT, asked_ids, id_bounds, in_window, with_month, within_bounds
 
@@ -29,6 +29,7 @@ __all__ = [
     "parse_utc",
     "prepare",
     "resolve_window",
+    "settled",
     "spread",
     "utc_now",
     "with_month",

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SETTINGS = {
     # Times without zone are turned into instants by some functions.
@@ -42,3 +43,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(known)
     return known
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The rows, written to the folder in ``spark.checkpoint.dir`` and read from there.
+
+    For narrow results that one plan needs in several places, such as the ids
+    asked for and the times they span: they are computed once, when this is
+    called, and a lost executor loses nothing.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/settled-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

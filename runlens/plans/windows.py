@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from runlens.functions.times import at, bracket
 from runlens.functions.ids import uuid7_time
+from runlens.plans.session import settled
 from runlens.schema import MONTH_COLUMN, TIME_COLUMN
 
 #: The column of an id set that says when its runs were created.
@@ -52,22 +53,41 @@ def id_bounds(
 
 
 def asked_ids(ids: DataFrame, days: int) -> DataFrame:
-    """One row per asked-for run: ``activity_id``, its hint, ``lo`` and ``hi``.
+    """One row per asked-for run: ``activity_id``, its hint, ``lo`` and ``hi``; settled, as plans name it often.
 
     Of several hints for one run the earliest counts, everywhere.
     """
     hint = F.col(HINT) if HINT in ids.columns else F.lit(None).cast("timestamp_ntz")
     once = ids.groupBy("activity_id").agg(F.min(hint).alias(HINT))
-    return id_bounds(once, "activity_id", HINT, days)
+    return settled(id_bounds(once, "activity_id", HINT, days))
 
 
-def within_bounds(df: DataFrame, table: str, bounds: DataFrame) -> DataFrame:
-    """Keep the time span that a set of ``lo``/``hi`` bounds covers.
+#: Months from the first year to the year 9999.
+_ALL_MONTHS = 9999 * 12
+
+
+def touched_months(bounds: DataFrame) -> DataFrame:
+    """``month``, one row each, that the ``lo``/``hi`` bounds touch; every month there is if a bound is unknown."""
+    first, last = F.trunc("lo", "month"), F.trunc(F.col("hi") - F.expr("INTERVAL 1 MICROSECOND"), "month")
+    spans = bounds.where(F.col("lo") < F.col("hi")).select(first.alias("first"), last.alias("last")).distinct()
+    each = spans.select(F.explode(F.sequence("first", "last", F.expr("INTERVAL 1 MONTH"))).alias("at"))
+    unknown = bounds.where(F.col("lo").isNull() | F.col("hi").isNull()).agg(F.count(F.lit(1))).scalar()
+    known = each.select(month_of(F.col("at")).alias("month"))
+    number = F.col("id").cast("int")
+    calendar = bounds.sparkSession.range(_ALL_MONTHS).where(unknown > 0)
+    every = calendar.select((F.floor(number / 12).cast("int") * 100 + 100 + number % 12 + 1).alias("month"))
+    return known.unionByName(every).distinct()
+
 
-    The span is one row, evaluated as a scalar subquery before the scan
-    starts, so row groups are skipped, a database gets the times in its
-    statement, and a table laid out by month skips whole months. A single
-    unknown bound opens its side.
+def within_bounds(df: DataFrame, table: str, bounds: DataFrame) -> DataFrame:
+    """Keep the time span that a set of ``lo``/``hi`` bounds covers, and of it the months they touch.
+
+    ``bounds`` should be settled, as the plan names it several times. The span
+    is one row, evaluated as a scalar subquery before the scan starts, so row
+    groups are skipped and a database gets the times in its statement. In a
+    table laid out by month only months that some bound touches are read, by
+    dynamic partition pruning: ids from years apart open their own months, not
+    all between them. A single unknown bound opens its side.
     """
     month = MONTH_COLUMN[table]
 
@@ -80,6 +100,8 @@ def within_bounds(df: DataFrame, table: str, bounds: DataFrame) -> DataFrame:
     first = F.coalesce(lo, F.lit("0001-01-01").cast("timestamp_ntz"))
     last = F.coalesce(hi, F.lit("9999-12-31").cast("timestamp_ntz"))
     inside = (time >= first) & (time < last)
-    if month in df.columns:
-        inside = F.col(month).between(month_of(first), month_of(last)) & inside
-    return df.where(inside)
+    if month not in df.columns:
+        return df.where(inside)
+    # There are no more months than the calendar has. The comparison tells Spark that the list is selective.
+    listed = touched_months(bounds).where(F.col("month") > 0).withColumnRenamed("month", month)
+    return df.where(inside).join(F.broadcast(listed), month, "left_semi")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from runlens import operators as op
 from runlens.functions import cursor_encode
 from runlens.plans import Limits
+from runlens.plans.windows import touched_months
 from runlens.sources import SourceRegistry, Tables, read_parquet
 from runlens.sources.readers import write_by_month
 from tests.conftest import at, uuid7, values
@@ -141,7 +142,9 @@ def by_month(spark, tmp_path_factory):
 def _scans(df):
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
-    return re.findall(r"PartitionFilters: \[(.*?)\], PushedFilters: \[(.*?)\]", plan)
+    scans = re.findall(r"Location: \w+\(\d+ paths\)\[([^\]]*)\], PartitionFilters: \[(.*?)\], PushedFilters: \[(.*?)\]", plan)
+    # Settled ids are read as well, from the checkpoint folder.
+    return [(partitions, pushed) for path, partitions, pushed in scans if "/months" in path]
 
 
 def test_id_lookups_name_their_months(spark, by_month):
@@ -155,6 +158,37 @@ def test_id_lookups_name_their_months(spark, by_month):
     assert all(p for p, _ in _scans(summary)) and summary.first()["total"] == 1
 
 
+def test_ids_years_apart_open_only_their_own_months(spark, by_month, tmp_path):
+    """The files of all other months are broken, so reading one of them would fail."""
+    tables, ids = by_month
+    whole = tables.log_entries.drop("event_month")
+    write_by_month(whole, str(tmp_path / "months"), "log_entries", partitions=2)
+    asked = spark.createDataFrame([(ids[1],), (ids[-2],)], "activity_id string")
+    touched = {"event_month=202301", "event_month=202412"}
+    for folder in (tmp_path / "months").glob("event_month=*"):
+        for file in folder.glob("*.parquet") if folder.name not in touched else ():
+            (folder / f".{file.name}.crc").unlink()
+            file.write_bytes(b"broken")
+    lines = read_parquet(spark, str(tmp_path / "months"), "log_entries")
+    assert sorted(r["total"] for r in op.log_summary_stats(lines, asked, now=NOW).collect()) == [1, 1]
+    pages = op.activity_logs(lines, asked, now=NOW)
+    assert "dynamicpruning" in pages._jdf.queryExecution().executedPlan().toString() and pages.count() == 2
+    unknown = asked.unionByName(spark.createDataFrame([("no time in it",)], "activity_id string"))
+    with pytest.raises(Exception, match="broken|footer|Parquet|magic"):
+        op.log_summary_stats(lines, unknown, now=NOW).collect()
+    assert op.log_summary_stats(tables.log_entries, unknown, now=NOW).agg(F.sum("total")).first()[0] == 2
+
+
+def test_months_that_bounds_touch(spark):
+    day = "timestamp_ntz"
+    bounds = spark.createDataFrame(
+        [(at("2023-12-30"), at("2024-02-01")), (at("2020-05-01"), at("2020-05-01")), (at("2021-07-09"), at("2021-07-10"))], f"lo {day}, hi {day}"
+    )
+    assert values(touched_months(bounds)) == [(202107,), (202312,), (202401,)]
+    some = bounds.unionByName(spark.createDataFrame([(None, None)], f"lo {day}, hi {day}"))
+    assert touched_months(some).agg(F.count("*"), F.min("month"), F.max("month")).first()[:] == (9999 * 12, 101, 999912)
+
+
 def test_lineage_resolves_only_the_time_reached(spark, by_month):
     tables, ids = by_month
     seeds = spark.createDataFrame([(ids[9],)], "activity_id string")
