@@ -202,9 +202,10 @@ def _date(found: str, move: Move) -> str | None:
     return f"{new[0]}{separators[0]}{new[1]}{separators[1]}{new[2]}"
 
 
-# Earlier kinds win where several could start at one place.
+# Earlier kinds win where several could start at one place. All lengths are bounded (those of
+# addresses as mail allows them), so no text of any length takes more than its length's time.
 KINDS: dict[str, tuple[str, Callable[[str, Move], str | None]]] = {
-    "email": (r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![\w-])", _email),
+    "email": (r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,12}[A-Za-z]{2,63}(?![\w-])", _email),
     "iban": (r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", _iban),
     "card": (r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])", _card),
     "ip": (r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)", _ip),

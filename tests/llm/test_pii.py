@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import time
 import re
 from collections import Counter
 from datetime import date
@@ -123,3 +124,20 @@ def test_rows(spark):
     assert len({r["text"] for r in out if r["doc_id"] == 1}) == 1
     assert all(r["text"] == P.replace(t)[0] for r, t in zip(sorted(out, key=lambda r: r["doc_id"] or 0), [None, rows[0][1], rows[0][1], "", rows[4][1]]))
     assert pii.pseudonymise(df.limit(0), b"key").count() == 0
+
+
+def test_long_texts_take_no_more_than_their_length():
+    replace = pii.Pseudonyms(b"k").replace
+    fill = {"percent": "%41%C3", "mail": "a.b+%-", "hosts": "x@a.a.", "digits": "0 12 345 ", "dates": "1/2.3-", "letters": "AB ", "words": "some words, "}
+    for name, piece in fill.items():
+        text = piece * (1_000_000 // len(piece)) + " write to anna@example.org now"
+        start = time.process_time()
+        done, count = replace(text)
+        assert time.process_time() - start < 30, name
+        assert count >= 1 and "anna@example.org" not in done, name
+
+
+def test_the_longest_address_is_found():
+    local, host = "a" * 64, ".".join(["b" * 63] * 3)
+    done, count = pii.Pseudonyms(b"k").replace(f"to {local}@{host}.org.")
+    assert count == 1 and local not in done
