@@ -40,10 +40,10 @@ SKETCH_COUNTERS = 1 << 18
 HOT_SHARE = 4096
 #: Bits that mark the frequent words; workers hold a bit for each (2 MB).
 FIELD_BITS = 1 << 24
-#: Suffixes are dealt to cells, and a task holds one cell at a time: so many for each partition
-#: of a shuffle, and more where a cell would get more suffixes than this.
-CELLS = 8
-CELL_WORDS = 2_000_000
+#: Suffixes are dealt to cells, and a task holds one cell at a time: so many at least, and more
+#: where a cell would get more suffixes than this.
+CELLS = 64
+CELL_WORDS = 1_000_000
 #: Bytes of text a task looks at together.
 BLOCK = 4 << 20
 #: Bytes of phrases a task hands on together.
@@ -440,7 +440,7 @@ def phrase_counts(
     hot = _hot(profile, sketch_counters, max(1, total // hot_share))
     shared = session.sparkContext.broadcast((_frequent(frequent, FIELD_BITS), hot))
     parts = int(session.conf.get("spark.sql.shuffle.partitions"))
-    cells = min(max(CELLS * parts, total // CELL_WORDS), 1 << 30)
+    cells = min(max(CELLS, total // CELL_WORDS), 1 << 30)
     dealt = _suffixes(docs, shared, cells).repartition(parts, "cell").sortWithinPartitions("cell")
     counted = _mined(dealt, least).groupBy("lang", "phrase").agg(F.sum("count").alias("count"))
     phrases = settle(counted.where(F.col("count") >= least))

@@ -33,7 +33,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from runlens.llm.components import components
-from runlens.llm.session import release, settle
+from runlens.llm.session import dismiss, release, settle
 
 SHINGLE_WORDS = 5
 #: A similarity of PERCENT / 100 or more links.
@@ -52,7 +52,7 @@ FRONT_TOKENS = 3
 #: Where a component has this many of a token's nodes, those outside it are first compared
 #: with this many of its members each.
 LARGE = 32
-TRIES = 16
+TRIES = 8
 
 _SKETCH_PART = 1 << 18
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -482,8 +482,11 @@ def _grouped(docs: DataFrame, sketch_counters: int, field_bits: int, part_rows:
     if not tries.isEmpty():
         links = links.unionAll(_verified(docs, rows, tries, frequency, field_bits))
         labels, tried = grouped(links), tried.unionAll(tries.select(*_pair("x", "y")))
+        dismiss(held)
         held = settle(_mixed(shared, labels))
+    dismiss(shared)
     across = settle(_across(held).join(tried, ["x", "y"], "left_anti"))
+    dismiss(held)
     if not across.isEmpty():
         links = links.unionAll(_verified(docs, rows, across, frequency, field_bits))
         labels = grouped(links)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import gc
+import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
@@ -27,15 +29,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_folders: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Write the rows to the folder in ``spark.checkpoint.dir`` and read them from there.
+    """Write the rows as Parquet to the folder in ``spark.checkpoint.dir`` and read them from there.
 
     For results that several later steps read. The files are shared, so a lost
-    executor loses nothing, and Spark removes them once nothing refers to them
-    if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on.
+    executor loses nothing. They stay until :func:`dismiss`.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    path = f"{checkpoint_dir(df.sparkSession)}/settled-{uuid.uuid4()}"
+    df.write.parquet(path)
+    settled = df.sparkSession.read.schema(df.schema).parquet(path)
+    _folders[settled] = path
+    return settled
+
+
+def dismiss(*settled: DataFrame) -> None:
+    """Give back the disk of settled tables that no later step reads: an empty table takes their place."""
+    for df in settled:
+        df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(_folders.pop(df))
 
 
 def release(context: SparkContext) -> None:
