@@ -77,8 +77,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
     folder = f"{checkpoint_dir(ready(spark))}/pipeline-{uuid.uuid4()}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, read = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        if read:
+            # No later stage reads what went into this one: an empty table takes its place.
+            spark.createDataFrame([], docs.schema).write.mode("overwrite").parquet(read)
+        read = f"{folder}/{name}"
+        docs = spark.read.parquet(read)
     return docs
