@@ -8,6 +8,7 @@ Every query runs over all runs, edges and log lines.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -16,8 +17,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from duckdb_oracle import SQL
 from runlens import functions as fn, operators as op
 from runlens.functions.measures import LEVEL_FIELDS
-from runlens.plans import prepare
+from runlens.plans import checkpoint_dir, prepare
 from runlens.sources import SourceRegistry, Tables, testdata
+from runlens.streaming import FleetState
 
 try:
     import corpus_pipeline
@@ -111,6 +113,19 @@ def fleet_overview_one_application(spark: SparkSession, sf_dir: str) -> DataFram
     return op.fleet_overview(_runs(spark, sf_dir), application="app0", group_by="application_type", **WINDOW)
 
 
+def fleet_overview_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The overview kept by a stream's batches: runs up to 1997, of 1998 (sent twice), and later ones."""
+    runs = _runs(spark, sf_dir)
+    state = FleetState(spark, f"{checkpoint_dir(spark)}/fleet-{uuid.uuid4()}")
+    year = F.year("created_on")
+    for batch, part in enumerate((year <= 1997, year == 1998, year > 1998)):
+        state.fold(runs.where(part), batch)
+        if batch == 1:
+            state.compact()
+            state.fold(runs.where(part), batch)
+    return state.overview(**WINDOW)
+
+
 def recent_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.recent_failures(_runs(spark, sf_dir, text=True), **WINDOW)
 
@@ -396,6 +411,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "fleet_overview_sources": fleet_overview_sources,
         "fleet_overview_levels": fleet_overview_levels,
         "fleet_overview_one_application": fleet_overview_one_application,
+        "fleet_overview_folded": fleet_overview_folded,
         "recent_failures": recent_failures,
         "activities_page_1": activities_page_1,
         "activities_default_window": activities_default_window,

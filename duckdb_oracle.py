@@ -451,6 +451,7 @@ per_application AS ({_overview("application", "CAST(NULL AS VARCHAR)")}),
 fleet AS ({_overview("()", "CAST(NULL AS VARCHAR)").replace("SELECT application,", "SELECT CAST(NULL AS VARCHAR) AS application,")})
 SELECT *, 'type' AS level FROM per_type UNION ALL SELECT *, 'application' FROM per_application
 UNION ALL SELECT *, 'fleet' FROM fleet""",
+    "fleet_overview_folded": _with(ACTIVITY) + _overview("application", "CAST(NULL AS VARCHAR)"),
     "fleet_overview_one_application": _with(ACTIVITY)
     + _overview("application, activity_type", "activity_type", "(SELECT * FROM activity WHERE application = 'app0')"),
     "recent_failures": f"""{_with(ACTIVITY)} SELECT {_summary(True)}, count(*) OVER () > 25 AS has_more FROM activity

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, GroupedData, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from runlens.functions import half_even, iso8601_utc, micros_between, success_rate
 from runlens.operators.shapes import or_empty
@@ -109,8 +110,8 @@ def fleet_overview(
     """
     by_type = (group_by or "").lower() == "application_type"
     keys = ["application", "activity_type"] if by_type else ["application"]
-    rows = _overview_rows(_in_overview(activity, since, until, application, now).groupBy(*keys))
-    return rows if by_type else rows.select(*_with_type(rows, F.lit(None).cast("string")))
+    rows = _in_overview(activity, since, until, application, now).groupBy(*keys).agg(*figures())
+    return _with_type(shown_figures(rows, keys))
 
 
 def fleet_overview_levels(
@@ -129,7 +130,8 @@ def fleet_overview_levels(
     """
     keys = ["application", "activity_type"]
     runs = _in_overview(activity, since, until, application, now)
-    rows = _overview_rows(runs.groupingSets([keys, keys[:1], []], *keys), F.grouping_id().alias("level"))
+    grouped = runs.groupingSets([keys, keys[:1], []], *keys).agg(F.grouping_id().alias("level"), *figures())
+    rows = shown_figures(grouped, [*keys, "level"])
     name = F.when(F.col("level") == 0, "type").when(F.col("level") == 1, "application").otherwise("fleet")
     return rows.where(F.col("runs") > 0).withColumn("level", name)
 
@@ -140,21 +142,22 @@ def _in_overview(activity: DataFrame, since: Time, until: Time, application: str
     return runs if is_blank(application) else runs.where(F.col("application") == application)
 
 
-def _with_type(rows: DataFrame, kind: Column) -> list[Column]:
+def _with_type(rows: DataFrame) -> DataFrame:
     first, *rest = rows.columns
-    return [F.col(first), kind.alias("activity_type"), *(F.col(c) for c in rest)]
+    if "activity_type" in rest:
+        return rows
+    return rows.select(first, F.lit(None).cast("string").alias("activity_type"), *rest)
 
 
-def _overview_rows(grouped: GroupedData, *more: Column) -> DataFrame:
-    """The figures of each group, behind its keys and ``more``."""
+def figures() -> list[Column]:
+    """Aggregates of runs that an overview is made of; those of parts add up to those of the whole."""
     status, created = F.col("status"), F.col("created_on")
     micros = micros_between(F.col("started_on"), F.col("completed_on"))
 
     def counted(value: str):
         return F.count_if(status == value).alias(value)
 
-    figures = grouped.agg(
-        *more,
+    return [
         F.count(F.lit(1)).alias("runs"),
         counted("succeeded"),
         counted("failed"),
@@ -167,10 +170,25 @@ def _overview_rows(grouped: GroupedData, *more: Column) -> DataFrame:
         F.sum(F.col("records_impacted").cast("decimal(38,0)")).cast("decimal(38,0)").alias("total_records_impacted"),
         F.max("created_on").alias("last_run"),
         F.max(F.when(status.isin("failed", "canceled"), created)).alias("last_failure"),
-    )
+    ]
+
+
+def added_figures() -> list[Column]:
+    """The :func:`figures` of a whole from those of its parts."""
+    wide = ("micros", "total_records_impacted")
+    sums = ("runs", "succeeded", "failed", "canceled", "running", "skipped", "timed")
+    return [
+        *(F.sum(c).alias(c) for c in sums),
+        *(F.sum(c).cast("decimal(38,0)").alias(c) for c in wide),
+        *(F.max(c).alias(c) for c in ("last_run", "last_failure")),
+    ]
+
+
+def shown_figures(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """An overview's columns from its figures."""
     c = F.col
-    return figures.select(
-        *figures.columns[: figures.columns.index("runs")],
+    return rows.select(
+        *keys,
         "runs",
         "succeeded",
         "failed",

@@ -1,5 +1,6 @@
-"""Rollups kept up to date while log lines arrive."""
+"""Operators on streams."""
 
 from runlens.streaming.levels import level_counts_by_window
+from runlens.streaming.overview import FleetState
 
-__all__ = ["level_counts_by_window"]
+__all__ = ["FleetState", "level_counts_by_window"]

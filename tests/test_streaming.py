@@ -1,10 +1,13 @@
 from __future__ import annotations
 
-from runlens.schema import LOG_ENTRIES
+from runlens.operators import fleet_overview
+from runlens.schema import ACTIVITY, LOG_ENTRIES
 from runlens.sources import testdata
-from runlens.streaming import level_counts_by_window
+from runlens.streaming import FleetState, level_counts_by_window
 from tests.conftest import SF_DIR, at, values
 
+WINDOW = {"since": "1995-01-01", "until": "2002-01-01"}
+
 
 def streamed(spark, path, checkpoint, name, mode="append", **how):
     logs = spark.readStream.schema(LOG_ENTRIES).option("maxFilesPerTrigger", 1).parquet(path)
@@ -47,3 +50,49 @@ def test_late_lines_are_ignored(spark, make, tmp_path):
     got = streamed(spark, path, str(tmp_path / "cp"), "late", window="1 hour", lateness="10 minutes")
     rows = {r["from_utc"]: r["total"] for r in got.collect()}
     assert rows["2024-01-01T00:00:00.000000Z"] == 3 and rows["2024-01-01T03:00:00.000000Z"] == 1
+
+
+def test_a_stream_of_runs_keeps_the_overview(spark, tmp_path):
+    runs = testdata.activity(spark, SF_DIR, text=False)
+    path = str(tmp_path / "runs")
+    runs.repartitionByRange(3, "created_on").write.parquet(path)
+    state = FleetState(spark, str(tmp_path / "state"))
+    seen = []
+
+    def fold(batch, number):
+        seen.append(number)
+        state.fold(batch, number)
+        if number == 1:
+            state.fold(batch, number)  # sent again
+        if number == 0:
+            state.compact()
+            state.fold(batch, number)  # sent again after it was added up
+
+    query = (
+        spark.readStream.schema(ACTIVITY).option("maxFilesPerTrigger", 1).parquet(path).writeStream.foreachBatch(fold)
+        .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    )
+    query.awaitTermination(240)
+    assert query.exception() is None and seen == [0, 1, 2]
+    for how in ({}, {"group_by": "application_type"}, {"application": "app0"}):
+        assert values(state.overview(**WINDOW, **how)) == values(fleet_overview(runs, **WINDOW, **how))
+    state.compact()
+    state.compact()
+    year = {"since": "1999-01-01", "until": "2000-01-01"}
+    assert values(FleetState(spark, str(tmp_path / "state")).overview(**year)) == values(fleet_overview(runs, **year))
+
+
+def test_a_batch_that_failed_half_way_counts_once(spark, make, tmp_path):
+    def runs(*keys):
+        return make("activity", *[{"id": k, "created_on": at("2024-01-01T05:00:00"), "application": "a", "status": "succeeded"} for k in keys])
+
+    state = FleetState(spark, str(tmp_path / "state"))
+    assert state.overview().count() == 0
+    state.fold(runs("x"), 0)  # some of the rows, before the writer was lost
+    state.fold(runs("x", "y"), 0)
+    state.fold(runs(), 1)
+    assert state.overview().first()["runs"] == 2
+    state.compact()
+    state.fold(runs("x", "y"), 0)
+    state.fold(runs("z"), 2)
+    assert state.overview().first()["runs"] == 3
