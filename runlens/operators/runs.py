@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, Window, functions as F
 
 from runlens.functions import contains_ci
-from runlens.operators.shapes import after_cursor, by_time, page, run_summary
+from runlens.operators.shapes import after_cursor, by_time, enough_newest, page, run_summary
 from runlens.plans import Limits, clamp_limit, in_window, is_blank, resolve_window
 from runlens.plans.arguments import DEFAULT_LIMITS, LIST_DAYS, Time
 
@@ -38,6 +38,7 @@ def recent_failures(
     failures = in_window(activity, "activity", lo, hi).where(F.col("status").isin("failed", "canceled"))
     failures = _equals(failures, application=application, activity_key=activity_key)
     size = clamp_limit(limit, 25, limits.max_activities)
+    failures = enough_newest(failures, "activity", lo, hi, size + 1)
     order = by_time("created_on", descending=True)
     # One row more than asked for tells; the windows see no more than those.
     fetched = failures.orderBy(*order).limit(size + 1)
@@ -78,4 +79,5 @@ def activities_list(
     if not is_blank(cursor):
         runs = runs.where(after_cursor("created_on", F.lit(cursor), descending=True))
     size = clamp_limit(limit, 50, limits.max_activities)
+    runs = enough_newest(runs, "activity", lo, hi, size + 1, cursor)
     return page(runs, "created_on", run_summary(with_error=False), size, descending=True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -19,6 +20,8 @@ from runlens.functions import (
     truncate,
     was_truncated,
 )
+from runlens.plans.windows import in_window
+from runlens.schema import MONTH_COLUMN
 
 
 def or_empty(value: Column) -> Column:
@@ -114,6 +117,35 @@ def after_cursor(time: str, token: Column, *, descending: bool) -> Column:
     return F.when(at.isNull() | row_id.isNull(), F.lit(True)).otherwise(past)
 
 
+def _months_before(until: datetime, months: int) -> datetime:
+    """The start of the month so many months back; the month that ``until`` ends in is the first."""
+    last = until - timedelta(microseconds=1)
+    number = max(12, last.year * 12 + last.month - months)
+    return datetime(number // 12, number % 12 + 1, 1)
+
+
+def enough_newest(df: DataFrame, table: str, since: datetime, until: datetime, rows: int, cursor: str | None = None) -> DataFrame:
+    """Of filtered rows in a window those of its newest months that hold ``rows`` rows, or all if they do not.
+
+    For pages, newest first, of a table laid out by month: older months are not
+    read. One month is tried, then two, four and so on; each try is a small job
+    that stops in every task at so many rows, and all tries together read no
+    more than twice what the page needs. Other tables are left as they are.
+    """
+    if MONTH_COLUMN[table] not in df.columns:
+        return df
+    if cursor and cursor.strip():
+        at = df.sparkSession.range(1).select(cursor_time(F.lit(cursor)).alias("at")).first()["at"]
+        until = until if at is None else min(until, at + timedelta(microseconds=1))
+    months = 1
+    while (first := _months_before(until, months)) > since:
+        newest = in_window(df, table, first, until)
+        if newest.limit(rows).count() >= rows:
+            return newest
+        months *= 2
+    return df
+
+
 def page(df: DataFrame, time: str, columns: Sequence[Column], limit: int, *, descending: bool) -> DataFrame:
     """The first ``limit`` rows in order, plus ``position`` and ``next_cursor``.
 

@@ -189,6 +189,42 @@ def test_months_that_bounds_touch(spark):
     assert touched_months(some).agg(F.count("*"), F.min("month"), F.max("month")).first()[:] == (9999 * 12, 101, 999912)
 
 
+def _break_all_but(path, *months):
+    for folder in path.glob("*_month=*"):
+        for file in folder.glob("*.parquet") if folder.name.split("=")[1] not in months else ():
+            (folder / f".{file.name}.crc").unlink()
+            file.write_bytes(b"broken")
+
+
+def test_pages_read_only_the_newest_months(spark, by_month, tmp_path):
+    """Two runs a month, so a page of three needs two months of the 24; files from before the last three are broken."""
+    tables, ids = by_month
+    window = {"since": "2023-01-01", "until": "2025-01-01"}
+    whole = {"limit": 3, **window}
+    expected = op.activities_list(tables.activity, **whole).collect()
+    following = op.activities_list(tables.activity, cursor=expected[-1]["next_cursor"], limit=1, **window).collect()
+    lines = op.logs_search(tables.log_entries, min_level="Trace", **whole).collect()
+    few = {}
+    for name in ("activity", "log_entries"):
+        write_by_month(getattr(tables, name).drop("created_month", "event_month"), str(tmp_path / name), name, partitions=2)
+        few[name] = read_parquet(spark, str(tmp_path / name), name)
+        _break_all_but(tmp_path / name, "202410", "202411", "202412")
+    assert op.activities_list(few["activity"], **whole).collect() == expected
+    assert op.logs_search(few["log_entries"], min_level="Trace", **whole).collect() == lines
+    # A page behind a cursor starts in the cursor's month.
+    assert op.activities_list(few["activity"], cursor=expected[-1]["next_cursor"], limit=1, **window).collect() == following
+    with pytest.raises(Exception, match="broken|footer|Parquet|magic"):
+        op.activities_list(few["activity"], limit=200, **window).collect()
+
+
+def test_pages_of_rare_rows_go_back_to_the_start(spark, by_month):
+    tables, ids = by_month
+    window = {"since": "2023-01-01", "until": "2025-01-01"}
+    assert op.activities_list(tables.activity, target_contains="nothing", **window).count() == 0
+    assert op.activities_list(tables.activity, limit=200, **window).count() == len(ids)
+    assert op.activities_list(tables.activity, limit=200, cursor="no cursor", **window).count() == len(ids)
+
+
 def test_lineage_resolves_only_the_time_reached(spark, by_month):
     tables, ids = by_month
     seeds = spark.createDataFrame([(ids[9],)], "activity_id string")
