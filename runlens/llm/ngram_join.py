@@ -6,7 +6,8 @@ That holds for every order, so a pair must pass it under all of them before
 its sets are compared. Orders put frequent tokens last, going by a count sketch
 of the corpus, so that common passages seldom stand in a prefix, and break ties
 by a different hash each. An order may be any, so the sketch can only cost
-time, never a pair.
+time, never a pair. A pair must also pass the nodes' signatures, fields of bits
+that tell how far two sets differ at least; only then are texts fetched for it.
 
 The index of the first order is shuffled by token. Comparing everything within
 a token would be all pairs of a group of copies. Instead each document is first
@@ -43,6 +44,8 @@ PERCENT = 75
 SKETCH_COUNTERS = 1 << 23
 #: Bits that mark the nodes whose texts are wanted; workers hold a bit for each.
 FIELD_BITS = 1 << 24
+#: A node's signature has twice as many bits as the node has tokens, between these bounds.
+SIGNATURE_BITS = (1 << 8, 1 << 16)
 #: A token that more documents than this have in their prefix is dealt out in parts.
 PART_ROWS = 100_000
 
@@ -122,6 +125,33 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * shared >= PERCENT * (len(a) + len(b) - shared) and shared > 0
 
 
+def signature(shingles: np.ndarray) -> bytes:
+    """A bit for each of so many classes of tokens: whether their number is odd."""
+    least, most = SIGNATURE_BITS
+    bits = min(most, max(least, 1 << (2 * len(shingles)).bit_length()))
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """How many tokens stand in one of two sets only, at least, by their signatures.
+
+    Each such token turns one bit, so that many differ at most. A longer
+    signature folded in halves is the shorter one of the same set.
+    """
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    while len(y) > len(x):
+        half = len(y) // 2
+        y = y[:half] ^ y[half:]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def may_be_similar(n_x: int, n_y: int, sign_x: bytes, sign_y: bytes) -> bool:
+    """False if the signatures show that sets of these sizes do not link."""
+    common = -(-PERCENT * (n_x + n_y) // (100 + PERCENT))
+    return least_difference(sign_x, sign_y) <= n_x + n_y - 2 * common
+
+
 @dataclass(frozen=True)
 class Frequency:
     """Document frequency by a counter that a token shares with others: never too low."""
@@ -160,15 +190,16 @@ class Frequency:
         return tokens[np.argsort(places, kind="stable")[: prefix_length(len(tokens))]]
 
 
-_PROFILE = "doc_id long, n int, node long, part int, counts binary"
+_PROFILE = "doc_id long, n int, node long, sign binary, part int, counts binary"
 
 
 def _profile(docs: DataFrame, width: int) -> DataFrame:
-    """One pass: a row with size and node for each document, and the token counts of each task in parts."""
+    """One pass: a row with size, node and signature for each document, and the token counts of each task in parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(width, np.int32)
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("node", pa.int64()), ("part", pa.int32()), ("counts", pa.binary())])
+        kinds = {"doc_id": pa.int64(), "n": pa.int32(), "node": pa.int64(), "sign": pa.binary(), "part": pa.int32(), "counts": pa.binary()}
+        schema = pa.schema(kinds.items())
         for batch in batches:
             sets = shingle_sets(batch.column(1).to_pylist())
             if sets:
@@ -179,6 +210,7 @@ def _profile(docs: DataFrame, width: int) -> DataFrame:
                     batch.column(0).cast(pa.int64()),
                     pa.array([len(s) for s in sets], pa.int32()),
                     pa.array([node_of(s) for s in sets], pa.int64()),
+                    pa.array([signature(s) for s in sets], pa.binary()),
                     pa.nulls(rows, pa.int32()),
                     pa.nulls(rows, pa.binary()),
                 ],
@@ -188,7 +220,7 @@ def _profile(docs: DataFrame, width: int) -> DataFrame:
             piece = counters[part : part + _SKETCH_PART]
             if piece.any():
                 counts = pa.array([zlib.compress(piece.tobytes(), 1)], pa.binary())
-                none = [pa.nulls(1, t) for t in (pa.int64(), pa.int32(), pa.int64())]
+                none = [pa.nulls(1, t) for t in list(kinds.values())[:4]]
                 yield pa.RecordBatch.from_arrays([*none, pa.array([part], pa.int32()), counts], schema=schema)
 
     return docs.mapInArrow(run, _PROFILE)
@@ -424,8 +456,25 @@ def _texts(docs: DataFrame, rows: DataFrame, pairs: DataFrame, bits: int) -> Dat
     return docs.select("doc_id", "text").mapInArrow(run, "node long, text string").dropDuplicates(["node"])
 
 
-def _verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, frequency: Broadcast, bits: int) -> DataFrame:
-    """Of settled pairs ``x``, ``y`` those that link: all orders' prefixes meet, then the sets are compared."""
+def _plausible(pairs: DataFrame, signs: DataFrame) -> DataFrame:
+    """Of pairs ``x``, ``y`` those whose signatures do not rule a link out, settled."""
+
+    def of(name: str) -> DataFrame:
+        return signs.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("sign").alias(f"sign_{name}"))
+
+    both = pairs.join(of("x"), "x").join(of("y"), "y").select("x", "y", "n_x", "n_y", "sign_x", "sign_y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            may = [may_be_similar(*row) for row in zip(*(c.to_pylist() for c in batch.columns[2:]))]
+            yield batch.select(["x", "y"]).filter(pa.array(may, pa.bool_()))
+
+    return settle(both.mapInArrow(run, "x long, y long"))
+
+
+def _verified(docs: DataFrame, rows: DataFrame, signs: DataFrame, pairs: DataFrame, frequency: Broadcast, bits: int) -> DataFrame:
+    """Of settled pairs ``x``, ``y`` those that link: signatures, all orders' prefixes, then the sets are compared."""
+    pairs = _plausible(pairs, signs)
     texts = _texts(docs, rows, pairs, bits)
     of_x = texts.select(F.col("node").alias("x"), F.col("text").alias("text_x"))
     # Very many may be paired with one y; the copy of the key lets the join split them.
@@ -453,7 +502,9 @@ def _verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, frequency: Bro
             kept = batch.select(["x", "y"]).filter(pa.array(links, pa.bool_()))
             yield kept
 
-    return settle(both.mapInArrow(run, "x long, y long"))
+    links = settle(both.mapInArrow(run, "x long, y long"))
+    dismiss(pairs)
+    return links
 
 
 def _grouped(docs: DataFrame, sketch_counters: int, field_bits: int, part_rows: int) -> DataFrame:
@@ -466,7 +517,9 @@ def _grouped(docs: DataFrame, sketch_counters: int, field_bits: int, part_rows:
     context = docs.sparkSession.sparkContext
     profile = settle(_profile(docs, sketch_counters))
     frequency = context.broadcast(_frequency(profile, sketch_counters))
-    rows = profile.where(F.col("part").isNull()).select("doc_id", "n", "node")
+    documents = profile.where(F.col("part").isNull())
+    rows = documents.select("doc_id", "n", "node")
+    signs = settle(documents.where(F.col("n") > 0).select("node", "n", "sign").dropDuplicates(["node"]))
 
     def grouped(links: DataFrame) -> DataFrame:
         release(context)
@@ -475,12 +528,12 @@ def _grouped(docs: DataFrame, sketch_counters: int, field_bits: int, part_rows:
     shared = settle(_shared_postings(_postings(docs, frequency, part_rows)))
     release(context)
     first = settle(_best_centre(shared))
-    links = _verified(docs, rows, first, frequency, field_bits)
+    links = _verified(docs, rows, signs, first, frequency, field_bits)
     labels = grouped(links)
     held, tried = settle(_mixed(shared, labels)), first.select(*_pair("x", "y"))
     tries = settle(_tries(held).join(first, ["x", "y"], "left_anti"))
     if not tries.isEmpty():
-        links = links.unionAll(_verified(docs, rows, tries, frequency, field_bits))
+        links = links.unionAll(_verified(docs, rows, signs, tries, frequency, field_bits))
         labels, tried = grouped(links), tried.unionAll(tries.select(*_pair("x", "y")))
         dismiss(held)
         held = settle(_mixed(shared, labels))
@@ -488,7 +541,7 @@ def _grouped(docs: DataFrame, sketch_counters: int, field_bits: int, part_rows:
     across = settle(_across(held).join(tried, ["x", "y"], "left_anti"))
     dismiss(held)
     if not across.isEmpty():
-        links = links.unionAll(_verified(docs, rows, across, frequency, field_bits))
+        links = links.unionAll(_verified(docs, rows, signs, across, frequency, field_bits))
         labels = grouped(links)
 
     classes = rows.where(F.col("n") > 0).groupBy("node").agg(F.min("doc_id").alias("_least"))

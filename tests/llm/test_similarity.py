@@ -154,6 +154,28 @@ def test_prefixes_of_similar_sets_meet_under_any_order():
                 assert len(np.intersect1d(p, q)) >= max(1, need)
 
 
+def test_signatures_never_rule_out_what_links():
+    rng = np.random.default_rng(3)
+    ruled_out = 0
+    for i in range(400):
+        n = int(rng.choice((1, 4, 40, 150, 600, 3000)))
+        a = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < rng.choice((0.5, 0.8, 0.9, 0.97))], rng.integers(0, 1 << 62, int(n * rng.choice((0, 0.1, 0.4)))).astype(np.uint64)]))
+        if not len(b):
+            continue
+        signs = ngram_join.signature(a), ngram_join.signature(b)
+        assert ngram_join.least_difference(*signs) <= len(np.setxor1d(a, b))
+        may = ngram_join.may_be_similar(len(a), len(b), *signs)
+        assert may or not ngram_join.similar(a, b)
+        ruled_out += not may
+    assert ruled_out > 100
+    # Sizes far apart: the longer signature is folded to the shorter one's length.
+    small, large = np.arange(3, dtype=np.uint64), np.arange(3000, dtype=np.uint64)
+    assert len(ngram_join.signature(small)) < len(ngram_join.signature(large))
+    assert ngram_join.least_difference(ngram_join.signature(small), ngram_join.signature(large)) <= 2997
+    assert ngram_join.least_difference(ngram_join.signature(large), ngram_join.signature(large)) == 0
+
+
 def _exact(rows, queries, k):
     usable = [(i, np.array(v, float)) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     out = {}
