@@ -19,7 +19,7 @@ from runlens import functions as fn, operators as op
 from runlens.functions.measures import LEVEL_FIELDS
 from runlens.plans import checkpoint_dir, prepare
 from runlens.sources import SourceRegistry, Tables, testdata
-from runlens.streaming import FleetState
+from runlens.streaming import FleetState, LatestRuns
 
 try:
     import corpus_pipeline
@@ -126,6 +126,25 @@ def fleet_overview_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.overview(**WINDOW)
 
 
+def latest_runs_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs sent when they are made and again, an hour newer, when they are done, by years; those of 1996 come once more, too late."""
+    runs = _runs(spark, sf_dir)
+    made = runs.withColumn("created_on", F.col("created_on") - F.expr("INTERVAL 1 HOUR")).withColumn("status", F.lit("pending"))
+    sent, year = runs.unionByName(made), F.year("created_on")
+    state = LatestRuns(spark, f"{checkpoint_dir(spark)}/latest-{uuid.uuid4()}", lateness_days=30)
+    for batch, part in enumerate((year <= 1997, year == 1998, year > 1998)):
+        state.fold(sent.where(part), batch)
+        if batch == 1:
+            state.fold(sent.where(part), batch)
+    state.fold(runs.where(year == 1996), 3)
+
+    def shown(rows: DataFrame, late: bool) -> DataFrame:
+        created = fn.iso8601_utc(F.col("created_on")).alias("created_on_utc")
+        return rows.select("id", created, "application", "status", F.lit(late).alias("late"))
+
+    return shown(state.latest(), False).unionByName(shown(state.late(), True))
+
+
 def recent_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.recent_failures(_runs(spark, sf_dir, text=True), **WINDOW)
 
@@ -412,6 +431,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "fleet_overview_levels": fleet_overview_levels,
         "fleet_overview_one_application": fleet_overview_one_application,
         "fleet_overview_folded": fleet_overview_folded,
+        "latest_runs_folded": latest_runs_folded,
         "recent_failures": recent_failures,
         "activities_page_1": activities_page_1,
         "activities_default_window": activities_default_window,

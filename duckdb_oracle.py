@@ -452,6 +452,9 @@ fleet AS ({_overview("()", "CAST(NULL AS VARCHAR)").replace("SELECT application,
 SELECT *, 'type' AS level FROM per_type UNION ALL SELECT *, 'application' FROM per_application
 UNION ALL SELECT *, 'fleet' FROM fleet""",
     "fleet_overview_folded": _with(ACTIVITY) + _overview("application", "CAST(NULL AS VARCHAR)"),
+    "latest_runs_folded": f"""{_with(ACTIVITY)}
+      SELECT id, {_iso("created_on")} AS created_on_utc, application, status, FALSE AS late FROM activity
+      UNION ALL SELECT id, {_iso("created_on")}, application, status, TRUE FROM activity WHERE year(created_on) = 1996""",
     "fleet_overview_one_application": _with(ACTIVITY)
     + _overview("application, activity_type", "activity_type", "(SELECT * FROM activity WHERE application = 'app0')"),
     "recent_failures": f"""{_with(ACTIVITY)} SELECT {_summary(True)}, count(*) OVER () > 25 AS has_more FROM activity

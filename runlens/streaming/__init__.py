@@ -1,6 +1,7 @@
 """Operators on streams."""
 
+from runlens.streaming.latest import LatestRuns
 from runlens.streaming.levels import level_counts_by_window
 from runlens.streaming.overview import FleetState
 
-__all__ = ["FleetState", "level_counts_by_window"]
+__all__ = ["FleetState", "LatestRuns", "level_counts_by_window"]

@@ -3,7 +3,7 @@ from __future__ import annotations
 from runlens.operators import fleet_overview
 from runlens.schema import ACTIVITY, LOG_ENTRIES
 from runlens.sources import testdata
-from runlens.streaming import FleetState, level_counts_by_window
+from runlens.streaming import FleetState, LatestRuns, level_counts_by_window
 from tests.conftest import SF_DIR, at, values
 
 WINDOW = {"since": "1995-01-01", "until": "2002-01-01"}
@@ -96,3 +96,47 @@ def test_a_batch_that_failed_half_way_counts_once(spark, make, tmp_path):
     state.fold(runs("x", "y"), 0)
     state.fold(runs("z"), 2)
     assert state.overview().first()["runs"] == 3
+
+
+def _run(key, time, status):
+    return {"id": key, "created_on": at(time), "status": status}
+
+
+def test_a_stream_of_runs_keeps_the_newest_rows(spark, make, tmp_path):
+    path = str(tmp_path / "runs")
+    for batch in (
+        [_run("a", "2024-01-01T00:00:00", "pending"), _run("b", "2024-01-01T01:00:00", "running"), _run("a", "2024-01-01T02:00:00", "succeeded")],
+        [_run("b", "2024-01-02T00:00:00", "failed"), _run("c", "2024-01-10T00:00:00", "running")],
+        # Two days before the newest row so far is the limit: the first is late, the others are not.
+        [_run("a", "2024-01-07T23:59:59", "too late"), _run("c", "2024-01-09T00:00:00", "older"), _run("d", "2024-01-08T00:00:00", "running")],
+        [_run("a", "2024-01-11T00:00:00", "returned")],
+    ):
+        make("activity", *batch).coalesce(1).write.mode("append").parquet(path)
+    state = LatestRuns(spark, str(tmp_path / "state"), lateness_days=2)
+
+    def fold(batch, number):
+        state.fold(batch, number)
+        state.fold(batch, number)  # sent again
+
+    query = (
+        spark.readStream.schema(ACTIVITY).option("maxFilesPerTrigger", 1).parquet(path).writeStream.foreachBatch(fold)
+        .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    )
+    query.awaitTermination(240)
+    assert query.exception() is None
+    newest = [("a", "returned"), ("b", "failed"), ("c", "running"), ("d", "running")]
+    assert values(state.latest(), "id", "status") == newest
+    assert values(state.late(), "id", "status", "batch") == [("a", "too late", 2)]
+    # What travels on is no more than two days of runs; final rows are left behind.
+    assert values(state._open()[0], "id") == [("a",), ("c",), ("d",)]
+    assert values(state._kept("final"), "id", "status") == [("a", "succeeded"), ("b", "failed")]
+    state.fold(make("activity"), 4)
+    assert values(LatestRuns(spark, str(tmp_path / "state")).latest(), "id", "status") == newest
+
+
+def test_nothing_has_come_yet(spark, make, tmp_path):
+    state = LatestRuns(spark, str(tmp_path / "state"))
+    assert state.latest().count() == 0 and state.late().count() == 0
+    state.fold(make("activity"), 0)
+    state.fold(make("activity", _run("a", "2024-01-01T00:00:00", "x")).drop("host"), 1)
+    assert values(state.latest(), "id", "status", "host") == [("a", "x", None)]
