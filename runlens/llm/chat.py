@@ -23,26 +23,32 @@ ASSISTANT = "assistant"
 
 @dataclass(frozen=True)
 class Layout:
-    """``lists``: an array and its role and text fields; ``fields``: roles with the text fields they join."""
+    """``lists``: an array and its role and text fields; ``fields``: roles with the text fields they join.
+
+    ``extra`` are further fields that tell the layout and say nothing that the turns lack.
+    """
 
     name: str
     lists: tuple[str, str, str] | None = None
     fields: tuple[tuple[str, tuple[str, ...]], ...] = ()
+    extra: tuple[str, ...] = ()
 
     @property
     def paths(self) -> tuple[str, ...]:
         if self.lists:
             array, role, text = self.lists
-            return f"{array}[].{role}", f"{array}[].{text}"
-        return tuple(name for _, names in self.fields for name in names)
+            return f"{array}[].{role}", f"{array}[].{text}", *self.extra
+        return *(name for _, names in self.fields for name in names), *self.extra
 
 
 LAYOUTS = (
     Layout("messages", lists=("messages", "role", "content")),
+    Layout("messages_prompt", lists=("messages", "role", "content"), extra=("prompt",)),
     Layout("conversations", lists=("conversations", "from", "value")),
     Layout("instruction", fields=(("user", ("instruction",)), (ASSISTANT, ("output",)))),
     Layout("instruction_input", fields=(("user", ("instruction", "input")), (ASSISTANT, ("output",)))),
     Layout("prompt_completion", fields=(("user", ("prompt",)), (ASSISTANT, ("completion",)))),
+    Layout("system_prompt_completion", fields=(("system", ("system",)), ("user", ("prompt",)), (ASSISTANT, ("completion",)))),
     Layout("prompt_response", fields=(("user", ("prompt",)), (ASSISTANT, ("response",)))),
     Layout("system_prompt_response", fields=(("system", ("system",)), ("user", ("prompt",)), (ASSISTANT, ("response",)))),
     Layout("question_answer", fields=(("user", ("question",)), (ASSISTANT, ("answer",)))),
@@ -79,11 +85,20 @@ def record_schema() -> T.StructType:
             array, role, text = layout.lists
             element = T.StructType([T.StructField(role, T.StringType()), T.StructField(text, T.StringType())])
             fields[array] = T.StructField(array, T.ArrayType(element))
-        else:
-            fields |= {name: T.StructField(name, T.StringType()) for name in layout.paths}
+        names = [*layout.extra, *(name for _, several in layout.fields for name in several)]
+        fields |= {name: T.StructField(name, T.StringType()) for name in names}
     return T.StructType([fields[name] for name in sorted(fields)])
 
 
+def _parts_schema() -> T.StructType:
+    """The lists of all layouts where a text is itself a list of typed parts."""
+    part = T.StructType([T.StructField("type", T.StringType()), T.StructField("text", T.StringType())])
+    lists = {layout.lists for layout in LAYOUTS if layout.lists}
+    return T.StructType(
+        [T.StructField(array, T.ArrayType(T.StructType([T.StructField(text, T.ArrayType(part))]))) for array, _, text in sorted(lists)]
+    )
+
+
 def _present(record: Column, path: str) -> Column:
     array, step, name = path.partition("[].")
     if not step:
@@ -107,27 +122,39 @@ def _canonical_role(role: Column) -> Column:
     )
 
 
-def _turns(record: Column, layout: Layout) -> Column:
+def _turns(record: Column, parts: Column, layout: Layout) -> Column:
     if layout.lists:
         array, role, text = layout.lists
-        return F.transform(record[array], lambda x: _turn(_canonical_role(x[role]), F.coalesce(x[text], F.lit(""))))
-    return F.array(*(_turn(F.lit(role), F.concat_ws("\n\n", *(record[n] for n in names))) for role, names in layout.fields))
+
+        def joined(i: Column) -> Column:
+            texts = F.transform(F.get(parts[array], i)[text], lambda p: F.when(F.coalesce(p["type"], F.lit("text")) == "text", p["text"]))
+            return F.array_join(F.array_compact(texts), "")
+
+        return F.transform(record[array], lambda x, i: _turn(_canonical_role(x[role]), F.coalesce(joined(i), x[text], F.lit(""))))
+
+    def several(names: tuple[str, ...]) -> Column:
+        # Of fields that are joined an empty one adds nothing, not even the gap.
+        return F.concat_ws("\n\n", *(F.nullif(record[n], F.lit("")) for n in names))
+
+    return F.array(*(_turn(F.lit(role), several(names)) for role, names in layout.fields))
 
 
 def turns_from_records(df: DataFrame, key: str = "conv_id", record: str = "record") -> DataFrame:
     """``key``, ``layout`` and ``turns`` of JSON records, each of any layout.
 
-    Unknown fields do not matter. A record that is null, no JSON or of no known
+    Unknown fields do not matter. A text that is a list of parts is its text
+    parts, joined; images and the like are left out. A record that is null, no JSON or of no known
     layout has ``layout`` null and no turns.
     """
     parsed = F.col("_record")
-    rows = df.select(F.col(key), F.from_json(F.col(record), record_schema()).alias("_record"))
+    parts = F.from_json(F.col(record), _parts_schema())
+    rows = df.select(F.col(key), F.from_json(F.col(record), record_schema()).alias("_record"), parts.alias("_parts"))
     rows = rows.withColumn("_print", record_fingerprint(parsed))
     name, turns = F.lit(None).cast("string"), F.array().cast(T.ArrayType(TURN))
     for layout in LAYOUTS:
         here = F.col("_print") == fingerprint(layout.paths)
         name = F.when(here, F.lit(layout.name)).otherwise(name)
-        turns = F.when(here, _turns(parsed, layout)).otherwise(turns)
+        turns = F.when(here, _turns(parsed, F.col("_parts"), layout)).otherwise(turns)
     return rows.select(key, name.alias("layout"), turns.alias("turns"))
 
 
@@ -164,7 +191,7 @@ def _head(turn: Column) -> Column:
 
 
 def format_chats(df: DataFrame) -> DataFrame:
-    """The rows with ``formatted`` and ``loss_spans`` in place of ``turns``.
+    """The rows with ``formatted`` and ``loss_spans`` in place of ``turns`` and of columns of these names.
 
     ``loss_spans`` are the texts of the assistant: the turn's number, and start
     and length in code points inside the turn's stretch of ``formatted``, so
@@ -179,7 +206,7 @@ def format_chats(df: DataFrame) -> DataFrame:
             F.struct(i.alias("turn"), F.length(_head(t)).alias("start"), F.length(_escape(t["text"])).alias("length")),
         ),
     )
-    columns = [c for c in df.columns if c != "turns"]
+    columns = [c for c in df.columns if c.lower() not in ("turns", "formatted", "loss_spans")]
     return df.select(*columns, F.array_join(stretch, "").alias("formatted"), F.array_compact(span).alias("loss_spans"))
 
 

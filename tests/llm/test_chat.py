@@ -40,6 +40,14 @@ def test_what_is_read_back_is_what_was_there(spark):
         ({"prompt": "p", "completion": "c"}, "prompt_completion", [("user", "p"), ("assistant", "c")]),
         ({"system": "s", "prompt": "p", "response": "r"}, "system_prompt_response", [("system", "s"), ("user", "p"), ("assistant", "r")]),
         ({"question": "q", "answer": "a"}, "question_answer", [("user", "q"), ("assistant", "a")]),
+        ({"instruction": "i", "input": "", "output": "o"}, "instruction_input", [("user", "i"), ("assistant", "o")]),
+        ({"system": "s", "prompt": "p", "completion": "c"}, "system_prompt_completion", [("system", "s"), ("user", "p"), ("assistant", "c")]),
+        ({"prompt": "q", "messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]}, "messages_prompt", [("user", "q"), ("assistant", "a")]),
+        (
+            {"messages": [{"role": "user", "content": [{"type": "text", "text": "see "}, {"type": "image", "url": "u"}, {"type": "text", "text": "this"}]}, {"role": "assistant", "content": "[1]"}]},
+            "messages", [("user", "see this"), ("assistant", "[1]")],
+        ),
+        ({"messages": [{"role": "user", "content": '[{"type": "text", "text": "a text"}]'}]}, "messages", [("user", '[{"type": "text", "text": "a text"}]')]),
         ({"unheard": "of"}, None, []),
         ({}, None, []),
     ],
@@ -61,5 +69,11 @@ def test_fingerprints_of_schemas_and_of_records_agree():
     assert len({chat.fingerprint(layout.paths) for layout in chat.LAYOUTS}) == len(chat.LAYOUTS)
 
 
+def test_columns_with_names_of_the_result_are_replaced(spark):
+    df = spark.createDataFrame([(1, [("user", "q")], 5, "x")], "conv_id long, turns array<struct<role string, text string>>, Formatted int, loss_spans string")
+    (row,) = chat.format_chats(df).collect()
+    assert row.asDict() == {"conv_id": 1, "formatted": "<turn user>\nq\n</turn>\n", "loss_spans": []}
+
+
 def test_empty(spark):
     assert chat.format_chats(chat.canonical_turns(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
