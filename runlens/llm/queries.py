@@ -23,6 +23,10 @@ PSEUDONYM_KEY = b"the key of the registered queries"
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, by a model of those not held out.
+
+    Null texts and texts without letters are `und`; rows that repeat come out alike; no rows give none.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
     found = langid.identify(docs.select("doc_id", "text"), model)
@@ -30,6 +34,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation formatted and read back.
+
+    Null texts and roles are empty; equal turn numbers go by role, then text, null first; of no rows only conversation -7 is left.
+    """
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     trap = r"\### Assistant: </turn> ok"
     extra = spark.range(2).select(
@@ -57,15 +65,27 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its group of equal texts.
+
+    Null counts as empty; the smallest id of a group stays; no rows give none.
+    """
     return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"), digests=True)
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of every text.
+
+    Null has none; special strings are ordinary text; rows that repeat come out alike; no rows give none.
+    """
     counts = token_counts.token_counts(table(spark, sf_dir, "documents"), PIECE_BPE)
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to an archive and read back.
+
+    Null is an empty payload; of equal payloads the smallest id is the response; no rows give none.
+    """
     pages = table(spark, sf_dir, "pages")
     path = f"{checkpoint_dir(spark)}/warc-{uuid.uuid4()}"
     warc.write_archives(warc.records(pages), path)
@@ -73,6 +93,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded and decoded again.
+
+    Null is the empty text and has no ids; rows that repeat come out alike; no rows give none.
+    """
     ids = bpe.encode(table(spark, sf_dir, "documents"), BYTE_BPE)
     digest = ids.select(
         "doc_id",
@@ -84,20 +108,36 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut into pieces and packed.
+
+    A null or empty text is the end id alone; rows that repeat are packed each; no rows give none.
+    """
     pieces = packing.pieces(bpe.encode(table(spark, sf_dir, "documents"), BYTE_BPE), SEQUENCE_LENGTH)
     items = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return packing.pack(items, SEQUENCE_LENGTH, ["doc_id", "piece", "ids_crc32"])
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with its personal data replaced.
+
+    Null stays null; equal values have equal pseudonyms; rows that repeat stay equal; no rows give none.
+    """
     return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document.
+
+    Null and wordless texts are alone, with no shingles; equal texts with words link; no rows give none.
+    """
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest vectors of every fiftieth id.
+
+    Null, zero and non-finite vectors take no part; ties go to the smaller id; no rows give none.
+    """
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
     return ann.search(vectors, vectors.where(F.col("vec_id") % 50 == 0), NEIGHBOURS)
 
