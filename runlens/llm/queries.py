@@ -214,6 +214,72 @@ FROM texts WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+_OP5 = r"""
+WITH payloads AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS digest FROM pages
+), base32 AS (
+  SELECT page_id, payload_bytes, digest,
+    array_to_string(list_transform(range(32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 +
+      ((('0x' || substr(digest, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)]), '') AS payload_digest
+  FROM payloads
+), placed AS (
+  SELECT *, min(page_id) OVER (PARTITION BY digest) AS first_id FROM base32
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM placed
+"""
+
+_OP9 = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS shingle
+  FROM words
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+  FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM common JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)
+), reached AS (
+  SELECT doc_id, doc_id AS other FROM documents
+  UNION SELECT r.doc_id, l.y FROM reached r JOIN links l ON l.x = r.other
+)
+SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(other) AS component_id
+FROM reached LEFT JOIN sizes USING (doc_id) GROUP BY doc_id
+"""
+
+_OP11 = r"""
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units,
+    list_transform(range(4), lambda i: ('0x' || substr(sha256('1:' || doc_id), 1 + 8 * i, 8))::BIGINT) AS h
+  FROM documents
+), placed AS (
+  SELECT doc_id, text, units, len(units) AS n,
+    least(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) AS p, greatest(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) AS q,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 90 THEN 'plain'
+      WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM cut
+), parts AS (
+  SELECT doc_id, text, n, form, coalesce(array_to_string(units[1:p], ''), '') AS prefix,
+    coalesce(array_to_string(units[p + 1:q], ''), '') AS middle, coalesce(array_to_string(units[q + 1:n], ''), '') AS suffix
+  FROM placed
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM parts
+"""
+
 _OP13 = r"""
 WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang,
@@ -256,4 +322,11 @@ FROM kept QUALIFY rank <= 2000
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": _OP2, "op3_exact_dedup": _OP3, "op13_collocations": _OP13}
+    return {
+        "op2_chat_format": _OP2,
+        "op3_exact_dedup": _OP3,
+        "op5_warc": _OP5,
+        "op9_ngram_join": _OP9,
+        "op11_fim": _OP11,
+        "op13_collocations": _OP13,
+    }
