@@ -242,8 +242,10 @@ def log_summary_exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def activity_log_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = op.activity_log_summary(_logs(spark, sf_dir, text=True), now=NOW)
+    return _flat_summary(op.activity_log_summary(_logs(spark, sf_dir, text=True), now=NOW))
 
+
+def _flat_summary(rows: DataFrame) -> DataFrame:
     def listed(name: str, key: str) -> Column:
         def item(x: Column) -> Column:
             return F.concat(F.coalesce(x[key], F.lit("<null>")), F.lit("="), x["count"].cast("string"))
@@ -262,6 +264,21 @@ def activity_log_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def run_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detail counts, log summary and first page of every run and of every id an edge names, by one scan of the lines."""
+    runs, edges = _runs(spark, sf_dir), _edges(spark, sf_dir)
+    ids = runs.select(F.col("id").alias("activity_id")).unionByName(edges.select(F.col("input_activity_id").alias("activity_id")))
+    reports = op.run_reports(runs, edges, _logs(spark, sf_dir, text=True), ids, limit=3, now=NOW)
+    levels = [F.col(f"log_level_counts.{n}").alias(f"level_{n}") for n in LEVEL_FIELDS]
+    detail = reports.detail.select(F.col("id").alias("activity_id"), "input_count", "output_count", *levels)
+    line = F.struct("position", F.concat_ws("|", F.col("id").cast("string"), "level", F.substring("message", 1, 20)).alias("line"))
+    pages = reports.logs.groupBy("activity_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), ";").alias("page"),
+        F.max("next_cursor").alias("next_cursor"),
+    )
+    return _flat_summary(reports.summary).join(detail, "activity_id", "left").join(pages, "activity_id", "left")
+
+
 def activity_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every run, the window placed by the run's own times."""
     logs = _logs(spark, sf_dir, text=True)
@@ -449,6 +466,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "log_summary_categories": log_summary_categories,
         "log_summary_exceptions": log_summary_exceptions,
         "activity_log_summary": activity_log_summary,
+        "run_reports": run_reports,
         "activity_logs": activity_logs,
         "activity_logs_by_id": activity_logs_by_id,
         "activity_logs_desc_page_2": activity_logs_desc_page_2,

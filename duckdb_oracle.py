@@ -516,6 +516,40 @@ excs AS (SELECT activity_id, string_agg(type || '=' || count, ',' ORDER BY rank)
 SELECT stats.activity_id, total, {", ".join(_LEVELS)}, first_event_utc, last_event_utc,
   coalesce(cats.t, '') AS top_categories, coalesce(excs.t, '') AS exception_types, note
 FROM stats LEFT JOIN cats USING (activity_id) LEFT JOIN excs USING (activity_id)""",
+    "run_reports": f"""{_with(ACTIVITY, EDGES, LOGS, _NEAR, _TOP_CATEGORIES, _TOP_EXCEPTIONS)}, {_EDGE_COUNTS},
+asked AS (SELECT id, {_id_time("id")} AS t FROM (SELECT id FROM activity UNION SELECT input_activity_id FROM activity_input)),
+detail AS (
+  SELECT a.*, coalesce(ins.n, 0) AS input_count, coalesce(outs.n, 0) AS output_count FROM activity a
+  LEFT JOIN ins ON ins.activity_id = id LEFT JOIN outs ON outs.input_activity_id = id
+  WHERE {_id_time("id")} IS NULL OR (created_on >= {_id_time("id")} - INTERVAL 2 DAY
+    AND created_on < {_id_time("id")} + INTERVAL 2 DAY)
+),
+levels AS (
+  SELECT l.activity_id, {_LEVEL_COUNTS.replace("AS ", "AS level_")} FROM log_entries l JOIN detail a ON a.id = l.activity_id
+    AND event_time_utc >= coalesce(started_on, created_on) - INTERVAL 1 DAY
+    AND event_time_utc < coalesce(completed_on, created_on) + INTERVAL 1 DAY
+  GROUP BY l.activity_id
+),
+stats AS (SELECT activity_id, {_TOTALS} FROM near GROUP BY activity_id),
+cats AS (SELECT activity_id, string_agg(coalesce(category, '<null>') || '=' || count, ',' ORDER BY rank) AS t
+  FROM top_categories GROUP BY activity_id),
+excs AS (SELECT activity_id, string_agg(type || '=' || count, ',' ORDER BY rank) AS t
+  FROM top_exceptions GROUP BY activity_id),
+windowed AS (
+  SELECT l.*, coalesce(coalesce(started_on, created_on, t) - INTERVAL 1 DAY, {_NOW} - INTERVAL 90 DAY) AS lo,
+    coalesce(coalesce(completed_on, created_on, t) + INTERVAL 1 DAY, {_NOW} + INTERVAL 1 DAY) AS hi
+  FROM log_entries l JOIN asked k ON k.id = l.activity_id LEFT JOIN detail d ON d.id = l.activity_id
+),
+{_numbered("log_level >= 2 AND event_time_utc >= lo AND event_time_utc < hi", "event_time_utc, id", "windowed")},
+shown AS ({_run_page("activity_id, id, concat_ws('|', id, " + _LEVEL_NAME + ", left(message, 20)) AS line", 3)}),
+pages AS (SELECT activity_id, string_agg(line, ';' ORDER BY position) AS page, max(next_cursor) AS next_cursor
+  FROM shown GROUP BY activity_id)
+SELECT asked.id AS activity_id, coalesce(total, 0) AS total, {", ".join(f"stats.{n}" for n in _LEVELS)}, first_event_utc, last_event_utc,
+  coalesce(cats.t, '') AS top_categories, coalesce(excs.t, '') AS exception_types, {_note("asked.t")},
+  input_count, output_count, {", ".join(f"level_{n}" for n in _LEVELS)}, page, next_cursor
+FROM asked LEFT JOIN detail ON detail.id = asked.id LEFT JOIN levels ON levels.activity_id = asked.id
+LEFT JOIN stats ON stats.activity_id = asked.id LEFT JOIN cats ON cats.activity_id = asked.id
+LEFT JOIN excs ON excs.activity_id = asked.id LEFT JOIN pages ON pages.activity_id = asked.id""",
     "activity_logs": f"""{_with(ACTIVITY, LOGS)},
 placed AS (
   SELECT l.*, coalesce(started_on, created_on) - INTERVAL 1 DAY AS lo,

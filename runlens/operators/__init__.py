@@ -14,11 +14,13 @@ from runlens.operators.logs import (
     logs_search,
 )
 from runlens.operators.manifest import page_manifest
+from runlens.operators.reports import RunReports, run_reports
 from runlens.operators.rollup import catalog, catalog_keys, fleet_overview, fleet_overview_levels
 from runlens.operators.runs import activities_list, recent_failures
 from runlens.operators.shapes import paged_result, to_json
 
 __all__ = [
+    "RunReports",
     "activities_list",
     "activity_get",
     "activity_history",
@@ -42,6 +44,7 @@ __all__ = [
     "recent_failures",
     "retention_coverage",
     "run_readonly_query",
+    "run_reports",
     "statement_audit",
     "to_json",
 ]
