@@ -18,7 +18,7 @@ from duckdb_oracle import SQL
 from runlens import functions as fn, operators as op
 from runlens.functions.measures import LEVEL_FIELDS
 from runlens.plans import checkpoint_dir, prepare
-from runlens.sources import SourceRegistry, Tables, testdata
+from runlens.sources import SourceRegistry, Tables, month_coverage, testdata, write_by_month
 from runlens.streaming import FleetState, LatestRuns
 
 try:
@@ -432,6 +432,17 @@ def retention_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.retention_coverage(_runs(spark, sf_dir), now=NOW)
 
 
+def month_coverage_footers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All runs and lines laid out by month; counts and times of the months from the files' footers."""
+    tables = testdata.tables(prepare(spark), sf_dir, text=False)
+    path = f"{checkpoint_dir(spark)}/months-{uuid.uuid4()}"
+    parts = []
+    for name in ("activity", "log_entries"):
+        write_by_month(getattr(tables, name), f"{path}/{name}", name)
+        parts.append(month_coverage(spark, f"{path}/{name}", name).withColumn("table", F.lit(name)))
+    return parts[0].unionByName(parts[1])
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Fleet health over the smallest test tables."""
     return fleet_overview(spark, "/root/testdata/sf0.001")
@@ -489,6 +500,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "id_time_audit": id_time_audit,
         "page_manifest": page_manifest,
         "retention_coverage": retention_coverage,
+        "month_coverage_footers": month_coverage_footers,
         **text_queries(),
     }
 

@@ -516,6 +516,10 @@ excs AS (SELECT activity_id, string_agg(type || '=' || count, ',' ORDER BY rank)
 SELECT stats.activity_id, total, {", ".join(_LEVELS)}, first_event_utc, last_event_utc,
   coalesce(cats.t, '') AS top_categories, coalesce(excs.t, '') AS exception_types, note
 FROM stats LEFT JOIN cats USING (activity_id) LEFT JOIN excs USING (activity_id)""",
+    "month_coverage_footers": f"""{_with(ACTIVITY, LOGS)},
+times AS (SELECT 'activity' AS "table", created_on AS t FROM activity UNION ALL SELECT 'log_entries', event_time_utc FROM log_entries)
+SELECT "table", CAST(year(t) * 100 + month(t) AS INTEGER) AS month, count(*) AS rows, {_iso("min(t)")} AS first_utc,
+  {_iso("max(t)")} AS last_utc FROM times GROUP BY ALL""",
     "run_reports": f"""{_with(ACTIVITY, EDGES, LOGS, _NEAR, _TOP_CATEGORIES, _TOP_EXCEPTIONS)}, {_EDGE_COUNTS},
 asked AS (SELECT id, {_id_time("id")} AS t FROM (SELECT id FROM activity UNION SELECT input_activity_id FROM activity_input)),
 detail AS (

@@ -7,7 +7,7 @@ from runlens import operators as op
 from runlens.plans import in_window, within_bounds
 from runlens.plans.windows import id_bounds
 from runlens.schema import ACTIVITY, TABLES, conform
-from runlens.sources import SourceRegistry, Tables, jdbc_options, read_parquet, read_table, testdata, write_by_month
+from runlens.sources import SourceRegistry, Tables, jdbc_options, month_coverage, read_parquet, read_table, testdata, write_by_month
 from tests.conftest import SF_DIR, at, uuid7, values
 
 WINDOW = {"since": "2024-01-01", "until": "2024-04-01"}
@@ -54,7 +54,8 @@ def test_id_bounds_prune_months(spark, by_month):
     ids = spark.createDataFrame([(uuid7("2024-02-15T00:00:00", 1),)], "activity_id string")
     kept = within_bounds(by_month, "activity", id_bounds(ids))
     plan = plan_of(kept)
-    assert "Subquery" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    # The months that the ids touch prune the scan as it runs, see tests/test_bounds.py.
+    assert "dynamicpruning" in plan.split("PartitionFilters: [")[1].split("]")[0]
     assert kept.count() == 10
     undated = ids.unionByName(spark.createDataFrame([("legacy",)], "activity_id string"))
     assert within_bounds(by_month, "activity", id_bounds(undated)).count() == 30
@@ -123,3 +124,30 @@ def test_derived_tables_have_the_declared_schemas(spark):
     assert tables.activity.count() == spark.read.parquet(f"{SF_DIR}/orders.parquet").count()
     assert tables.activity.select("id").distinct().count() == tables.activity.count()
     assert tables.log_entries.count() == spark.read.parquet(f"{SF_DIR}/lineitem.parquet").count()
+
+
+def test_months_are_counted_from_footers(spark, make, tmp_path):
+    path = str(tmp_path / "activity")
+    # A time before 1970, and a month in two files.
+    times = ["1969-12-31T23:59:59.999999", "2024-01-01T00:00:00", "2024-01-31T23:59:59.999999", "2024-02-10T00:00:00.000001"]
+    lines = [{"id": f"r{i}", "created_on": at(t), "status": "s", "application": f"a{i}"} for i, t in enumerate(times)]
+    write_by_month(make("activity", *lines, lines[1]), path, "activity", partitions=4)
+    months = month_coverage(spark, path, "activity")
+    assert values(months) == [
+        (196912, 1, "1969-12-31T23:59:59.999999Z", "1969-12-31T23:59:59.999999Z"),
+        (202401, 3, "2024-01-01T00:00:00.000000Z", "2024-01-31T23:59:59.999999Z"),
+        (202402, 1, "2024-02-10T00:00:00.000001Z", "2024-02-10T00:00:00.000001Z"),
+    ]
+    explained = months._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    pushed = explained.split("PushedAggregation: [")[1].split("]")[0]
+    assert "COUNT(*)" in pushed and "MIN(created_on_micros)" in pushed and "PushedGroupBy: [created_month]" in explained
+    assert values(month_coverage(spark, path, "activity", first_month=202402).select("month")) == [(202402,)]
+    bounded = month_coverage(spark, path, "activity", last_month=202401, first_month=202401)
+    assert bounded.first()["rows"] == 3 and "COUNT(*)" in plan_of(bounded)
+    # The other readers are not touched by it.
+    assert "PushedFilters" in plan_of(read_parquet(spark, path, "activity")) and read_parquet(spark, path, "activity").count() == 5
+
+
+def test_an_empty_table_has_no_months(spark, make, tmp_path):
+    write_by_month(make("log_entries"), str(tmp_path / "lines"), "log_entries")
+    assert month_coverage(spark, str(tmp_path / "lines"), "log_entries").collect() == []
