@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as registered
 from runlens import operators as op
-from runlens.plans import checkpoint_dir
+from runlens.plans import checkpoint_dir, prepare
 from tests.conftest import SF_DIR, at, uuid7
 
 
@@ -112,3 +112,12 @@ def test_lineage_levels_share_their_shuffles(spark):
 def test_checkpoint_folder_comes_from_the_session(spark):
     assert checkpoint_dir(spark) in spark.sparkContext.getCheckpointDir() or spark.sparkContext.getCheckpointDir()
     assert spark.conf.get("spark.checkpoint.dir") in spark.sparkContext.getCheckpointDir()
+
+
+def test_scans_are_split_so_that_a_task_can_sort_its_rows(spark):
+    split = "spark.sql.files.maxPartitionBytes"
+    unset, own = spark.newSession(), spark.newSession()
+    unset.conf.unset(split)
+    own.conf.set(split, "1m")
+    assert prepare(unset).conf.get(split) == "16m"
+    assert prepare(own).conf.get(split) == "1m"
