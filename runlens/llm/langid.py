@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from runlens.llm.session import portions
+
 #: Documents of each language the model is fitted on, in expectation; languages with fewer give all.
 SAMPLE_PER_LANGUAGE = 2_000
 #: More languages than this are refused: the model that reaches every task has 256 KB for each.
@@ -31,6 +33,8 @@ LONGEST_NGRAM = 4
 BUCKETS = 1 << 15
 #: Words a worker remembers the scores of before it starts anew.
 REMEMBERED = 200_000
+#: So many texts are looked at at once: scores and paths of their words take some 100 times their size.
+TEXTS = 100
 
 # First and last code points of Unicode's blocks, by script.
 SCRIPTS = {
@@ -248,7 +252,7 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in portions(batches, TEXTS):
             by_language: dict[str, list[str]] = {}
             for words, name in zip(map(_WORDS.findall, batch.column(0).to_pylist()), batch.column(1).to_pylist()):
                 by_language.setdefault(name, []).extend(words)
@@ -311,7 +315,7 @@ def identify(df: DataFrame, model: Model | None, text: str = "text") -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in portions(batches, TEXTS):
             texts = batch.column(at).to_pylist()
             found = model.label(texts) if model is not None else [(UNKNOWN, 0.0, [])] * len(texts)
             columns = [pa.array([x[i] for x in found], t) for i, t in enumerate((pa.string(), pa.float64(), _ARROW_SPANS))]

@@ -34,9 +34,11 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from runlens.llm.components import components
-from runlens.llm.session import dismiss, release, settle
+from runlens.llm.session import dismiss, portions, release, settle
 
 SHINGLE_WORDS = 5
+#: So many texts are cut into shingles at once.
+TEXTS = 250
 #: A similarity of PERCENT / 100 or more links.
 PERCENT = 75
 #: Counters of the token sketch. Driver and workers hold 4 bytes for each (32 MB). More of
@@ -200,7 +202,7 @@ def _profile(docs: DataFrame, width: int) -> DataFrame:
         counters = np.zeros(width, np.int32)
         kinds = {"doc_id": pa.int64(), "n": pa.int32(), "node": pa.int64(), "sign": pa.binary(), "part": pa.int32(), "counts": pa.binary()}
         schema = pa.schema(kinds.items())
-        for batch in batches:
+        for batch in portions(batches, TEXTS):
             sets = shingle_sets(batch.column(1).to_pylist())
             if sets:
                 np.add.at(counters, Frequency.slots(np.concatenate(sets), width), 1)
@@ -258,7 +260,7 @@ def _postings(docs: DataFrame, frequency: Broadcast, part_rows: int) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = frequency.value, set()
-        for batch in batches:
+        for batch in portions(batches, TEXTS):
             columns: list[list[np.ndarray]] = [[] for _ in range(5)]
             for shingles in shingle_sets(batch.column(0).to_pylist()):
                 node = node_of(shingles)
@@ -439,7 +441,7 @@ def _texts(docs: DataFrame, rows: DataFrame, pairs: DataFrame, bits: int) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, wanted, seen = np.frombuffer(keys.value, np.uint8), np.frombuffer(fields.value, np.uint8), set()
-        for batch in batches:
+        for batch in portions(batches, TEXTS):
             ids = batch.column(0).to_pylist()
             few = batch.column(1).take(pa.array([i for i, key in enumerate(ids) if key is None or hit(known, key)], pa.int64()))
             texts = few.to_pylist()
@@ -586,7 +588,7 @@ def _with_nodes(df: DataFrame, text: str) -> DataFrame:
     at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, TEXTS):
             nodes = [node_of(s) if len(s) else None for s in shingle_sets(batch.column(at).to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.int64())], names=[*batch.schema.names, "_node"])
 

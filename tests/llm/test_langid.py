@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,3 +82,16 @@ def test_forgetting_words_changes_nothing(model, monkeypatch):
     expected = model.label(texts)
     monkeypatch.setattr(langid, "REMEMBERED", 3)
     assert [model.label([t])[0] for t in texts] == expected
+
+def test_memory_does_not_grow_with_the_batch(spark, model, monkeypatch):
+    df = spark.createDataFrame([], "doc_id long, text string")
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: run)
+    run = langid.identify(df, model)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(2000)), "text": [f"{EN} {DE} " * 3] * 2000})
+    tracemalloc.start()
+    try:
+        rows = sum(b.num_rows for b in run(iter([batch])))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == 2000 and most < 12 * batch.nbytes, most / batch.nbytes
