@@ -251,17 +251,18 @@ def _frequency(profile: DataFrame, width: int) -> Frequency:
 
 
 def _postings(docs: DataFrame, frequency: Broadcast, part_rows: int) -> DataFrame:
-    """The index: for every prefix token of every node a row ``token``, ``part``, ``node``, ``n``, ``at``.
+    """The index: for every prefix token of every node a row ``token``, ``node``, ``place``, ``part``.
 
-    ``at`` is the token's place in the prefix, from 0. ``part`` deals out tokens that very many documents have: it counts from 1
-    for those, and is 0 for a token that is not dealt out. A task names a node
+    ``place`` holds the node's size ``n`` and, in its lower 32 bits, the token's place ``at`` in the prefix, from 0:
+    all rows of the index are shuffled, and one number takes less than two. ``part`` deals out tokens that very many
+    documents have: it counts from 1 for those, and is 0 for a token that is not dealt out. A task names a node
     once, however many copies of it it reads.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = frequency.value, set()
         for batch in portions(batches, TEXTS):
-            columns: list[list[np.ndarray]] = [[] for _ in range(5)]
+            columns: list[list[np.ndarray]] = [[] for _ in range(4)]
             for shingles in shingle_sets(batch.column(0).to_pylist()):
                 node = node_of(shingles)
                 if node in seen or not len(shingles):
@@ -270,25 +271,43 @@ def _postings(docs: DataFrame, frequency: Broadcast, part_rows: int) -> DataFram
                 first = counts.first(shingles, ORDERS[0])
                 parts = np.maximum(1, counts.of(first) // part_rows)
                 size = len(first)
-                values = (first.astype(np.int64), (node & 0x7FFFFFFF) % parts + (parts > 1), np.full(size, node), np.full(size, len(shingles)), np.arange(size))
+                place = (len(shingles) << 32) + np.arange(size, dtype=np.int64)
+                values = (first.astype(np.int64), np.full(size, node), place, (node & 0x7FFFFFFF) % parts + (parts > 1))
                 for column, value in zip(columns, values):
                     column.append(value)
             if columns[0]:
-                types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.int32())
                 arrays = [pa.array(np.concatenate(c), t) for c, t in zip(columns, types)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["token", "part", "node", "n", "at"])
+                yield pa.RecordBatch.from_arrays(arrays, names=_INDEX)
 
-    return docs.select("text").mapInArrow(run, "token long, part int, node long, n int, at int")
+    return docs.select("text").mapInArrow(run, "token long, node long, place long, part int")
+
+
+_INDEX = ["token", "node", "place", "part"]
+
+
+def _n(place: Column) -> Column:
+    return F.shiftright(place, 32).cast("int")
+
+
+def _at(place: Column) -> Column:
+    return place.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
 
 
 def _shared_postings(postings: DataFrame) -> DataFrame:
-    """Rows of tokens that two nodes or more have, once for each node."""
-    near = Window.partitionBy("token", "part").orderBy("node")
+    """Rows of tokens that two nodes or more have, once for each node.
+
+    Of two nodes that meet, the one that is not larger has the token in front for its own size: the larger the
+    other, the fewer places. A token that stands behind that in all of its nodes lets none meet.
+    """
+    group = Window.partitionBy("token", "part")
+    near, n = group.orderBy("node"), _n(F.col("place"))
     rows = postings.withColumn("_last", F.lag("node").over(near)).withColumn("_next", F.lead("node").over(near))
-    once = rows.where(~F.col("node").eqNullSafe(F.col("_last")))
+    rows = rows.withColumn("_front", F.max(_in_front(_at(F.col("place")), n, n, n)).over(group))
+    once = rows.where(~F.col("node").eqNullSafe(F.col("_last")) & (F.col("_front") | (F.col("part") > 0)))
     # A node whose only neighbour is its own copy may stay; that costs a row and no more. One
     # that is alone in its part may share the token with nodes of other parts.
-    return once.where(F.col("_last").isNotNull() | F.col("_next").isNotNull() | (F.col("part") > 0)).drop("_last", "_next")
+    return once.where(F.col("_last").isNotNull() | F.col("_next").isNotNull() | (F.col("part") > 0)).select(*_INDEX)
 
 
 def _common_least(n_x: Column, n_y: Column) -> Column:
@@ -339,12 +358,14 @@ def _best_centre(rows: DataFrame) -> DataFrame:
     paired with the first of them.
     """
     so_far = Window.partitionBy("token", "part").orderBy(F.xxhash64("node"), "node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    named = rows.withColumn("c", F.first(F.struct("node", "n")).over(so_far)).select(
+    sized = rows.withColumn("n", _n(F.col("place")))
+    named = sized.withColumn("c", F.first(F.struct("node", "n")).over(so_far)).select(
         "token", "part", "node", "n", F.col("c.node").alias("centre"), F.col("c.n").alias("n_c")
     )
     away = named.where(F.col("node") != F.col("centre"))
     votes = away.groupBy("node", "centre").agg(F.count(F.lit(1)).alias("votes"), F.first("n").alias("n"), F.first("n_c").alias("n_c"))
-    likely = votes.where(F.col("votes") >= _need(F.col("n"), F.col("n_c")))
+    # The index may lack tokens that are in front of no node.
+    likely = votes.where(F.col("votes") >= _few(F.col("n"), F.col("n_c")))
     rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("votes"), "centre"))
     best = likely.withColumn("_rank", rank).where(F.col("_rank") == 1)
     best = best.select(F.col("node").alias("x"), F.col("centre").alias("y"))
@@ -357,13 +378,23 @@ def _best_centre(rows: DataFrame) -> DataFrame:
 
 
 def _mixed(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of tokens with nodes of different components, with ``component`` and the token's ``main`` one."""
-    rows = shared.join(spread_long(labels, "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    groups = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("_c"))
+    """Rows of tokens with nodes of different components, with ``component`` and the token's ``main`` one of ``size``.
+
+    A token that is not dealt out in parts is counted where its rows meet. Those of one that is are counted before
+    they meet; ``main`` is the same in all of its parts. The rows may be an earlier result for labels since joined.
+    """
+    rows = shared.select(*_INDEX).join(spread_long(labels, "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    columns = [*_INDEX, "component", "main", "size"]
+    token = Window.partitionBy("token")
+    same = token.orderBy("component").rangeBetween(Window.currentRow, Window.currentRow)
+    whole = rows.where(F.col("part") == 0).withColumn("_c", F.count(F.lit(1)).over(same))
+    whole = whole.withColumn("_k", F.count(F.lit(1)).over(token)).withColumn("_main", F.max(F.struct("_c", "component")).over(token))
+    whole = whole.where(F.col("_main._c") < F.col("_k")).withColumn("main", F.col("_main.component")).withColumn("size", F.col("_main._c"))
+    dealt = rows.where(F.col("part") > 0)
+    groups = dealt.groupBy("token", "component").agg(F.count(F.lit(1)).alias("_c"))
     mixed = groups.groupBy("token").agg(F.max(F.struct("_c", "component")).alias("main"), F.count(F.lit(1)).alias("_k"))
-    mixed = mixed.where(F.col("_k") > 1).select("token", "main.component", F.col("main._c").alias("size"))
-    mixed = mixed.select("token", F.col("component").alias("main"), "size")
-    return rows.join(spread_long(mixed, "token"), "token").select("token", "part", "node", "n", "at", "component", "main", "size")
+    mixed = mixed.where(F.col("_k") > 1).select("token", F.col("main.component").alias("main"), F.col("main._c").alias("size"))
+    return whole.select(*columns).unionByName(dealt.join(spread_long(mixed, "token"), "token").select(*columns))
 
 
 def _tries(held: DataFrame) -> DataFrame:
@@ -389,6 +420,7 @@ def _across(held: DataFrame) -> DataFrame:
     A token's rows outside its largest component are joined with all its rows,
     so the members of that component never meet each other.
     """
+    held = held.select("token", "node", _n(F.col("place")).alias("n"), _at(F.col("place")).alias("at"), "component", "main")
     few = held.where(F.col("component") != F.col("main")).select(*(F.col(c).alias(f"{c}_x") for c in ("token", "node", "n", "at", "component")))
     sizes = F.col("n"), F.col("n_x")
     met = held.join(
@@ -533,13 +565,14 @@ def _grouped(docs: DataFrame, sketch_counters: int, field_bits: int, part_rows:
     links = _verified(docs, rows, signs, first, frequency, field_bits)
     labels = grouped(links)
     held, tried = settle(_mixed(shared, labels)), first.select(*_pair("x", "y"))
+    dismiss(shared)
     tries = settle(_tries(held).join(first, ["x", "y"], "left_anti"))
     if not tries.isEmpty():
         links = links.unionAll(_verified(docs, rows, signs, tries, frequency, field_bits))
         labels, tried = grouped(links), tried.unionAll(tries.select(*_pair("x", "y")))
-        dismiss(held)
-        held = settle(_mixed(shared, labels))
-    dismiss(shared)
+        # Components only grow, so tokens of one component stay such.
+        wider, held = held, settle(_mixed(held, labels))
+        dismiss(wider)
     across = settle(_across(held).join(tried, ["x", "y"], "left_anti"))
     dismiss(held)
     if not across.isEmpty():

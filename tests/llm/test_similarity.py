@@ -154,6 +154,34 @@ def test_prefixes_of_similar_sets_meet_under_any_order():
                 assert len(np.intersect1d(p, q)) >= max(1, need)
 
 
+def _index(spark, rows):
+    """Rows of the index from token, node, size, place in the prefix, and part."""
+    return spark.createDataFrame([(t, node, (n << 32) + at, part) for t, node, n, at, part in rows], "token long, node long, place long, part int")
+
+
+def test_tokens_that_let_no_nodes_meet_are_not_kept(spark):
+    """Sets of 100 that link have three common tokens within the first 17 of each; a larger one has to be met by a smaller one in front."""
+    rows = [(1, 7, 100, 3, 0), (1, 8, 100, 24, 0), (2, 7, 100, 17, 0), (2, 8, 100, 24, 0), (3, 7, 100, 0, 0), (4, 7, 100, 17, 0), (4, 9, 80, 13, 0), (5, 7, 100, 20, 2)]
+    got = ngram_join._shared_postings(_index(spark, rows))
+    assert sorted({(r["token"], r["node"]) for r in got.collect()}) == [(1, 7), (1, 8), (4, 7), (4, 9), (5, 7)]
+    # The larger the other set, the fewer places in front: a set's own size bounds them.
+    least = lambda n, m: -(-75 * (n + m) // 175)
+    front = lambda n, m: n - least(n, m) + min(3, max(1, least(n, m) + 1 - ngram_join.least_overlap(max(n, m))))
+    assert front(100, 100) == 17 and all(front(n, m) <= front(n, n) for n in range(1, 400) for m in range(n, n * 4 // 3 + 1))
+
+
+def test_tokens_of_several_components(spark):
+    """Whether or not tokens are dealt out, in one shuffle of the rows by token, and again from what is left."""
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3)], "node long, component long")
+    rows = [(t, node, 9, 0, part and 1 + node % 2) for t, part in ((10, 0), (11, 1)) for node in (1, 2, 3, 5)]
+    rows += [(t, node, 9, 0, part and 1 + node % 2) for t, part in ((20, 0), (21, 1)) for node in (3, 4)]
+    held = ngram_join._mixed(_index(spark, rows), labels)
+    shown = sorted((r["token"], r["node"], r["component"], r["main"], r["size"]) for r in held.collect())
+    assert shown == [(t, node, c, 1, 2) for t in (10, 11) for node, c in ((1, 1), (2, 1), (3, 3), (5, 5))]
+    joined = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (5, 1)], "node long, component long")
+    assert ngram_join._mixed(held, joined).count() == 0
+
+
 def test_signatures_never_rule_out_what_links():
     rng = np.random.default_rng(3)
     ruled_out = 0
