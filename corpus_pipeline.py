@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from runlens.llm import bpe, exact_dedup, langid, ngram_join, packing, pii
 from runlens.llm.queries import BYTE_BPE, PSEUDONYM_KEY, SEQUENCE_LENGTH
-from runlens.llm.session import ready
+from runlens.llm.session import empty, ready
 from runlens.plans import checkpoint_dir
 
+#: What a worker of the last stage takes at once and remembers: executors are full of what earlier stages left.
+PACK_ROWS, PACK_REMEMBERED = 250, 32 << 20
 DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -57,7 +59,7 @@ def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document stands in the training sequences."""
     ready(spark)
-    pieces = packing.pieces(bpe.encode(docs, BYTE_BPE), SEQUENCE_LENGTH)
+    pieces = packing.pieces(bpe.encode(docs, BYTE_BPE, rows=PACK_ROWS, remembered=PACK_REMEMBERED), SEQUENCE_LENGTH)
     items = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return packing.pack(items, SEQUENCE_LENGTH, ["doc_id", "piece", "ids_crc32"])
 
@@ -82,7 +84,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         if read:
             # No later stage reads what went into this one: an empty table takes its place.
-            spark.createDataFrame([], docs.schema).write.mode("overwrite").parquet(read)
+            empty(docs).write.mode("overwrite").parquet(read)
         read = f"{folder}/{name}"
         docs = spark.read.parquet(read)
     return docs

@@ -27,6 +27,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from runlens.llm.session import give_back, portions
+
 #: Fixed value: how a byte-level pre-tokenizer splits a text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -139,8 +141,8 @@ class _Memory(dict):
     def __missing__(self, part: str) -> int:
         return self.new.setdefault(part, len(self) + len(self.new))
 
-    def settle(self, runs: _Runs, counts: np.ndarray) -> None:
-        """Remember the new parts that are short; where that is too much, only parts that came up more than once.
+    def settle(self, runs: _Runs, counts: np.ndarray, limit: int) -> None:
+        """Remember the new parts that are short; where that is more than ``limit`` bytes, only parts that came up more than once.
 
         ``runs`` are the ids of known and new parts, ``counts`` how often each has just come up.
         """
@@ -150,7 +152,7 @@ class _Memory(dict):
         sizes = np.fromiter(map(len, names), np.int64, len(names))
         kept = np.flatnonzero(sizes <= REMEMBERED_LENGTH)
         cost = int((sizes[kept] + _ENTRY_BYTES).sum())
-        if self.bytes + cost > REMEMBERED_BYTES:
+        if self.bytes + cost > limit:
             kept = kept[counts[known + kept] > 1]
             cost = int((sizes[kept] + _ENTRY_BYTES).sum())
             used = [(name, i) for name, i in self.items() if counts[i] > 1]
@@ -158,7 +160,7 @@ class _Memory(dict):
             self.update((name, n) for n, (name, _) in enumerate(used))
             self.runs = self.runs.of(np.array([i for _, i in used], np.int64))
             self.bytes = sum(len(name) + _ENTRY_BYTES for name in self)
-        if self.bytes + cost <= REMEMBERED_BYTES:
+        if self.bytes + cost <= limit:
             self.update(zip([names[i] for i in kept.tolist()], range(len(self), len(self) + len(kept))))
             self.runs = self.runs.and_more(runs.of(known + kept))
             self.bytes += cost
@@ -484,22 +486,26 @@ class BytePairs:
             rest = [f"\0 {r}" if r[:1] in "\0\1" else r for r in rest]
         return [f"\0{first}", *rest]
 
-    def encode(self, texts: Sequence[str | None]) -> list[bytes]:
-        """Ids of each text, packed as little-endian unsigned 32-bit integers; null as empty."""
+    def encode(self, texts: Sequence[str | None], remembered: int | None = None) -> list[bytes]:
+        """Ids of each text, packed as little-endian unsigned 32-bit integers; null as empty.
+
+        ``remembered`` bytes of parts are kept for later texts, :data:`REMEMBERED_BYTES` if not given.
+        """
+        limit = REMEMBERED_BYTES if remembered is None else remembered
         out: list[list[bytes]] = [[] for _ in texts]
         group: list[tuple[int, str]] = []
         held = 0
         for i, text in enumerate(texts):
             for piece in _pieces(text or ""):
                 if held + len(piece) > GROUP_CHARS and group:
-                    self._encode_pieces(group, out)
+                    self._encode_pieces(group, out, limit)
                     group, held = [], 0
                 group.append((i, piece))
                 held += len(piece)
-        self._encode_pieces(group, out)
+        self._encode_pieces(group, out, limit)
         return [o[0] if len(o) == 1 else b"".join(o) for o in out]
 
-    def _encode_pieces(self, group: list[tuple[int, str]], out: list[list[bytes]]) -> None:
+    def _encode_pieces(self, group: list[tuple[int, str]], out: list[list[bytes]], limit: int) -> None:
         memory = self._memory
         parts = [self._with_added(p) if any(content in p for content in self.added) else self._parts(p) for _, p in group]
         counts = [len(p) for p in parts]
@@ -511,7 +517,7 @@ class BytePairs:
         for (i, _), start, end in zip(group, ends.tolist(), ends[1:].tolist()):
             out[i].append(packed[start:end])
         if memory.new:
-            memory.settle(runs, np.bincount(numbers, minlength=len(runs.lengths)))
+            memory.settle(runs, np.bincount(numbers, minlength=len(runs.lengths)), limit)
 
     def _with_added(self, text: str) -> list[str]:
         out, at = [], 0
@@ -538,9 +544,9 @@ def vocabulary(path: str) -> BytePairs:
     return BytePairs.load(path)
 
 
-def _per_batch(convert: Callable[[list], pa.Array], column: str, out: str, done: Callable[[], None] | None = None):
+def _per_batch(convert: Callable[[list], pa.Array], column: str, out: str, done: Callable[[], None] | None = None, rows: int | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, rows) if rows else batches:
             at = batch.schema.get_field_index(column)
             columns = [convert(c.to_pylist()) if i == at else c for i, c in enumerate(batch.columns)]
             names = [out if i == at else n for i, n in enumerate(batch.schema.names)]
@@ -555,24 +561,35 @@ def _replaced(df: DataFrame, column: str, out: str, kind: T.DataType) -> T.Struc
     return T.StructType([T.StructField(out, kind) if f.name == column else f for f in df.schema.fields])
 
 
-def encode(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", ids: str = "ids") -> DataFrame:
+def encode(
+    df: DataFrame,
+    tokenizer: str,
+    key: str = "doc_id",
+    text: str = "text",
+    ids: str = "ids",
+    rows: int | None = None,
+    remembered: int | None = None,
+) -> DataFrame:
     """``key`` and ``ids``: the whole text's token ids, packed as little-endian unsigned 32-bit integers.
 
     ``tokenizer`` is the path of a byte-level BPE file, the same on every
     executor. Added tokens count as themselves wherever their string stands in
     a text; nothing is added, cut or padded. A null or empty text has no ids;
     rows that repeat and null keys stay as they are; other columns are left out.
+    Where workers share an executor with much else, they can take so many ``rows``
+    at once and keep so many ``remembered`` bytes of parts; both cost time.
     """
 
     def convert(texts: list) -> pa.Array:
-        return pa.array(vocabulary(tokenizer).encode(texts), pa.binary())
+        return pa.array(vocabulary(tokenizer).encode(texts, remembered), pa.binary())
 
     def done() -> None:
         # The worker goes on to other tasks, maybe of other operators.
         vocabulary(tokenizer).forget()
+        give_back()
 
-    rows = df.select(F.col(key), F.col(text))
-    return rows.mapInArrow(_per_batch(convert, text, ids, done), _replaced(rows, text, ids, T.BinaryType()))
+    texts = df.select(F.col(key), F.col(text))
+    return texts.mapInArrow(_per_batch(convert, text, ids, done, rows), _replaced(texts, text, ids, T.BinaryType()))
 
 
 def decode(df: DataFrame, tokenizer: str, ids: str = "ids", text: str = "text") -> DataFrame:

@@ -7,12 +7,14 @@ import time
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
 from runlens.llm import bpe
 from runlens.llm.queries import BYTE_BPE, PIECE_BPE
+from runlens.llm.session import dismiss, settle
 from runlens.llm.token_counts import WordCounts, token_counts
 
 ODD = [
@@ -56,6 +58,31 @@ def test_forgetting_words_changes_nothing(pairs, texts, monkeypatch):
         assert forgetful._memory.bytes <= bpe.REMEMBERED_BYTES
 
 
+def test_rows_and_memory_are_bounded_where_asked(spark, pairs, texts, monkeypatch):
+    df = spark.createDataFrame([], "doc_id long, text string")
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: run)
+    run = bpe.encode(df, BYTE_BPE, rows=7, remembered=3000)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(300)), "text": texts[:300]})
+    ids, seen = [], []
+    for part in run(iter([batch])):
+        ids += part.column(1).to_pylist()
+        seen.append((part.num_rows, bpe.vocabulary(BYTE_BPE)._memory.bytes))
+    assert ids == pairs.encode(texts[:300])
+    assert max(rows for rows, _ in seen) == 7 and 0 < max(held for _, held in seen) <= 3000
+
+
+def test_dismissed_tables_need_no_python_worker(spark, monkeypatch):
+    kept = settle(spark.range(5).selectExpr("id", "struct(array(binary('x')) AS a) AS s"))
+    (folder,) = {f.rsplit("/", 1)[0] for f in kept.inputFiles()}
+
+    def refuse(*_, **__):
+        raise AssertionError("rows from the driver start Python workers of their own")
+
+    monkeypatch.setattr(type(spark), "createDataFrame", refuse)
+    dismiss(kept)
+    assert spark.read.schema(kept.schema).parquet(folder).count() == 0
+
+
 def test_long_words_without_spaces(pairs):
     draw = random.Random(8)
     cjk = [chr(c) for c in range(0x4E00, 0x4E00 + 3000)]
