@@ -21,6 +21,8 @@ from runlens.plans import spread
 VERSION = "WARC/1.1"
 CRLF = "\r\n"
 BOUNDARY = CRLF * 2
+#: Between two records: the end of one and the version line of the next.
+SEPARATOR = f"{BOUNDARY}{VERSION}{CRLF}"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -146,13 +148,28 @@ def _header(head: Column, name: str) -> Column:
     return F.when(value != "", value)
 
 
+def _apart(value: Column) -> Column:
+    """The records in what the text source gives as one.
+
+    Its reader misses a separator that begins on one side of its buffer's end
+    and ends on the other where line ends stand in front, as they do behind a
+    chunked body. All string functions used here go by bytes.
+    """
+    missed = F.octet_length(value) - F.octet_length(F.replace(value, F.lit(SEPARATOR), F.lit("")))
+    each = F.transform(
+        F.sequence(F.lit(1), F.floor(missed / len(SEPARATOR)).cast("int") + 1),
+        lambda i: F.call_function("substring_index", F.call_function("substring_index", value, F.lit(SEPARATOR), i), F.lit(SEPARATOR), F.lit(-1)),
+    )
+    return F.when(F.contains(value, F.lit(SEPARATOR)), each).otherwise(F.array(value))
+
+
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """The records of all archives in a folder, each with its headers and its ``block`` of the stated length.
 
     A record shorter than it states, cut off or split by a version line inside
     a block that another writer left there, is an error, never left out.
     """
-    text = spark.read.option("lineSep", f"{BOUNDARY}{VERSION}{CRLF}").text(path)
+    text = spark.read.option("lineSep", SEPARATOR).text(path).select(F.explode(_apart(F.col("value"))).alias("value"))
     head = F.concat(F.substring_index("value", BOUNDARY, 1), F.lit(CRLF))
     rows = text.where(F.length("value") > 0).select(head.alias("_head"), F.col("value").cast("binary").alias("_value"))
     length = _header(F.col("_head"), "Content-Length").cast("int")

@@ -69,6 +69,21 @@ def test_segments_in_any_order_and_a_lost_one(spark, pages, tmp_path):
         warc.page_records(spark, f"{tmp_path}/lost").count()
 
 
+@pytest.mark.parametrize("ending, opened", [("warc", open), ("warc.gz", gzip.open)])
+def test_records_that_end_where_a_buffer_does(spark, tmp_path, ending, opened):
+    # The reader's buffer has 64 KB. A chunked body and the end of its record are four line ends, of which each lies there once.
+    rows = [(i, f"u{i}", f"é{i}") for i in range(64)]
+    values = [r.value.encode() for r in warc.records(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
+    assert all(v.endswith(b"0\r\n\r\n") for v in values)
+    for i, (first, second) in enumerate(zip(values[::2], values[1::2])):
+        size = 65536 - 20 + i - len(first)
+        info = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:i:{i}>\r\nContent-Length: {size - 90:06d}\r\n\r\n"
+        info += "x" * (size - 90) + "\r\n\r\n"
+        with opened(f"{tmp_path}/{i}.{ending}", "wb") as f:
+            f.write(info.encode() + b"".join(v + b"\r\n\r\n" for v in (first, second)))
+    assert sorted(r.page_id for r in warc.page_records(spark, str(tmp_path)).collect()) == [r[0] for r in rows]
+
+
 def test_a_cut_record_is_an_error(spark, pages, tmp_path):
     cut = warc.records(pages).withColumn("value", F.expr("left(value, length(value) - 3)"))
     warc.write_archives(cut, f"{tmp_path}/cut")
