@@ -121,3 +121,13 @@ def test_scans_are_split_so_that_a_task_can_sort_its_rows(spark):
     own.conf.set(split, "1m")
     assert prepare(unset).conf.get(split) == "16m"
     assert prepare(own).conf.get(split) == "1m"
+
+
+def test_pages_by_id_are_windowed_before_the_shuffle_and_stay_dealt(spark, make):
+    logs = make("log_entries")
+    runs = spark.createDataFrame([("a", "c")], "activity_id string, cursor string")
+    assert "FLOOR" in optimized(op.activity_logs(logs, runs, now=at("2024-01-11")))
+    hinted = runs.withColumn("created_on", F.lit("2024-01-10").cast("timestamp_ntz"))
+    assert "FLOOR" not in optimized(op.activity_logs(logs, hinted, now=at("2024-01-11")))
+    cursors = op.activity_logs(logs, limit=2, now=at("2024-01-11")).groupBy("activity_id", "next_cursor").count()
+    assert physical(cursors).count("Exchange hashpartitioning") == 1
