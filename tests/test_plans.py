@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as registered
 from runlens import operators as op
-from runlens.plans import checkpoint_dir, prepare
+from runlens.llm.session import ready
+from runlens.plans import checkpoint_dir, prepare, settled
 from tests.conftest import SF_DIR, at, uuid7
 
 
@@ -123,6 +126,41 @@ def test_scans_are_split_so_that_a_task_can_sort_its_rows(spark):
     assert prepare(own).conf.get(split) == "1m"
 
 
+def test_shuffles_are_dealt_so_that_a_task_can_sort_its_rows(spark):
+    first, size = "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    unset, own = spark.newSession(), spark.newSession()
+    own.conf.set(first, "7")
+    own.conf.set(size, "1m")
+    assert [prepare(unset).conf.get(k) for k in (first, size)] == ["500", "16m"]
+    assert [prepare(own).conf.get(k) for k in (first, size)] == ["7", "1m"]
+    unset.conf.set("spark.sql.shuffle.partitions", "600")
+    assert prepare(unset).conf.get(first, None) != "500"
+    unset.conf.set("spark.sql.shuffle.partitions", "4")
+    assert prepare(unset).conf.get(first) == "500"
+    # Text operators go by the session's values.
+    assert ready(unset).conf.get(first, None) != "500" and [ready(own).conf.get(k) for k in (first, size)] == ["7", "1m"]
+
+
+def test_shuffles_of_settled_rows_go_when_they_are_written(spark):
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def files():
+        disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        names = [f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(disk.getAllFiles())]
+        return {n for n in names if n.startswith("shuffle_") and n.endswith(".data")}
+
+    rows, before, kept = spark.range(0, 1000, 1, 2).groupBy((F.col("id") % 7).alias("k")).count(), files(), spark.conf.get(cleanup)
+    rows.write.format("noop").mode("overwrite").save()
+    others = files() - before
+    done = settled(rows)
+    for _ in range(50):
+        if files() <= before | others:
+            break
+        time.sleep(0.1)
+    assert others and files() <= before | others
+    assert spark.conf.get(cleanup) == kept and done.count() == 7
+
+
 def test_pages_by_id_are_windowed_before_the_shuffle_and_stay_dealt(spark, make):
     logs = make("log_entries")
     runs = spark.createDataFrame([("a", "c")], "activity_id string, cursor string")
