@@ -1,7 +1,7 @@
 """Scalar rules as column expressions built only from Spark functions."""
 
 from runlens.functions.cursors import cursor_encode, cursor_id, cursor_time
-from runlens.functions.ids import canonical_id, packed_id, unpacked_id, uuid7_time
+from runlens.functions.ids import canonical_id, packed_id, packed_time, unpacked_id, uuid7_time
 from runlens.functions.levels import level_name, level_value
 from runlens.functions.measures import half_even, level_counts, percentile_of_sorted, success_rate
 from runlens.functions.statements import check_statement, statement_error
@@ -40,6 +40,7 @@ __all__ = [
     "micros_between",
     "near",
     "packed_id",
+    "packed_time",
     "percentile_of_sorted",
     "retention_note",
     "statement_error",
